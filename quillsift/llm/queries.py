@@ -6,20 +6,43 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillsift.llm import packing
+from quillsift.llm import exact_dedup, line_dedup, packing, sharding, simhash_trie
 from quillsift.llm.shared import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+SHARD_BYTES = 64 << 20
+
+
+def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), BYTE_BPE, capacity=2048)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", F.size("removed_lines").cast("long").alias("n_removed"))
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(read(spark, sf_dir, "documents"))
+
+
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_trie.group_near(read(spark, sf_dir, "documents"), words=3, budget=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing,)}
+    return {f.__name__: f for f in (op2_extendible_sharding, op3_best_fit_packing, op4_line_dedup, op5_exact_dedup, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_extendible_sharding": sharding.oracle(SHARD_BYTES),
+        "op4_line_dedup": line_dedup.ORACLE,
+        "op5_exact_dedup": exact_dedup.ORACLE,
+    }
