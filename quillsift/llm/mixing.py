@@ -6,7 +6,7 @@ The cube method (Deville and Tille, 2004) draws it: probabilities move inside
 the null space of the balancing constraints (words and documents) until all
 but two are 0 or 1.  Blocks of a source are balanced independently; what they
 leave undecided forms blocks of the next level, until one block per source is
-left, whose last units land on the side that meets the word total best.
+left, whose last few units land on the side that meets the word total best.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from quillsift.llm.shared import frozen, word_count
 
 #: Units of a source balanced together in one block.
 BLOCK = 1024
+#: Units of a source that wait for the landing.
+LANDING = 12
 #: Times that a document may be taken.
 MOST = 3
 CYCLE = (1, 2, 3)
@@ -76,24 +78,35 @@ def flight(p: np.ndarray, size: np.ndarray, draws: Iterator[float]) -> np.ndarra
         held = [k for k in held if 0 < p[k] < 1]
 
 
-def land(p: np.ndarray, size: np.ndarray, missing: float) -> np.ndarray:
-    """The last units decided: of all outcomes, the one whose words come nearest to ``missing``, then whose count does."""
+def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The last units decided: of all outcomes, the one whose words come nearest to what is expected, then whose count does."""
     rest = np.flatnonzero((p > 0) & (p < 1))
-    best = min(itertools.product((0.0, 1.0), repeat=len(rest)), key=lambda s: (abs(float(np.dot(s, size[rest])) - missing), abs(sum(s) - p[rest].sum()), s))
+    outcomes = (np.arange(1 << len(rest))[:, None] >> np.arange(len(rest))) & 1
+    words = np.abs(outcomes @ size[rest] - float(np.dot(p[rest], size[rest])))
+    count = np.abs(outcomes.sum(axis=1) - p[rest].sum())
     p = p.copy()
-    p[rest] = best
+    p[rest] = outcomes[np.lexsort((count, words.round(6)))[0]]
     return p
 
 
+def settle(p: np.ndarray, size: np.ndarray, draws: Iterator[float]) -> np.ndarray:
+    """All units decided: LANDING of them, spread over the sizes, wait for the landing with the two that the flight leaves."""
+    rest = np.flatnonzero((p > 0) & (p < 1))
+    wait = rest[np.unique(np.linspace(0, len(rest) - 1, min(LANDING, len(rest))).astype(int))] if len(rest) else rest
+    flying = p.copy()
+    flying[wait] = 0.0
+    moved = flight(flying, size, draws)
+    moved[wait] = p[wait]
+    return land(moved, size)
+
+
 def _decide(last: bool):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["size", "key"], ascending=[False, True], kind="stable").reset_index(drop=True)
         size, p = block["size"].to_numpy(float), block["p"].to_numpy(float)
         rng = np.random.default_rng(int(block["key"].iloc[0]) & (2**63 - 1))
-        moved = flight(p, size, iter(rng.random, None))
-        if last:
-            still = (moved > 0) & (moved < 1)
-            moved = land(moved, size, float((moved[still] * size[still]).sum()))
+        draws = iter(rng.random, None)
+        moved = settle(p, size, draws) if last else flight(p, size, draws)
         return block.assign(p=moved)[["key", "source", "size", "p"]]
 
     return run

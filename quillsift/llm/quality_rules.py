@@ -1,12 +1,13 @@
 """Quality rules with risk-controlled thresholds.
 
-A rule rejects a document when a measure of its text is over a cutoff.  For
-each rule and stratum (language), cutoffs are tried from the mildest to the
-strictest on labelled documents; one holds only if an exact binomial test
-shows that the rule rejects at most a fixed share of good documents.  Testing
-in a fixed order until the first failure needs no correction over cutoffs;
-rules and strata are corrected for by Bonferroni's method, and the rules of a
-stratum share its rejection limit, so their union is within it as well.
+A rule rejects a document when a measure of its text is at or over a cutoff.
+On one half of the labelled documents, each stratum (language) tunes a cutoff
+per rule.  From these, a path of LEVELS cutoff sets leads from rejecting
+nothing to the tuned ones.  On the other half, an exact binomial test per
+level, from the mildest on, asks whether the set rejects more than a fixed
+share of the stratum's good documents; the last level that holds before the
+first that fails is used.  A fixed order needs no correction over levels;
+strata are corrected for by Bonferroni's method.
 """
 
 from __future__ import annotations
@@ -28,11 +29,12 @@ MIN_WORDS = 20
 REPEAT_PERCENT = 30
 SPAN = 8
 SYMBOLS = b"#*$%&|<>"
-#: Share of good documents that a stratum's rules may reject together, and the probability of being wrong about any.
+#: Share of good documents that a stratum's rules may reject together, and the probability of being wrong about any stratum.
 RISK = 0.05
 ERROR = 0.05
-#: Steps of cutoffs tried per rule.
+#: Steps of a measure, and levels of the path to the tuned cutoffs.
 STEPS = 64
+LEVELS = 8
 #: A cutoff is only used if it rejects so many bad documents for each good one, on the tuning half.
 GAIN = 4.0
 
@@ -133,58 +135,70 @@ def upper_bound(k: int, n: int, error: float) -> float:
     return high
 
 
-def certify(good: np.ndarray, tune_good: np.ndarray, tune_bad: np.ndarray, limit: float, error: float) -> tuple[int, int, float]:
-    """The step to cut at for one rule and stratum: (step, good rejected there, its bound); step STEPS + 1 rejects nothing.
+def tune(good: np.ndarray, bad: np.ndarray) -> int:
+    """The step to cut at by counts of documents per step (0 .. STEPS): where the bad ones rejected outweigh GAIN times the good ones most; STEPS + 1 if nowhere."""
+    gain = np.cumsum((bad - GAIN * good)[::-1])[::-1][1:]
+    return int(np.flatnonzero(gain == gain.max())[-1]) + 1 if gain.max() > 0 else STEPS + 1
 
-    Arrays count documents by step of their measure (0 .. STEPS); cutting at
-    step s rejects those at s or above.  ``good`` is the certifying half, the
-    others are the tuning half, by which the best of the cutoffs that hold is chosen.
+
+def certify(rejected: np.ndarray, good: int, limit: float, error: float) -> tuple[int, float]:
+    """The strictest level that holds, and the bound of its share of good documents rejected.
+
+    ``rejected[t]`` counts the certifying half's good documents rejected at
+    level t (0 the tuned cutoffs, LEVELS rejects nothing).
     """
-    n, rejected = int(good.sum()), 0
-    held: list[tuple[int, int]] = []
-    for s in range(STEPS, 0, -1):
-        rejected += int(good[s])
-        if n == 0 or log_binomial_tail(rejected, n, limit) > math.log(error):
-            break
-        held.append((s, rejected))
-    best, chosen = 0.0, (STEPS + 1, 0)
-    for s, k in held:
-        gain = float(tune_bad[s:].sum()) - GAIN * float(tune_good[s:].sum())
-        if gain > best:
-            best, chosen = gain, (s, k)
-    return (*chosen, upper_bound(chosen[1], n, error) if n else 1.0)
+    level = LEVELS
+    while level > 0 and good and log_binomial_tail(int(rejected[level - 1]), good, limit) <= math.log(error):
+        level -= 1
+    return level, upper_bound(int(rejected[level]), good, error) if good and level < LEVELS else 0.0
+
+
+def _cut(tuned, level):
+    """The step that a rule cuts at on a level of the path."""
+    return F.ceil(tuned + (F.lit(STEPS + 1) - tuned) * F.lit(level) / LEVELS)
 
 
 def thresholds(measured: DataFrame, labels: DataFrame, id_col: str, stratum_col: str, name: str, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """``stratum, rule, step, rejected_good, good, bound`` for every stratum and rule.
+    """A row per stratum: ``stratum, cuts`` (rule -> step), ``level, rejected_good, good, bound``.
 
-    Counts by step come from all labelled documents; half of them (by a hash
-    of the id) certify, the other half tune.
+    All labelled documents are counted: half of them, by a hash of the id,
+    tune, the other half certify.  The groups that decide hold counts only.
     """
     step = lambda rule: F.ceil(F.col(name)[rule] * STEPS).cast("int")
     known = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_quality"))
-    rows = measured.join(known, F.col(id_col) == F.col("_id")).select(
-        F.col(stratum_col).alias("stratum"),
-        (F.pmod(F.xxhash64(F.col("_id")), F.lit(2)) == 0).alias("certifies"),
-        "_quality",
-        F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), step(r).alias("step")) for r in RULES])).alias("r"),
+    rows = frozen(
+        measured.join(known, F.col(id_col) == F.col("_id")).select(
+            F.col(stratum_col).alias("stratum"),
+            (F.pmod(F.xxhash64(F.col("_id")), F.lit(2)) == 0).alias("certifies"),
+            "_quality",
+            F.array(*[F.struct(F.lit(r).alias("rule"), step(r).alias("step")) for r in RULES]).alias("steps"),
+        )
     )
-    counts = rows.groupBy("stratum", "r.rule", "r.step", "certifies", "_quality").agg(F.count("*").alias("n"))
-    counts = frozen(counts)
-    strata = counts.select("stratum").distinct().count()
-    each, limit = error / max(1, strata * len(RULES)), risk / len(RULES)
+    counts = rows.filter("not certifies").select("stratum", "_quality", F.explode("steps").alias("s")).groupBy("stratum", "s.rule", "s.step", "_quality").agg(F.count("*").alias("n"))
 
-    def decide(group: pd.DataFrame) -> pd.DataFrame:
-        def of(certifies: bool, quality: int) -> np.ndarray:
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        def of(rule: str, quality: int) -> np.ndarray:
             out = np.zeros(STEPS + 1)
-            part = group[(group["certifies"] == certifies) & (group["_quality"] == quality)]
+            part = group[(group["rule"] == rule) & (group["_quality"] == quality)]
             np.add.at(out, part["step"].to_numpy(int), part["n"].to_numpy(float))
             return out
 
-        step, rejected, bound = certify(of(True, 1), of(False, 1), of(False, 0), limit, each)
-        return pd.DataFrame({"stratum": [group["stratum"].iloc[0]], "rule": [group["rule"].iloc[0]], "step": [step], "rejected_good": [rejected], "good": [int(of(True, 1).sum())], "bound": [bound]})
+        return pd.DataFrame([{"_stratum": group["stratum"].iloc[0]} | {r: tune(of(r, 1), of(r, 0)) for r in RULES}])
+
+    tuned = frozen(counts.groupBy("stratum").applyInPandas(choose, "_stratum string, " + ", ".join(f"{r} int" for r in RULES)))
+    over = [F.when(F.greatest(*[(F.col("steps")[k]["step"] >= _cut(F.col(r), t)).cast("int") for k, r in enumerate(RULES)]) == 1, 1).otherwise(0) for t in range(LEVELS)]
+    good = rows.filter("certifies and _quality = 1").join(tuned, F.col("stratum").eqNullSafe(F.col("_stratum")))
+    tested = good.groupBy("_stratum").agg(F.count("*").alias("good"), F.array(*[F.sum(x) for x in over], F.lit(0).cast("long")).alias("rejected"))
+    each = error / max(1, tuned.count())
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [certify(np.asarray(r), int(n), risk, each) for r, n in zip(batch["rejected"], batch["good"], strict=True)]
+            yield pd.DataFrame({"of": batch["_stratum"], "level": [x[0] for x in found], "rejected_good": [int(r[x[0]]) for r, x in zip(batch["rejected"], found, strict=True)], "good": batch["good"], "bound": [x[1] for x in found]})
 
-    return counts.groupBy("stratum", "rule").applyInPandas(decide, "stratum string, rule string, step int, rejected_good long, good long, bound double")
+    decided = tested.mapInPandas(decide, "of string, level int, rejected_good long, good long, bound double")
+    cuts = F.create_map(*[x for r in RULES for x in (F.lit(r), F.ceil(F.col(r) + (F.lit(STEPS + 1) - F.col(r)) * F.col("level") / LEVELS).cast("int"))])
+    return tuned.join(decided, F.col("_stratum").eqNullSafe(F.col("of"))).select(F.col("_stratum").alias("stratum"), cuts.alias("cuts"), "level", "rejected_good", "good", "bound")
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
@@ -200,10 +214,8 @@ def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).alias("text"))
     measured = frozen(with_measures(source, "text", "m").select("doc_id", "stratum", "m"))
-    cut = thresholds(measured, labels, "doc_id", "stratum", "m")
-    # One row per stratum, with the cutoffs of its rules.
-    cuts = frozen(cut.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "step"))).alias("cuts")))
-    judged = measured.join(cuts.withColumnRenamed("stratum", "_stratum"), F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
+    cuts = frozen(thresholds(measured, labels, "doc_id", "stratum", "m").select(F.col("stratum").alias("_stratum"), "cuts"))
+    judged = measured.join(cuts, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
     failed = F.array_compact(F.array(*[F.when(F.ceil(F.col("m")[r] * STEPS) >= F.coalesce(F.col("cuts")[r], F.lit(STEPS + 1)), F.lit(r)) for r in RULES]))
     counts = [F.col("m")[c].alias(c) for c in BASE]
     out = judged.select("doc_id", *counts, failed.alias("failed_rules"))
