@@ -139,36 +139,43 @@ def balanced(units: DataFrame) -> DataFrame:
     return out
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """How often each document is taken so that sources meet their target words.
-
-    Returns one row per document: ``doc_id, source, size, source_size, target,
-    copies, taken`` (copies times size).  Null and empty texts have no words;
-    null is a source of its own, the last; rows that repeat id, source and
-    size are one unit and share its decision; an empty table gives no rows;
-    other columns are ignored.  Draws depend on the rows alone, so reruns
-    agree.
-    """
+def shares(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """One row per unit: ``doc_id, source, size, rows`` (how often the row comes), ``source_size, target, copies``."""
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     units = frozen(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")).withColumn("key", F.xxhash64("doc_id", "source", "size")))
-    spark = docs.sparkSession
     # One row per source: what the driver sees is bounded by the number of sources.
-    sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
-    found = targets(sizes.toPandas())
+    found = targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size")).toPandas())
     rows = [(s if isinstance(s, str) else None, int(n), float(t)) for s, n, t in found.itertuples(index=False)]
-    shares = spark.createDataFrame(rows, "source string, source_size long, target double")
+    wanted = docs.sparkSession.createDataFrame(rows, "source string, source_size long, target double")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rated = units.join(F.broadcast(shares), units["source"].eqNullSafe(shares["source"])).drop(shares["source"])
+    rated = units.join(F.broadcast(wanted), units["source"].eqNullSafe(wanted["source"])).drop(wanted["source"])
     # A ratio within 1e-9 of a whole number is that number.
     rated = rated.withColumn("whole", F.floor(ratio + 1e-9).cast("int")).withColumn("part", F.greatest(ratio - F.col("whole"), F.lit(0.0)))
     drawn = balanced(rated.filter("part > 1e-9").select("key", "source", (F.col("size") * F.col("rows")).cast("double").alias("size"), F.col("part").alias("p")))
     picks = drawn.select(F.col("key").alias("picked"), F.col("source").alias("of"), F.col("size").alias("words"), F.col("p").cast("int").alias("extra"))
     same = (F.col("key") == F.col("picked")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("size") * F.col("rows") == F.col("words"))
     copies = (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("int")
-    return (
-        rated.join(picks, same, "left")
-        .withColumn("copies", copies)
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * copies).cast("long").alias("taken"), "rows")
-        .withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-        .drop("_row", "rows")
-    )
+    return rated.join(picks, same, "left").select("doc_id", "source", "size", "rows", "source_size", "target", copies.alias("copies"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """How often each document is taken so that sources meet their target words.
+
+    Returns one row per document: ``doc_id, source, size, source_size, target,
+    copies, taken`` (copies times size).  Null and empty texts have no words;
+    null is a source of its own, the last; rows that repeat id, source and
+    size are one unit and share its decision; an empty table gives no rows;
+    other columns are ignored.  Draws depend on the rows alone, so reruns
+    agree.
+    """
+    units = shares(docs, id_col, text_col, source_col)
+    each = units.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return each.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: ``docs`` with each row as often as ``mix`` takes it."""
+    taken = shares(docs, id_col, text_col, source_col).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source")) & (word_count(F.col(text_col)) == F.col("_size"))
+    repeated = docs.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return repeated.select(*docs.columns)

@@ -195,6 +195,15 @@ def links(prints: DataFrame, budget: int) -> DataFrame:
     return held.groupBy("task").applyInPandas(join, "u bigint, v bigint")
 
 
+def _components(rows: DataFrame, budget: int) -> DataFrame:
+    """``print, component_id`` for each distinct ``print`` of ``rows`` (with ``doc_id``)."""
+    leaves = frozen(rows.groupBy("print").agg(F.min("doc_id").alias("low")))
+    labels = connected(frozen(links(leaves.select("print"), budget)))
+    rooted = leaves.join(labels, leaves["print"] == labels["node"], "left").select("print", F.coalesce("root", "print").alias("root"), "low")
+    smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return rooted.select("print", "root").join(smallest, "root").select("print", "root", "component_id")
+
+
 def group_near(docs: DataFrame, words: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents whose SimHash fingerprints are linked by steps of at most ``budget`` bits.
 
@@ -206,10 +215,18 @@ def group_near(docs: DataFrame, words: int = 5, budget: int = 3, id_col: str = "
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = frozen(with_fingerprint(source, words, "text", "print").select("doc_id", "print"))
-    leaves = frozen(rows.groupBy("print").agg(F.min("doc_id").alias("low")))
-    edges = frozen(links(leaves.select("print"), budget))
-    labels = connected(edges)
-    rooted = leaves.join(labels, leaves["print"] == labels["node"], "left").select("print", F.coalesce("root", "print").alias("root"), "low")
-    smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_print = rooted.select("print", "root").join(smallest, "root").select("print", "component_id")
-    return rows.join(of_print, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(_components(rows, budget), "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of ``group_near``: the one with the smallest id (null last).
+
+    Rows that repeat id and text are one document.
+    """
+    key = [F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("hash")]
+    rows = frozen(with_fingerprint(docs.select(*key, F.col(text_col).alias("text")), words, "text", "print").select("doc_id", "hash", "print"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first")
+    stay = rows.join(_components(rows, budget), "print").groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.hash").alias("_hash"))
+    marked = docs.withColumn("_text_hash", F.xxhash64(F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    return marked.join(stay, same, "left_semi").dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")
