@@ -53,13 +53,14 @@ _WEIGHT_SQL = _REQ_SQL + """, totals AS (
 ), weights AS (
     SELECT rubric_id, ordinal, must, verdict, units + CASE WHEN place <= spare THEN 1 ELSE 0 END AS units FROM placed
 )"""
+# Points are counted in hundredths: units of 0.0001 of the weight are hundredths of a point, half of them rounded up.
 _SCORE_SQL = _WEIGHT_SQL + """, pts AS (
-    SELECT *, CAST(round(CAST(units AS DECIMAL(10,0)) * CASE verdict WHEN 'met' THEN 1.0 WHEN 'partial' THEN 0.5 ELSE 0.0 END / 100, 2) AS DECIMAL(5,2)) AS points FROM weights
+    SELECT *, CASE verdict WHEN 'met' THEN units WHEN 'partial' THEN (units + 1) // 2 ELSE 0 END AS points FROM weights
 ), raw AS (
-    SELECT rubric_id, CAST(SUM(points) AS DECIMAL(5,2)) AS raw_score, MAX(must AND verdict <> 'met') AS must_have_failed FROM pts GROUP BY rubric_id
+    SELECT rubric_id, CAST(SUM(points) AS BIGINT) AS raw, MAX(must AND verdict <> 'met') AS must_have_failed FROM pts GROUP BY rubric_id
 ), scores AS (
-    SELECT rubric_id, raw_score, must_have_failed, must_have_failed AND raw_score > 40 AS cap_applied,
-           CAST(CASE WHEN must_have_failed AND raw_score > 40 THEN 40 ELSE raw_score END AS DECIMAL(5,2)) AS score FROM raw
+    SELECT rubric_id, raw / 100 AS raw_score, must_have_failed, must_have_failed AND raw > 4000 AS cap_applied,
+           CASE WHEN must_have_failed AND raw > 4000 THEN 40.0 ELSE raw / 100 END AS score FROM raw
 )"""
 
 
