@@ -4,7 +4,7 @@ A source whose target is r times its words takes every document floor(r)
 times and, for the rest of r, a sample with equal inclusion probabilities.
 The cube method (Deville and Tille, 2004) draws it: probabilities move inside
 the null space of the balancing constraints (words and documents) until all
-but two are 0 or 1.  Blocks of a source are balanced independently; what they
+but a few are 0 or 1.  Blocks of a source are balanced independently; what they
 leave undecided forms blocks of the next level, until one block per source is
 left, whose last few units land on the side that meets the word total best.
 """
@@ -23,7 +23,7 @@ from quillsift.llm.shared import frozen, word_count
 
 #: Units of a source balanced together in one block.
 BLOCK = 1024
-#: Units of a source that wait for the landing.
+#: Units of a block that wait for the landing, beside the two at most that a flight leaves.
 LANDING = 12
 #: Times that a document may be taken.
 MOST = 3
@@ -79,25 +79,39 @@ def flight(p: np.ndarray, size: np.ndarray, draws: Iterator[float]) -> np.ndarra
 
 
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The last units decided: of all outcomes, the one whose words come nearest to what is expected, then whose count does."""
+    """The last units decided: of all outcomes, the one whose words come nearest to what is expected, then whose count does.
+
+    Where large units leave that far off, one unit that is in changes places
+    with one that is out, the pair that helps most.
+    """
     rest = np.flatnonzero((p > 0) & (p < 1))
     outcomes = (np.arange(1 << len(rest))[:, None] >> np.arange(len(rest))) & 1
-    words = np.abs(outcomes @ size[rest] - float(np.dot(p[rest], size[rest])))
+    off = outcomes @ size[rest] - float(np.dot(p[rest], size[rest]))
     count = np.abs(outcomes.sum(axis=1) - p[rest].sum())
+    best = np.lexsort((count, np.abs(off).round(6)))[0]
     p = p.copy()
-    p[rest] = outcomes[np.lexsort((count, words.round(6)))[0]]
+    p[rest] = outcomes[best]
+    ins, outs = np.flatnonzero(p == 1), np.flatnonzero(p == 0)
+    if len(ins) and len(outs):
+        outs = outs[np.argsort(size[outs], kind="stable")]
+        # A unit of this size coming in for the one going out would end it.
+        at = np.searchsorted(size[outs], size[ins] - off[best])
+        pairs = [(abs(off[best] + size[outs[k]] - size[i]), int(i), int(outs[k])) for i, a in zip(ins, at, strict=True) for k in (a - 1, a) if 0 <= k < len(outs)]
+        left, i, o = min(pairs)
+        if left < abs(off[best]):
+            p[i], p[o] = 0.0, 1.0
     return p
 
 
-def settle(p: np.ndarray, size: np.ndarray, draws: Iterator[float]) -> np.ndarray:
-    """All units decided: LANDING of them, spread over the sizes, wait for the landing with the two that the flight leaves."""
+def fly(p: np.ndarray, size: np.ndarray, draws: Iterator[float]) -> np.ndarray:
+    """The flight of all units but LANDING of them, spread over the sizes, which wait for the landing."""
     rest = np.flatnonzero((p > 0) & (p < 1))
     wait = rest[np.unique(np.linspace(0, len(rest) - 1, min(LANDING, len(rest))).astype(int))] if len(rest) else rest
     flying = p.copy()
     flying[wait] = 0.0
     moved = flight(flying, size, draws)
     moved[wait] = p[wait]
-    return land(moved, size)
+    return moved
 
 
 def _decide(last: bool):
@@ -106,7 +120,9 @@ def _decide(last: bool):
         size, p = block["size"].to_numpy(float), block["p"].to_numpy(float)
         rng = np.random.default_rng(int(block["key"].iloc[0]) & (2**63 - 1))
         draws = iter(rng.random, None)
-        moved = settle(p, size, draws) if last else flight(p, size, draws)
+        moved = fly(p, size, draws)
+        if last:
+            moved = land(moved, size)
         return block.assign(p=moved)[["key", "source", "size", "p"]]
 
     return run
@@ -119,7 +135,7 @@ def balanced(units: DataFrame) -> DataFrame:
     """``key, source, p`` with p 0 or 1, for units ``key, source, size, p``, balanced by source on size and count.
 
     Blocks of about BLOCK units by key, level by level; every level but the
-    last leaves at most two units of each block undecided.
+    last leaves at most LANDING + 2 units of each block undecided.
     """
     done, left = [], units
     while True:
