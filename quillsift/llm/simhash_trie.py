@@ -9,7 +9,7 @@ paths are within the budget of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -135,10 +135,19 @@ def join_tries(a: Trie, b: Trie, budget: int, same: bool) -> Iterator[tuple[np.n
         todo.append((depth + 1, np.concatenate(nu), np.concatenate(nv), np.concatenate(nd)))
 
 
-def forest(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For each of n nodes the smallest node that the pairs connect it to."""
+def forest(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]], near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """For each of n nodes the smallest node that the pairs connect it to.
+
+    With ``near``, only pairs that it accepts count; it isn't asked about
+    pairs that are connected already.
+    """
     label = np.arange(n)
     for i, j in pairs:
+        if near is not None:
+            open_ = label[i] != label[j]
+            i, j = i[open_], j[open_]
+            close = near(i, j)
+            i, j = i[close], j[close]
         while len(i):
             i, j = label[i], label[j]
             apart = i != j
@@ -201,7 +210,7 @@ def _components(rows: DataFrame, budget: int) -> DataFrame:
     labels = connected(frozen(links(leaves.select("print"), budget)))
     rooted = leaves.join(labels, leaves["print"] == labels["node"], "left").select("print", F.coalesce("root", "print").alias("root"), "low")
     smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rooted.select("print", "root").join(smallest, "root").select("print", "root", "component_id")
+    return rooted.select("print", "root").join(smallest, "root").select("print", "component_id")
 
 
 def group_near(docs: DataFrame, words: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,17 +225,3 @@ def group_near(docs: DataFrame, words: int = 5, budget: int = 3, id_col: str = "
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = frozen(with_fingerprint(source, words, "text", "print").select("doc_id", "print"))
     return rows.join(_components(rows, budget), "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, words: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of ``group_near``: the one with the smallest id (null last).
-
-    Rows that repeat id and text are one document.
-    """
-    key = [F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("hash")]
-    rows = frozen(with_fingerprint(docs.select(*key, F.col(text_col).alias("text")), words, "text", "print").select("doc_id", "hash", "print"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first")
-    stay = rows.join(_components(rows, budget), "print").groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.hash").alias("_hash"))
-    marked = docs.withColumn("_text_hash", F.xxhash64(F.col(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
-    return marked.join(stay, same, "left_semi").dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillsift.llm import components, exact_dedup, extendible, line_dedup, sharding, simhash_trie
+from quillsift.llm import components, exact_dedup, extendible, line_dedup, near_copies, sharding, simhash_trie
 from tests.llm.conftest import HARD
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -105,9 +105,46 @@ def test_simhash_hard_rows(hard, empty):
     assert len(got) == len(HARD) and {r.component_id for r in got if int(r.fingerprint, 16) == 0} == {2}
     assert {r.component_id for r in got if r.doc_id in (1, 8)} == {1}
     assert simhash_trie.group_near(empty).count() == 0
-    kept = simhash_trie.keep_one(hard, 5, 3)
+
+
+def test_near_copies(spark, hard, empty):
+    """Copies at 0.85 and over go, texts without a partner at 0.6 stay."""
+    rng = random.Random(11)
+    rows, base = [], []
+    for k in range(160):
+        if k % 4 == 0:
+            base = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(120, 300))]
+            words = base
+        else:
+            words = list(base)
+            for _ in range(k % 4 if k % 8 < 4 else 40):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(4000)}"
+        rows.append((k, " ".join(words)))
+    shingles = {k: set(zip(*[t.split()[i:] for i in range(5)], strict=False)) for k, t in rows}
+    like = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+    got = near_copies.groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)).collect()
+    root = {r.doc_id: r.root for r in got}
+    pairs = [(a, b) for a in root for b in root if a < b]
+    close = [p for p in pairs if like(*p) >= 0.85]
+    assert len(close) > 40 and sum(root[a] == root[b] for a, b in close) >= 0.97 * len(close)
+    assert all(root[a] != root[b] for a, b in pairs if a // 4 != b // 4)
+    assert all(root[a] != root[b] for a, b in pairs if max((like(a, c) for c in root if c != a), default=0) < 0.6)
+    kept = near_copies.keep_one(hard)
     assert kept.columns == hard.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 4, 7]
-    assert simhash_trie.keep_one(empty).count() == 0
+    assert near_copies.keep_one(empty).count() == 0
+
+
+def test_near_copies_check_all_pairs_in_blocks(monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 7)
+    starts, counts = np.array([0, 3, 4]), np.array([3, 1, 5])
+    blocks = list(near_copies._pairs_of([(np.array([0, 2]), np.array([2, 1]))], starts, counts))
+    found = [(i, j) for x, y in blocks for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+    assert sorted(found) == sorted([(i, j) for i in range(3) for j in range(4, 9)] + [(i, 3) for i in range(4, 9)])
+
+
+def test_plan_grows_with_the_corpus():
+    bits = [near_copies.plan(n, 0.8)[0] for n in (10, 10**5, 10**8)]
+    assert bits == sorted(bits) and near_copies.plan(10**5, 0.9)[2] < near_copies.plan(10**5, 0.8)[2]
 
 
 def test_exact_dedup(hard, empty):
