@@ -60,8 +60,8 @@ def requirement_json(text: Column, category: Column, must_have: Column, weight:
 
 def escaped(json: Column) -> Column:
     """JSON with characters beyond ASCII as \\uXXXX (UTF-16 units); ASCII text isn't touched."""
-    units = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", "\\\\\\\\u$1")
-    pieces = F.transform(F.split(json, ""), lambda c: F.when(c.rlike(r"^[^\x00-\x7F]"), units(c)).otherwise(c))
+    units = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", "\\\\u$1")
+    pieces = F.transform(F.regexp_extract_all(json, F.lit("(?s)."), F.lit(0)), lambda c: F.when(c.rlike(r"^[^\x00-\x7F]"), units(c)).otherwise(c))
     return F.when(json.rlike(r"[^\x00-\x7F]"), F.array_join(pieces, "")).otherwise(json)
 
 
