@@ -60,7 +60,8 @@ def sliding_limit(events: DataFrame, key: str, time: str, tie: str, capacity: in
     with the state of one key, so a key with very many events is streamed, not
     gathered.
     """
-    rows = events.select(F.col(key).alias("key"), F.col(time).cast("double").alias("at"), F.col(tie).alias("tie"))
+    # Keys go to Python as text: pandas would make longs beside nulls doubles.
+    rows = events.select(F.col(key).cast("string").alias("key"), F.col(time).cast("double").alias("at"), F.col(tie).alias("tie"))
     kind = events.schema[key].dataType.simpleString(), events.schema[tie].dataType.simpleString()
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,8 +75,8 @@ def sliding_limit(events: DataFrame, key: str, time: str, tie: str, capacity: in
             yield batch.assign(accepted=taken)
 
     ordered = rows.repartition("key").sortWithinPartitions("key", "at", "tie")
-    out = ordered.mapInPandas(walk, f"key {kind[0]}, at double, tie {kind[1]}, accepted boolean")
-    return out.select(F.col("key").alias(key), F.col("at").alias(time), F.col("tie").alias(tie), "accepted")
+    out = ordered.mapInPandas(walk, f"key string, at double, tie {kind[1]}, accepted boolean")
+    return out.select(F.col("key").cast(kind[0]).alias(key), F.col("at").alias(time), F.col("tie").alias(tie), "accepted")
 
 
 def reserve(requests: DataFrame, tpm: int = 100_000, rpm: int = 60, rpd: int = 10_000) -> DataFrame:
