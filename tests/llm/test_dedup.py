@@ -134,6 +134,42 @@ def test_near_copies(spark, hard, empty):
     assert near_copies.keep_one(empty).count() == 0
 
 
+def altered(rng, words, changes):
+    out = list(words)
+    for at in rng.sample(range(len(out)), changes):
+        out[at] = f"y{rng.randrange(10**6)}"
+    return out
+
+
+def exact_groups(rows):
+    sets = {k: set(zip(*[t.split()[i:] for i in range(5)], strict=False)) for k, t in rows}
+    return brute_components(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+
+
+@pytest.mark.parametrize("group", [512, 8])
+def test_near_copies_are_linked_by_exact_similarity(spark, monkeypatch, group):
+    """Texts at 0.65 to 0.8 stay apart although their sketches are near; copies at 0.8 and over go, in groups of many blocks too."""
+    monkeypatch.setattr(near_copies, "GROUP", group)
+    rng, texts = random.Random(12), []
+    for _ in range(30):
+        base = [f"w{rng.randrange(4000)}" for _ in range(200)]
+        texts += [base, altered(rng, base, rng.choice([6, 7, 8]))]
+    star = [f"w{rng.randrange(4000)}" for _ in range(200)]
+    texts += [star, *(altered(rng, star, 4) for _ in range(40)), *(altered(rng, star, 7) for _ in range(20))]
+    chain = [f"w{rng.randrange(4000)}" for _ in range(200)]
+    for _ in range(30):
+        chain = altered(rng, chain, 3)
+        texts.append(chain)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    root = {r.doc_id: r.root for r in near_copies.groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)).collect()}
+    expected = exact_groups(rows)
+    smallest = {}
+    for k in sorted(root):
+        smallest.setdefault(root[k], k)
+    assert {k: smallest[r] for k, r in root.items()} == expected
+    assert 50 < len(set(expected.values())) < len(rows) - 50
+
+
 def test_near_copies_check_all_pairs_in_blocks(monkeypatch):
     monkeypatch.setattr(near_copies, "BLOCK", 7)
     starts, counts = np.array([0, 3, 4]), np.array([3, 1, 5])
