@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillsift.llm.shared import word_count
+
 SPAN = 3
 
 
@@ -17,41 +22,58 @@ def _key(id_col: str, text_col: str) -> Column:
     return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"))
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``key, at, h1, h2`` for each window of three consecutive lines that has a word (128 hash bits of the lines, trimmed)."""
+def windows(docs: DataFrame, id_col: str, text_col: str, passage: int | None = None) -> DataFrame:
+    """``key, at, h1, h2`` for each window of three consecutive lines that has a word (128 hash bits of the lines, trimmed).
+
+    With ``passage``, windows of one and two lines with more words than that besides, and ``span``, the lines of each.
+    """
     bare = F.transform(_lines(F.col(text_col)), lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
-    named = docs.select(_key(id_col, text_col).alias("key"), bare.alias("bare")).filter(F.size("bare") >= SPAN)
+    named = docs.select(_key(id_col, text_col).alias("key"), bare.alias("bare"))
+
+    def hashed(at: Column, span: int) -> Column:
+        lines = [F.get("bare", at + k) for k in range(span)]
+        if span == SPAN:
+            wanted = F.length(F.concat(*lines)) > 0
+        else:
+            wanted = reduce(add, [F.get("counts", at + k) for k in range(span)]) > passage
+        parts = [at.alias("at"), F.xxhash64(*lines).alias("h1"), F.xxhash64(F.lit(1 + SPAN - span), *reversed(lines)).alias("h2")]
+        return F.when(wanted, F.struct(*parts, *([] if passage is None else [F.lit(span).alias("span")])))
 
-    def hashed(at: Column) -> Column:
-        lines = [F.get("bare", at + k) for k in range(SPAN)]
-        blank = F.length(F.concat(*lines)) == 0
-        return F.when(~blank, F.struct(at.alias("at"), F.xxhash64(*lines).alias("h1"), F.xxhash64(F.lit(1), *reversed(lines)).alias("h2")))
+    def found(span: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size("bare") - span), lambda at: hashed(at, span))
 
-    found = F.transform(F.sequence(F.lit(0), F.size("bare") - SPAN), hashed)
-    return named.select("key", F.explode(found).alias("w")).filter("w is not null").select("key", "w.at", "w.h1", "w.h2")
+    if passage is None:
+        return named.filter(F.size("bare") >= SPAN).select("key", F.explode(found(SPAN)).alias("w")).filter("w is not null").select("key", "w.at", "w.h1", "w.h2")
+    counted = named.withColumn("counts", F.transform("bare", word_count))
+    every = F.concat(*[F.when(F.size("bare") >= span, found(span)).otherwise(F.array()) for span in range(1, SPAN + 1)])
+    return counted.select("key", F.explode(every).alias("w")).filter("w is not null").select("key", "w.at", "w.h1", "w.h2", "w.span")
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int | None = None) -> DataFrame:
     """``key, removed``: for each document with later occurrences of windows, the sorted positions of the lines that these cover."""
-    seen = windows(docs, id_col, text_col)
+    seen = windows(docs, id_col, text_col, passage)
+    span = F.lit(SPAN) if passage is None else F.col("span")
     firsts = seen.groupBy("h1", "h2").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = seen.join(firsts, ["h1", "h2"]).filter(F.struct("key", "at") > F.col("first"))
-    covered = later.select("key", F.explode(F.sequence("at", F.col("at") + (SPAN - 1))).alias("line"))
+    covered = later.select("key", F.explode(F.sequence("at", F.col("at") + span - 1)).alias("line"))
     return covered.groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int | None = None) -> DataFrame:
     """``docs`` without the lines of repeated three-line windows, and ``removed_lines``, their positions (from 0).
 
     The first occurrence of a window, by id and position in the text, stays;
     the lines that later ones cover are removed, overlapping windows together.
     Lines are what newlines separate, compared without the white space around
-    them; windows of blank lines only are never repeats.  Texts without
+    them; windows of blank lines only are never repeats.
+    With ``passage``, one or two lines of more words than that together are
+    windows too; without it, such repeats stay where no window of three lines
+    around them is repeated, and in texts of under three lines.  Texts without
     removed lines are unchanged (null stays null); one that loses all lines is
     empty.  Rows that repeat id and text count as one document and lose the
     same lines; null ids come first.  Other columns pass through.
     """
-    gone = repeated(docs, id_col, text_col).select(F.col("key").alias("_key"), F.col("removed").alias("_removed"))
+    gone = repeated(docs, id_col, text_col, passage).select(F.col("key").alias("_key"), F.col("removed").alias("_removed"))
     marked = docs.join(gone, _key(id_col, text_col).eqNullSafe(F.col("_key")), "left")
     kept = F.filter(_lines(F.col(text_col)), lambda _, at: ~F.array_contains("_removed", at))
     text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))

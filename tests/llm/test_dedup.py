@@ -226,6 +226,15 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == expected and sum(bool(x[1]) for x in expected.values()) > 30
 
 
+def test_long_passages_of_one_or_two_lines(spark):
+    long, half = " ".join(f"w{k}" for k in range(60)), [" ".join(f"{c}{k}" for k in range(30)) for c in "ab"]
+    rows = [(1, f"x\n{long}\ny"), (2, long), (3, f"p\n {long} \nq\nr"), (4, "\n".join(half)), (5, "\n".join(["s", *half])), (6, half[0]), (7, "short\nlines"), (8, "short\nlines"), (9, None), (10, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.text, r.removed_lines) for r in line_dedup.dedup_lines(docs, passage=50).collect()}
+    gone = {2: ("", [0]), 3: ("p\nq\nr", [1]), 5: ("s", [1, 2])}
+    assert got == {k: gone.get(k, (t, [])) for k, t in rows}
+
+
 def test_line_dedup_hard_rows(hard, empty):
     out = line_dedup.dedup_lines(hard)
     assert out.columns == [*hard.columns, "removed_lines"] and out.count() == len(HARD)
