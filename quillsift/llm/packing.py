@@ -9,6 +9,7 @@ underfull bins of ``fan_in`` children by best fit again, until one node is left.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -79,12 +80,32 @@ _loaded: dict[str, Ids] = {}
 
 
 def token_ids(path: str) -> Ids:
-    """The worker's tokenizer for a vocabulary file, loaded once."""
+    """The worker's tokenizer for a vocabulary file, loaded once; added tokens are text like any other to it."""
     if path not in _loaded:
         _loaded[path] = Ids(path)
     return _loaded[path]
 
 
+def default_ids(path: str) -> Callable[[str], bytes]:
+    """The ids that ``tokenizers`` gives at its default setting: added tokens of the file, found first, have their own."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens with flags")
+    plain, own = token_ids(path), {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+    if not own:
+        return plain
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(own, key=len, reverse=True))) + ")").split
+
+    def encode(text: str) -> bytes:
+        first, *rest = cut(text)
+        if not rest:
+            return plain(text)
+        return plain(first) + b"".join(own[x] if k % 2 == 0 else plain(x) for k, x in enumerate(rest))
+
+    return encode
+
+
 def pieces_of(doc_id: int | None, ids: bytes, capacity: int) -> Iterator[tuple]:
     """(doc_id, piece, start, length, crc32) of a document's ids, with the closing id 0."""
     ids += b"\0\0\0\0"
@@ -146,7 +167,7 @@ def _member(x) -> tuple:
     return tuple(x[k] for k in ("doc_id", "piece", "start", "length", "ids_crc32")) if isinstance(x, dict) else tuple(x)
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8, carry: int = 32, near_full: float = 0.98, tokenizer: Callable[[str], Callable[[str], bytes]] = token_ids) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8, carry: int = 32, near_full: float = 0.98, tokenizer: Callable[[str], Callable[[str], bytes]] = default_ids) -> DataFrame:
     """Pack the documents' token sequences (each closed by id 0) into bins of ``capacity`` tokens.
 
     Returns one row per piece: ``doc_id, piece, start, length, ids_crc32,

@@ -35,6 +35,18 @@ def test_ids_are_the_tokenizers(tokenizer):
         assert ids(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
+def test_added_tokens_have_their_ids(spark):
+    """At the default setting of ``tokenizers``, the literal of an added token is that token."""
+    default = Tokenizer.from_file(BYTE_BPE)
+    ids, rng = packing.default_ids(BYTE_BPE), random.Random(4)
+    parts = [" ", "  ", "\n", "a", "Bc", "'s", "12", "é", "|", "<|", "<|endoftext|>", "\xa0", "中"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", *("".join(rng.choices(parts, k=rng.randrange(9))) for _ in range(2000))]
+    wanted = {k: np.array(default.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for k, t in enumerate(texts)}
+    assert all(ids(t) == wanted[k] for k, t in enumerate(texts))
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts[:50])), "doc_id bigint, text string"), BYTE_BPE, 256).collect()
+    unpack(got, {k: wanted[k] + bytes(4) for k in range(50)}, 256)
+
+
 def unpack(rows, ids, capacity):
     """Check pieces and places; returns the ids of each document."""
     bins, docs = {}, {}
