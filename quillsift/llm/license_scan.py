@@ -1,9 +1,10 @@
 """Scans for license notices: MinHash bands retrieve templates, exact shingle containment verifies them.
 
-A text is cut into overlapping windows of each size that templates have.  A
-window has twice as many shingles as the templates of its class at least, and
-windows overlap by half, so a notice lies wholly inside one of them.  Windows
-that agree with a template in one MinHash band at least are candidates.
+A text is cut into windows of twice as many shingles as a template has, which
+overlap so that each stretch of 1.25 times its length lies wholly inside one of
+them.  Windows that agree with a template in one MinHash band at least are
+candidates.  Templates of five words or fewer are one shingle, of that many
+words, and found exactly.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ SHINGLE = 5
 #: A template is found where this share of its shingles is.
 CONTAINMENT = 0.8
 #: Bands of ROWS values.  A window with a share CONTAINMENT of a template's m shingles, in a window of 2 m, has a
-#: resemblance of 0.8 / 2.2 = 0.36 at least: one band in 24 agrees with a probability of 1 - 0.64 ** 24 > 0.9999.
+#: resemblance of 0.8 / 2.2 = 0.36 at least: one band in 24 agrees with a probability of 1 - 0.64 ** 24 > 0.9999,
+#: whatever m is.
 BANDS = 24
 ROWS = 1
 
@@ -44,6 +46,9 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced",
 }
 
+#: TEMPLATES with the notice of rights as texts have it.
+NOTICES = TEMPLATES | {"all-rights-reserved": "All rights reserved."}
+
 _TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+").findall
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -51,12 +56,20 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 def shingles(text: bytes) -> np.ndarray:
     """Hashes of the runs of SHINGLE words (ASCII letters lower-cased, punctuation aside); of all words if there are fewer."""
+    return _runs(_word_hashes(text), SHINGLE)
+
+
+def _word_hashes(text: bytes) -> np.ndarray:
     words = _TOKEN(text.translate(_LOWER))
-    size = min(SHINGLE, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _runs(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` words, given those of the words; of all words if there are fewer."""
+    size = min(size, len(h))
     if not size:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    n = len(words) - size + 1
+    n = len(h) - size + 1
     mixed = np.full(n, size, np.uint64)
     for k in range(size):
         mixed = (mixed ^ h[k : k + n]) * _ODD
@@ -88,31 +101,36 @@ class Scanner:
     def __init__(self, templates: Mapping[str, str]):
         self.names = sorted(templates)
         self.sets = [np.unique(shingles(templates[n].encode())) for n in self.names]
-        self.classes: dict[int, list[int]] = defaultdict(list)
+        #: Templates of one shingle by its words, found where it is; all others by their number of shingles.
+        self.single: dict[int, list[int]] = defaultdict(list)
+        classes: dict[int, list[int]] = defaultdict(list)
         for k, s in enumerate(self.sets):
-            if len(s):
-                self.classes[1 << max(0, (len(s) - 1).bit_length())].append(k)
+            if len(s) == 1:
+                self.single[min(SHINGLE, len(_word_hashes(templates[self.names[k]].encode())))].append(k)
+            elif len(s):
+                classes[len(s)].append(k)
         self.bands: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for step, members in self.classes.items():
+        for m, members in classes.items():
             keys = np.stack([_band_keys(_permuted(self.sets[k]).min(axis=1, keepdims=True))[:, 0] for k in members])
             flat, band, owner = keys.ravel(), np.tile(np.arange(BANDS), len(members)), np.repeat(members, BANDS)
             order = np.argsort(flat)
-            self.bands[step] = flat[order], band[order], owner[order]
+            self.bands[m] = flat[order], band[order], owner[order]
 
     def candidates(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(template, first shingle, end) of windows that agree with a template in a band."""
         if not len(h):
             return
-        block, size = _permuted(h), 1
-        for step in sorted(self.bands):
-            while size < step:
-                # Minima over blocks twice as long, from those there are.
-                if block.shape[1] % 2:
-                    block = np.concatenate((block, np.full((block.shape[0], 1), np.iinfo(np.uint64).max, np.uint64)), axis=1)
-                block, size = np.minimum(block[:, ::2], block[:, 1::2]), size * 2
-            window = np.minimum(block[:, :-1], block[:, 1:]) if block.shape[1] > 1 else block
+        block, size, n = _permuted(h), 1, len(h)
+        for m in sorted(self.bands):
+            length, step = 2 * m, m - m // 4 + 1
+            while 2 * size <= min(length, n):
+                # Minima over stretches twice as long, from each place.
+                block, size = np.minimum(block[:, :-size], block[:, size:]), size * 2
+            # The last window ends with the text.
+            starts = np.minimum(np.arange(0, max(1, n - length + step), step), max(0, n - length))
+            window = np.minimum(block[:, starts], block[:, starts + min(length, n) - size])
             keys = _band_keys(window)
-            flat, band, owner = self.bands[step]
+            flat, band, owner = self.bands[m]
             at = np.searchsorted(flat, keys)
             hit = flat[np.minimum(at, len(flat) - 1)] == keys
             found = set()
@@ -120,15 +138,22 @@ class Scanner:
                 k = at[b, w]
                 while k < len(flat) and flat[k] == keys[b, w]:
                     if band[k] == b:
-                        found.add((int(owner[k]), int(w)))
+                        found.add((int(owner[k]), int(starts[w])))
                     k += 1
-            for template, w in sorted(found):
-                yield template, w * step, (w + 2) * step
+            for template, start in sorted(found):
+                yield template, start, start + length
 
     def scan(self, text: bytes) -> list[tuple[str, int, float]]:
         """(template, first word of the best place, containment) for each template found, verified on the exact shingles."""
-        h = shingles(text)
+        word_hashes = _word_hashes(text)
+        h = _runs(word_hashes, SHINGLE)
         best: dict[int, tuple[float, int]] = {}
+        for size, members in self.single.items():
+            runs = h if size == SHINGLE else _runs(word_hashes, size)
+            for k in members:
+                at = np.flatnonzero(runs == self.sets[k][0])
+                if len(at):
+                    best[k] = (1.0, -int(at[0]))
         for template, start, end in self.candidates(h):
             wanted = self.sets[template]
             # A template's place may begin anywhere in the window, so its own length is looked at from each start.
@@ -146,7 +171,8 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_
     """Templates found in each document: ``doc_id, license, first_word, containment``, a row for each.
 
     A template is found where a stretch of at most 1.25 times its length has
-    80 % of its five-word shingles; ``containment`` is the largest share,
+    80 % of its five-word shingles (one of under five words: where these stand
+    in a row); ``containment`` is the largest share,
     ``first_word`` (from 0, punctuation aside) the first place with it.  Words
     are compared in lower case without punctuation.  Documents without any,
     null and empty texts among them, give no row; repeated rows give theirs

@@ -159,6 +159,25 @@ def test_licenses_equal_brute_force(spark, hard, empty):
     assert license_scan.scan_licenses(hard).count() == 0 and license_scan.scan_licenses(empty).count() == 0
 
 
+def test_short_notices_are_found_inside_texts(spark):
+    rows = [(1, "Copyright 2020 Acme. ALL RIGHTS reserved. Write to us."), (2, "All rights are reserved."), (3, "All rights reserved.")]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string"), license_scan.NOTICES).collect()
+    assert sorted((r.doc_id, r.license, r.first_word, r.containment) for r in got) == [(1, "all-rights-reserved", 3, 1.0), (3, "all-rights-reserved", 0, 1.0)]
+
+
+def test_license_windows_are_twice_their_template():
+    """The bound on misses holds for windows of 2 m shingles that have the whole notice."""
+    scanner = license_scan.Scanner(license_scan.NOTICES)
+    for name, wanted in zip(scanner.names, scanner.sets, strict=True):
+        for before in range(0, 150, 7):
+            words = [f"a{k}" for k in range(before)] + license_scan.NOTICES[name].split() + [f"b{k}" for k in range(150)]
+            text = " ".join(words).encode()
+            mine = [(s, e) for t, s, e in scanner.candidates(license_scan.shingles(text)) if scanner.names[t] == name]
+            assert len(wanted) == 1 or any(s <= before and before + len(wanted) <= e for s, e in mine), (name, before)
+            assert all(e - s <= 2 * len(wanted) for s, e in mine)
+            assert (name, before, 1.0) in scanner.scan(text)
+
+
 # --- quality rules --------------------------------------------------------------------------------
 
 
