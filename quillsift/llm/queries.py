@@ -49,7 +49,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
+    return license_scan.scan_licenses(read(spark, sf_dir, "documents"), license_scan.NOTICES)
 
 
 def op9_balanced_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
