@@ -313,7 +313,7 @@ def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def similar_documents(spark, sf_dir):
     versions = _versions(spark, sf_dir).withColumn("tenant_id", F.lit("t"))
     chunks = search.index_versions(versions)
-    sources = versions.filter("document_id % 200 = 0").select("tenant_id", "document_id")
+    sources = versions.filter("document_id % 20 = 0").select("tenant_id", "document_id")
     return search.similar(sources, chunks).select("query_id", "document_id", F.round("score", 6).alias("score"), "rank")
 
 
