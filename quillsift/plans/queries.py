@@ -297,9 +297,19 @@ def hybrid_search(spark, sf_dir):
     return _shown(search.candidates(asked, chunks, "hybrid"))
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All terms of each benchmark item as queries, documents as chunks, both with an embedding."""
+    vectors = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_v"), "embedding")
+    n = vectors.count()
+    asked = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("t").alias("tenant_id"), F.col("text").alias("query"))
+    chunks = _texts(spark, sf_dir)[1].withColumn("_v", F.col("chunk_id") % n).join(vectors, "_v").withColumn("is_parent", F.lit(False))
+    return asked.withColumn("_v", F.col("query_id") % n).join(vectors, "_v"), chunks
+
+
 @query()
 def retrieval_funnel(spark, sf_dir):
-    asked, chunks = _hybrid(spark, sf_dir)
+    """Whole benchmark items against all documents, with all vectors: ids take the vector of their remainder by the number of these."""
+    asked, chunks = _whole(spark, sf_dir)
     return search.funnel(asked, chunks)[1]
 
 

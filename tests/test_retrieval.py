@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillsift.operators import retrieval
-from quillsift.plans import search
+from quillsift.plans import queries, search
 
 HIT = "query_id string, chunk_id string, document_id string, score double, rank int"
 
@@ -89,3 +89,19 @@ def test_search_modes(spark):
     assert all(s.chunk_id % 2 for r in search.candidates(q, chunks, sections=["skills"]).collect() for s in r.spans)
     with pytest.raises(ValueError):
         search.candidates(q, chunks, "other")
+
+
+def test_similar_documents_asks_for_each_twentieth_id(spark, data, monkeypatch):
+    asked = []
+    monkeypatch.setattr(queries.search, "similar", lambda sources, chunks: asked.append(sources) or spark.createDataFrame([], "query_id long, document_id long, score double, rank int"))
+    queries.similar_documents(spark, data)
+    ids = [r.doc_id for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id").collect()]
+    assert sorted(r.document_id for r in asked[0].collect()) == sorted(k for k in ids if k % 20 == 0)
+
+
+def test_funnel_takes_whole_texts_and_all_vectors(spark, data):
+    asked, chunks = queries._whole(spark, data)
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
+    assert {r.query_id: r["query"] for r in asked.collect()} == texts
+    docs, vectors = (spark.read.parquet(f"{data}/{t}.parquet").count() for t in ("documents", "embeddings"))
+    assert chunks.count() == docs and chunks.select("_v").distinct().count() == min(docs, vectors)
