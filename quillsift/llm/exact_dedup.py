@@ -1,12 +1,31 @@
-"""Exact de-duplication by an extendible-hash index on shared files."""
+"""Exact de-duplication by an extendible-hash index on shared files.
+
+Rows are known by the leading bits of their text's digest.  Every map task
+inserts one entry per digest (partial minima and counts, so a hot text is one
+row of it), the directory doubles until no bucket is overfull, and owner tasks,
+each with a range of keys, write the buckets' pages in key order to the shared
+folder.  Entries with several rows are chains: their bytes are compared, and
+where one digest has different texts, each text becomes a link of its own.
+Rows find what stays by bucket, digest and link.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm.extendible import Directory, build, leading_bits
-from quillsift.llm.shared import frozen
+from quillsift.llm.shared import frozen, shared_folder
+
+#: Entries of one bucket.
+CAPACITY = 100_000
+#: A digest of more than so small a part of all rows is hot; there can't be more than HOT of them, so they are broadcast.
+HOT = 1000
+#: Digests of several rows are broadcast up to so many (70 bytes each), else they meet the texts by a shuffle.
+FEW = 500_000
 
 
 def normalised(text: Column) -> Column:
@@ -17,31 +36,93 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
-def _keys(text: str) -> list[Column]:
-    """What an entry is found by: its digest, and by which entries of one digest are told apart (the chain), length and another hash."""
-    norm = F.col(text)
-    digest = F.sha2(norm.cast("binary"), 256)
-    return [digest.alias("text_sha256"), F.octet_length(norm).alias("length"), F.xxhash64(norm).alias("other"), leading_bits(digest).alias("bits")]
+def keyed(docs: DataFrame, digest_bits: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, norm, text_sha256, key`` (the digest's first bits, in hex) for each row."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
+    hashed = texts.withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256))
+    return hashed.withColumn("key", F.substring("text_sha256", 1, digest_bits // 4))
 
 
-def index(docs: DataFrame, capacity: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Directory]:
-    """The index of distinct texts, and its directory.
+@dataclass
+class Index:
+    """The index of a table's texts.
 
-    Copies are united before anything is dealt out: the aggregation hashes
-    the texts, chains collisions and compares bytes, and a hot text leaves
-    each map task as one row.  Entries go to buckets of at most ``capacity``
-    entries, ranges of the leading bits of their digest; the directory splits
-    overfull buckets only.  Columns: ``text_sha256, length, other, bits,
-    keep_id, group_size``, and ``depth, prefix`` of the bucket.
+    ``pages``: a row per link, ``depth, prefix`` (its bucket), ``bits, key,
+    chain, keep_id, group_size``; ``rows``: ``doc_id, text_sha256, key`` of
+    each row whose digest has one text, ``linked``: those of the others, with
+    ``chain``; ``directory`` leads to buckets, ``hot`` is the number of rows
+    from which a digest is hot.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
-    united = texts.groupBy("norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    entries = frozen(united.select(*_keys("norm"), "keep_id", "group_size", F.lit(1).alias("one")))
-    directory = build(entries, capacity, "one")
-    return directory.route(entries).drop("one"), directory
 
+    pages: DataFrame
+    rows: DataFrame
+    linked: DataFrame | None
+    directory: Directory
+    hot: int
 
-def dedup(docs: DataFrame, capacity: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def chains(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, norm, text_sha256, key) with ``chain``: which of the different texts of its digest a row has.
+
+    The text of the smallest id is compared with all others; those that differ
+    go on to the next link, round by round.
+    """
+    done, left = [], frozen(rows)
+    while not left.isEmpty():
+        heads = left.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "norm"))["norm"].alias("head"))
+        met = frozen(left.join(heads, "key"))
+        done.append(met.filter("norm = head").select("doc_id", "text_sha256", "key", F.lit(len(done)).alias("chain")))
+        left = met.filter("norm != head").drop("head")
+    return reduce(DataFrame.unionByName, done)
+
+
+def index(docs: DataFrame, capacity: int = CAPACITY, digest_bits: int = 256, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """Build the index: jobs run here, and its pages are in the shared folder when it returns.
+
+    ``digest_bits`` of SHA-256 are the key (fewer of them make collisions, for
+    tests; results are the same).  Bytes are compared by the smallest and the
+    largest text of each digest, which are equal only if all are; these are
+    partial minima too, so neither a hot digest nor its texts meet in a task.
+    """
+    rows = frozen(keyed(docs, digest_bits, id_col, text_col).select("doc_id", "text_sha256", "key"))
+    bits = leading_bits(F.rpad("key", 8, "0"))
+    entries = frozen(rows.groupBy("key").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).withColumn("bits", bits))
+    total, several = entries.agg(F.coalesce(F.sum("group_size"), F.lit(0)), F.count_if(F.col("group_size") > 1)).first()
+    wanted = entries.filter("group_size > 1").select("key")
+    members = keyed(docs, digest_bits, id_col, text_col).join(F.broadcast(wanted) if several <= FEW else wanted, "key", "left_semi")
+    compared = members.groupBy("key").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    collided = frozen(compared.filter("low != high").select("key"))
+    linked = None
+    links = entries.withColumn("chain", F.lit(0))
+    if not collided.isEmpty():
+        linked = frozen(chains(members.join(collided, "key", "left_semi").select("doc_id", "norm", "text_sha256", "key")))
+        split = linked.groupBy("key", "chain").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).withColumn("bits", bits)
+        links = links.join(collided, "key", "left_anti").unionByName(split)
+        rows = rows.join(collided, "key", "left_anti")
+    links = frozen(links)
+    directory = build(links.withColumn("one", F.lit(1)), capacity, "one")
+    folder = shared_folder(docs.sparkSession, "exact-index")
+    # Owner tasks: a range of keys each, whole buckets in key order.
+    directory.route(links).repartitionByRange("bits").sortWithinPartitions("bits", "key", "chain").write.parquet(folder)
+    return Index(docs.sparkSession.read.parquet(folder), rows, linked, directory, max(100, total // HOT))
+
+
+def lookup(found: Index) -> DataFrame:
+    """``doc_id, text_sha256, keep_id, group_size`` for each row of the indexed table."""
+    at = ["depth", "prefix", "key"]
+    shown = ["doc_id", "text_sha256", "keep_id", "group_size"]
+    bits = leading_bits(F.rpad("key", 8, "0"))
+    hot = F.broadcast(found.pages.filter(F.col("chain") == 0).filter(F.col("group_size") > found.hot).select("key", "keep_id", "group_size"))
+    out = found.rows.join(hot, "key").select(*shown)
+    cold = found.directory.route(found.rows.join(hot, "key", "left_anti").withColumn("bits", bits))
+    out = out.unionByName(cold.drop("bits").join(found.pages.filter(F.col("group_size") <= found.hot).drop("bits"), at).select(*shown))
+    if found.linked is not None:
+        routed = found.directory.route(found.linked.withColumn("bits", bits)).drop("bits")
+        out = out.unionByName(routed.join(found.pages.drop("bits"), [*at, "chain"]).select(*shown))
+    return out
+
+
+def dedup(docs: DataFrame, capacity: int = CAPACITY, digest_bits: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Mark exact copies: of equal texts, the row with the smallest id stays.
 
     Returns one row per document: ``doc_id, keep_id, group_size, kept,
@@ -50,13 +131,9 @@ def dedup(docs: DataFrame, capacity: int = 100_000, id_col: str = "doc_id", text
     null id are never preferred to others; where a group has no id at all,
     keep_id is null and all its rows are kept, as they can't be told apart.
     Repeated rows (same id, same text) are all kept or all dropped.  An empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns are ignored, whatever their names.
     """
-    pages, directory = index(docs, capacity, id_col, text_col)
-    texts = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
-    rows = directory.route(texts.select("doc_id", *_keys("norm")))
-    # Owner tasks: rows and entries of a bucket meet by bucket and key.
-    found = rows.join(pages.drop("bits"), ["depth", "prefix", "text_sha256", "length", "other"])
+    found = lookup(index(docs, capacity, digest_bits, id_col, text_col))
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

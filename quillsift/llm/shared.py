@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,20 +19,40 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured (tests)."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    A local session without the setting (tests) gets a folder of its own; on a
+    cluster, where a machine's folder isn't shared, its absence is an error.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = os.path.join(tempfile.gettempdir(), "quillsift-checkpoints")
-        os.makedirs(found, exist_ok=True)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="quillsift-")
+        delete_at_exit(spark, found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def delete_at_exit(spark: SparkSession, folder: str) -> None:
+    """Have the session delete a folder of its own when it ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, deleted when the session ends."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    delete_at_exit(spark, folder)
+    return folder
+
+
 def frozen(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
-    folder = shared_dir(df.sparkSession)
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(folder)
+    """``df`` computed once and kept in the shared folder until the session ends, so that a lost executor costs no recomputation."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+        delete_at_exit(df.sparkSession, context.getCheckpointDir())
     return df.checkpoint(eager=True)
 
 

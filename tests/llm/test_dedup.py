@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 
@@ -193,6 +194,39 @@ def test_exact_dedup(hard, empty):
     assert len(by) == len(HARD) - 1 and exact_dedup.dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("digest_bits", [4, 8, 256])
+def test_exact_dedup_equals_brute_force(spark, digest_bits):
+    """With few bits of the digest, many different texts collide; chains keep them apart."""
+    rng = random.Random(6)
+    texts = ["hot text"] * 260 + [rng.choice(["a", "b  c", "b c", " b\tc", "", None, f"x{rng.randrange(60)}"]) for _ in range(240)]
+    rows = [(None if k % 50 == 7 else k // 2, t) for k, t in enumerate(texts)]
+    rng.shuffle(rows)
+    got = exact_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6), capacity=5, digest_bits=digest_bits)
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    groups: dict[str, list] = {}
+    for k, t in rows:
+        groups.setdefault(norm(t), []).append(k)
+    expected = []
+    for k, t in rows:
+        group = groups[norm(t)]
+        keep = min((x for x in group if x is not None), default=None)
+        expected.append((k, keep, len(group), k == keep, hashlib.sha256(norm(t).encode()).hexdigest()))
+    order = lambda x: tuple((v is None, v or 0) if i < 2 else (False, v) for i, v in enumerate(x))
+    assert sorted(map(tuple, got.collect()), key=order) == sorted(expected, key=order)
+
+
+def test_index_pages(spark):
+    """Buckets are within the limit, and their pages are files in order of the keys."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    found = exact_dedup.index(docs, capacity=30)
+    assert found.pages.count() == 400 and found.linked is None
+    sizes = found.pages.groupBy("depth", "prefix").count().collect()
+    assert len(sizes) > 13 and all(r["count"] <= 30 for r in sizes)
+    for file in found.pages.inputFiles():
+        bits = [r.bits for r in spark.read.parquet(file).collect()]
+        assert bits == sorted(bits)
+
+
 def test_white_space_is_one_space(spark):
     df = spark.createDataFrame([(2, "a b"), (1, "a \n\tb"), (3, "a  b "), (4, "a\x0bb"), (5, "a b")], "doc_id bigint, text string")
     got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.dedup(df).collect()}
