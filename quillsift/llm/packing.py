@@ -1,19 +1,23 @@
 """Best-fit packing of documents into sequences of a fixed token length.
 
 Hierarchical residual packing: every input partition tokenizes its documents
-and packs their pieces by best fit into bins.  Bins that are (nearly) full are
-final.  Underfull bins become items themselves: nodes of a tree merge the
-underfull bins of ``fan_in`` children by best fit again, until one node is left.
+and packs their pieces by best fit into bins, batch by batch.  Bins that are
+(nearly) full are final.  Underfull bins become items themselves: nodes of a
+tree pack the underfull bins of ``fan_in`` children by best fit again, until
+one node is left.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark import TaskContext
@@ -22,10 +26,15 @@ from pyspark.sql import functions as F
 
 from quillsift.llm.shared import as_bytes, frozen
 
-PIECE = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
-BIN = f"node bigint, final boolean, fill int, members array<{PIECE}>"
-#: Pieces that one local round packs together: bounds what a task holds.
-LOCAL_PIECES = 50_000
+PIECE = "struct<doc_id:string,piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>"
+BIN = f"part bigint, batch bigint, up boolean, bin bigint, fill int, members array<{PIECE}>"
+MERGED = "part bigint, batch bigint, up boolean, bin bigint, fill int, parts array<struct<bin:bigint,shift:bigint>>"
+#: Pieces that are packed together as one leaf of the tree: bounds what a task holds.
+LEAF_PIECES = 50_000
+#: Levels that a tree can have (8 ** 24 leaves).
+LEVELS = 24
+#: Merged bins are broadcast up to so many rows of two longs each; beyond that, they are joined by shuffle.
+FEW_MOVES = 1_000_000
 #: Distinct stretches between spaces remembered by a worker; it forgets all of them beyond that.
 REMEMBERED = 800_000
 
@@ -106,7 +115,7 @@ def default_ids(path: str) -> Callable[[str], bytes]:
     return encode
 
 
-def pieces_of(doc_id: int | None, ids: bytes, capacity: int) -> Iterator[tuple]:
+def pieces_of(doc_id: str | None, ids: bytes, capacity: int) -> Iterator[tuple]:
     """(doc_id, piece, start, length, crc32) of a document's ids, with the closing id 0."""
     ids += b"\0\0\0\0"
     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
@@ -115,9 +124,9 @@ def pieces_of(doc_id: int | None, ids: bytes, capacity: int) -> Iterator[tuple]:
 
 
 def _place(item: tuple[int, list]) -> tuple:
-    """A fixed order among bins or items of one size: by their first piece, null ids first."""
+    """A fixed order among items of one size: by their first member, those without an id first."""
     first = item[1][0]
-    return (first[0] is not None, first[0] or 0, first[1:]) if isinstance(first, tuple) else (first,)
+    return (first[0] is not None, 0 if first[0] is None else first[0], first[1:])
 
 
 def best_fit(items: Iterable[tuple[int, list]], capacity: int) -> list[tuple[int, list]]:
@@ -155,80 +164,107 @@ def best_fit(items: Iterable[tuple[int, list]], capacity: int) -> list[tuple[int
     return closed + [(capacity - room, members) for room, stack in open_bins.items() for members in stack]
 
 
-def _bins(node: int, packed: list[tuple[int, list]], capacity: int, near_full: float, carry: int, last: bool) -> pd.DataFrame:
-    """Bins as rows; the ``carry`` emptiest underfull ones go on to the parent node, all others are final."""
-    packed.sort(key=lambda x: (x[0], _place(x)))
-    up = 0 if last else sum(fill < near_full * capacity for fill, _ in packed[:carry])
-    rows = [(node, k >= up, fill, members) for k, (fill, members) in enumerate(packed)]
-    return pd.DataFrame(rows, columns=["node", "final", "fill", "members"])
+def laid_out(members: list[tuple]) -> list[tuple]:
+    """The pieces of a bin with their places in it, from 0 on without gaps."""
+    ends = list(itertools.accumulate(m[3] for m in members))
+    return [(*m, end - m[3]) for m, end in zip(members, ends, strict=True)]
 
 
-def _member(x) -> tuple:
-    return tuple(x[k] for k in ("doc_id", "piece", "start", "length", "ids_crc32")) if isinstance(x, dict) else tuple(x)
+def handed_on(fills: Iterable[int], full: float, most: int) -> Iterator[bool]:
+    """For each bin whether it goes on to the parent node: underfull ones do, ``most`` of each fill."""
+    seen: Counter[int] = Counter()
+    for fill in fills:
+        seen[fill] += fill < full
+        yield fill < full and seen[fill] <= most
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8, carry: int = 32, near_full: float = 0.98, tokenizer: Callable[[str], Callable[[str], bytes]] = default_ids) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8, near_full: float = 0.98, tokenizer: Callable[[str], Callable[[str], bytes]] = default_ids) -> DataFrame:
     """Pack the documents' token sequences (each closed by id 0) into bins of ``capacity`` tokens.
 
     Returns one row per piece: ``doc_id, piece, start, length, ids_crc32,
     sequence_id, offset``.  Documents longer than a sequence are cut into full
     pieces and a rest; others stay whole.  Null texts count as empty and give
-    the closing id alone; null and repeated ids are packed like any other row;
-    an empty table gives no rows; further columns are ignored.  ``carry``
-    bounds what a node of the tree hands on (no piece is lost: bins beyond it
-    are final as they are), so the root reads ``fan_in * carry`` bins at most.
+    the closing id alone; null and repeated ids, and ids of any type, are
+    packed like others; an empty table gives no rows; further columns are
+    ignored.
+
+    Leaves are batches of LEAF_PIECES pieces of a partition, packed by best fit
+    decreasing.  Bins filled to ``near_full`` are final; the others are items
+    of the parent node, which packs those of ``fan_in`` children by best fit
+    again, up to one root.  A node gets bins' numbers and fills, not their
+    pieces, and no more of one fill than could ever be used: best fit leaves
+    one bin at most that is half full or less, only such a bin can go into
+    another, so a node with ``fan_in`` children uses up ``fan_in`` bins of a
+    fill at most, and all nodes above a bin together ``fan_in * LEVELS``.
+    What a node reads is bounded by that number times the fills there are, and
+    the result is the same as if all bins went up.
     """
     # Ids go to Python as text: pandas would make longs beside nulls doubles.
     source = docs.select(F.col(id_col).cast("string").alias("doc_id"), as_bytes(F.col(text_col)).alias("text"))
+    full, most = near_full * capacity, fan_in * LEVELS
 
     def local(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, node = tokenizer(vocabulary), TaskContext.get().partitionId()
-        waiting: list[tuple[int, list]] = []
-        under: list[tuple[int, list]] = []
+        encode, part = tokenizer(vocabulary), TaskContext.get().partitionId()
+        number, leaf = itertools.count(part << 40), 0
 
-        def flush() -> pd.DataFrame:
-            packed = best_fit(under + waiting, capacity)
-            packed.sort(key=lambda x: x[0])
-            under[:], waiting[:] = [x for x in packed[:carry] if x[0] < near_full * capacity], []
-            return pd.DataFrame([(node, True, fill, members) for fill, members in packed[len(under) :]], columns=["node", "final", "fill", "members"])
+        def rows(bins: list[tuple[int, list]]) -> pd.DataFrame:
+            up = handed_on((fill for fill, _ in bins), full, most)
+            return pd.DataFrame([(part, leaf, goes, next(number), fill, laid_out(members)) for (fill, members), goes in zip(bins, up, strict=True)], columns=["part", "batch", "up", "bin", "fill", "members"])
 
+        waiting: list[tuple[int, list]] = []
         for batch in batches:
-            full: list[tuple] = []
+            whole: list[tuple[int, list]] = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                for piece in pieces_of(None if doc_id is None else int(doc_id), encode(text.decode("utf-8", "replace")), capacity):
-                    if piece[3] == capacity:
-                        full.append((node, True, capacity, [piece]))
-                    else:
-                        waiting.append((piece[3], [piece]))
-            if full:
-                yield pd.DataFrame(full, columns=["node", "final", "fill", "members"])
-            if len(waiting) >= LOCAL_PIECES:
-                yield flush()
-        if waiting or under:
-            yield _bins(node, best_fit(under + waiting, capacity), capacity, near_full, carry, False)
+                for piece in pieces_of(doc_id, encode(text.decode("utf-8", "replace")), capacity):
+                    (whole if piece[3] == capacity else waiting).append((piece[3], [piece]))
+                if len(waiting) >= LEAF_PIECES:
+                    yield rows(best_fit(waiting, capacity))
+                    waiting, leaf = [], leaf + 1
+                if len(whole) >= LEAF_PIECES:
+                    yield rows(whole)
+                    whole = []
+            if whole:
+                yield rows(whole)
+        if waiting:
+            yield rows(best_fit(waiting, capacity))
 
     def merge(last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        def run(bins: pd.DataFrame) -> pd.DataFrame:
-            items = [(int(fill), [_member(x) for x in members]) for fill, members in zip(bins["fill"], bins["members"], strict=True)]
-            return _bins(int(bins["node"].iloc[0]), best_fit(items, capacity), capacity, near_full, carry, last)
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            below = {int(b): p for b, p in zip(group["bin"], group["parts"], strict=True) if p is not None}
+            packed = best_fit([(int(fill), [(int(b), int(fill))]) for b, fill in zip(group["bin"], group["fill"], strict=True)], capacity)
+            out = []
+            for (fill, members), goes in zip(packed, handed_on((f for f, _ in packed), full, most), strict=True):
+                shift, parts = 0, []
+                for number, size in members:
+                    parts += [{"bin": int(p["bin"]), "shift": shift + int(p["shift"])} for p in below.get(number, ({"bin": number, "shift": 0},))]
+                    shift += size
+                out.append((group["part"].iloc[0], group["batch"].iloc[0], goes and not last, members[0][0], fill, parts if len(parts) > 1 else None))
+            return pd.DataFrame(out, columns=["part", "batch", "up", "bin", "fill", "parts"])
 
         return run
 
-    level = frozen(source.mapInPandas(local, BIN))
-    done = [level.filter("final")]
-    left = level.filter("not final")
-    nodes = left.agg(F.max("node")).first()[0]
-    while nodes is not None:
-        nodes //= fan_in
-        grouped = left.withColumn("node", F.floor(F.col("node") / fan_in)).groupBy("node")
-        merged = frozen(grouped.applyInPandas(merge(nodes == 0), BIN))
-        done.append(merged.filter("final"))
-        left = merged.filter("not final")
-        if nodes == 0:
-            break
-    bins = done[0]
-    for more in done[1:]:
-        bins = bins.unionByName(more)
-    placed = bins.withColumn("sequence_id", F.monotonically_increasing_id()).select("sequence_id", F.posexplode("members").alias("at", "m"), "members")
-    before = F.aggregate(F.slice("members", 1, F.col("at")), F.lit(0).cast("long"), lambda total, m: total + m["length"])
-    return placed.select("m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", before.alias("offset"))
+    bins = frozen(source.mapInPandas(local, BIN))
+    left = bins.filter("up").select("part", "batch", "bin", "fill", F.lit(None).cast("array<struct<bin:bigint,shift:bigint>>").alias("parts"))
+    parts, leaves = left.agg(F.coalesce(F.max("part"), F.lit(0)), F.coalesce(F.max("batch"), F.lit(0))).first()
+    moves = []
+    # Leaves of a partition meet first, then partitions.
+    while parts or leaves:
+        if leaves:
+            leaves //= fan_in
+            node = left.withColumn("batch", F.floor(F.col("batch") / fan_in))
+        else:
+            parts //= fan_in
+            node = left.withColumn("part", F.floor(F.col("part") / fan_in))
+        level = frozen(node.groupBy("part", "batch").applyInPandas(merge(not parts and not leaves), MERGED))
+        moves.append(level.filter("not up and parts is not null").select(F.col("bin").alias("sequence_id"), F.explode("parts").alias("p")))
+        left = level.filter("up").drop("up")
+    placed = bins.select("up", F.col("bin").alias("sequence_id"), F.lit(0).cast("long").alias("shift"), "members")
+    if moves:
+        # At most one bin of each node goes into another, so these are few.
+        moved = frozen(reduce(DataFrame.unionByName, moves).select("sequence_id", F.col("p.bin").alias("bin"), F.col("p.shift").alias("shift")))
+        few = F.broadcast(moved) if moved.count() <= FEW_MOVES else moved
+        own = bins.filter("up").select("bin", "members").join(few, "bin", "left")
+        placed = placed.filter("not up").drop("up").unionByName(own.select(F.coalesce("sequence_id", "bin").alias("sequence_id"), F.coalesce("shift", F.lit(0)).cast("long").alias("shift"), "members"))
+    one = placed.select("sequence_id", "shift", F.explode("members").alias("m"))
+    kind = docs.schema[id_col].dataType
+    return one.select(F.col("m.doc_id").cast(kind).alias("doc_id"), "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", (F.col("shift") + F.col("m.offset")).alias("offset"))

@@ -79,6 +79,31 @@ def test_packing_round_trip(spark, tokenizer):
     assert len(bins) <= math.ceil(sum(map(len, ids.values())) / 4 / 256) * 1.03 + 1
 
 
+def test_bins_handed_on_are_all_that_can_be_used(spark, tokenizer, monkeypatch):
+    """Limiting what a node gets to what it could use changes nothing: as few sequences as if all bins went up, near the bound."""
+    rng = random.Random(5)
+    words = [rng.choice([1, 2, 3, 50, 55, 60, 65, 70, 75, 80, 90, 110, 140]) for _ in range(3000)]
+    rows = [(f"d{k}", " ".join(["word"] * n)) for k, n in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(13).cache()
+    monkeypatch.setattr(packing, "LEAF_PIECES", 60)
+    found = {}
+    for levels in (packing.LEVELS, 10**6):
+        monkeypatch.setattr(packing, "LEVELS", levels)
+        got = packing.pack(docs, BYTE_BPE, 128, fan_in=3).collect()
+        bins = unpack(got, {k: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for k, t in rows}, 128)
+        found[levels] = len(bins)
+        assert {r.doc_id for r in got} == {k for k, _ in rows}
+    assert len(set(found.values())) == 1
+    fills = [sum(n for _, n in places) for places in bins.values()]
+    assert sum(f <= 64 for f in fills) <= 1
+
+
+def test_packing_is_near_the_bound(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(24)
+    total, sequences = packing.pack(docs, BYTE_BPE).agg(F.sum("length"), F.count_distinct("sequence_id")).first()
+    assert math.ceil(total / 2048) <= sequences <= math.ceil(total / 2048) * 1.02
+
+
 def test_best_fit():
     bins = packing.best_fit([(6, ["a"]), (5, ["b"]), (5, ["c"]), (4, ["d"]), (10, ["e"])], 10)
     assert sorted(sorted(m) for _, m in bins) == [["a", "d"], ["b", "c"], ["e"]]
