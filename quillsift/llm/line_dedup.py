@@ -8,9 +8,12 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.shared import word_count
+from quillsift.llm.shared import fresh, frozen, meet, word_count
 
 SPAN = 3
+SPACES = " \t\n\x0b\x0c\r"
+#: First occurrences, and removed positions, are broadcast up to so many; beyond that, rows meet them by shuffles.
+FEW = 200_000
 
 
 def _lines(text: Column) -> Column:
@@ -23,11 +26,12 @@ def _key(id_col: str, text_col: str) -> Column:
 
 
 def windows(docs: DataFrame, id_col: str, text_col: str, passage: int | None = None) -> DataFrame:
-    """``key, at, h1, h2`` for each window of three consecutive lines that has a word (128 hash bits of the lines, trimmed).
+    """``key, at, h1, h2, span`` for each window of three consecutive lines that has a word (128 hash bits of the lines, trimmed).
 
-    With ``passage``, windows of one and two lines with more words than that besides, and ``span``, the lines of each.
+    With ``passage``, windows of one and two lines with more words than that
+    besides; ``span`` is the number of a window's lines.
     """
-    bare = F.transform(_lines(F.col(text_col)), lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
+    bare = F.transform(_lines(F.col(text_col)), lambda x: F.btrim(x, F.lit(SPACES)))
     named = docs.select(_key(id_col, text_col).alias("key"), bare.alias("bare"))
 
     def hashed(at: Column, span: int) -> Column:
@@ -36,49 +40,73 @@ def windows(docs: DataFrame, id_col: str, text_col: str, passage: int | None = N
             wanted = F.length(F.concat(*lines)) > 0
         else:
             wanted = reduce(add, [F.get("counts", at + k) for k in range(span)]) > passage
-        parts = [at.alias("at"), F.xxhash64(*lines).alias("h1"), F.xxhash64(F.lit(1 + SPAN - span), *reversed(lines)).alias("h2")]
-        return F.when(wanted, F.struct(*parts, *([] if passage is None else [F.lit(span).alias("span")])))
+        parts = [at.alias("at"), F.xxhash64(*lines).alias("h1"), F.xxhash64(F.lit(1 + SPAN - span), *reversed(lines)).alias("h2"), F.lit(span).alias("span")]
+        return F.when(wanted, F.struct(*parts))
 
     def found(span: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size("bare") - span), lambda at: hashed(at, span))
+        some = F.transform(F.sequence(F.lit(0), F.size("bare") - span), lambda at: hashed(at, span))
+        return F.when(F.size("bare") >= span, some).otherwise(F.array())
 
     if passage is None:
-        return named.filter(F.size("bare") >= SPAN).select("key", F.explode(found(SPAN)).alias("w")).filter("w is not null").select("key", "w.at", "w.h1", "w.h2")
-    counted = named.withColumn("counts", F.transform("bare", word_count))
-    every = F.concat(*[F.when(F.size("bare") >= span, found(span)).otherwise(F.array()) for span in range(1, SPAN + 1)])
-    return counted.select("key", F.explode(every).alias("w")).filter("w is not null").select("key", "w.at", "w.h1", "w.h2", "w.span")
+        every = found(SPAN)
+    else:
+        named = named.withColumn("counts", F.transform("bare", word_count))
+        every = F.concat(*map(found, range(1, SPAN + 1)))
+    return named.select("key", F.explode(every).alias("w")).filter("w is not null").select("key", "w.*")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int | None = None) -> DataFrame:
-    """``key, removed``: for each document with later occurrences of windows, the sorted positions of the lines that these cover."""
-    seen = windows(docs, id_col, text_col, passage)
-    span = F.lit(SPAN) if passage is None else F.col("span")
-    firsts = seen.groupBy("h1", "h2").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = seen.join(firsts, ["h1", "h2"]).filter(F.struct("key", "at") > F.col("first"))
-    covered = later.select("key", F.explode(F.sequence("at", F.col("at") + span - 1)).alias("line"))
+    """``key, removed``: for each document with later occurrences of windows, the sorted positions of the lines that these cover.
+
+    Jobs run here: windows are hashed once and kept.  A window that very many
+    documents share is reduced to its first occurrence by every task before
+    the shuffle, and its occurrences meet that by a broadcast.
+    """
+    seen = frozen(windows(docs, id_col, text_col, passage))
+    counted = seen.groupBy("h1", "h2").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("n"))
+    firsts = frozen(counted.filter("n > 1"))
+    later = meet(seen, firsts, ["h1", "h2"], "n", seen.count(), FEW).filter(F.struct("key", "at") > F.col("first"))
+    covered = later.select("key", F.explode(F.sequence("at", F.col("at") + F.col("span") - 1)).alias("line"))
     return covered.groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
+def without(lines: Column, removed: Column) -> Column:
+    """The lines but those at the (sorted, distinct) positions, in one pass over both.
+
+    The positions become a string of marks, a character for each line.
+    """
+    before = F.concat(F.array(F.lit(-1)), F.slice(removed, 1, F.size(removed) - 1))
+    upto = F.array_join(F.zip_with(removed, before, lambda at, last: F.concat(F.repeat(F.lit("0"), at - last - 1), F.lit("1"))), "")
+    marks = F.split(F.concat(upto, F.repeat(F.lit("0"), F.size(lines) - F.get(removed, F.size(removed) - 1) - 1)), "")
+    return F.filter(F.zip_with(lines, marks, lambda line, mark: F.when(mark == "0", line)), lambda line: line.isNotNull())
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int | None = None) -> DataFrame:
     """``docs`` without the lines of repeated three-line windows, and ``removed_lines``, their positions (from 0).
 
     The first occurrence of a window, by id and position in the text, stays;
     the lines that later ones cover are removed, overlapping windows together.
     Lines are what newlines separate, compared without the white space around
-    them; windows of blank lines only are never repeats.
+    them, by 128 hash bits (two different windows of a corpus of 10**12 are
+    taken for one with a probability under 10**-14); windows of blank lines
+    only are never repeats.
     With ``passage``, one or two lines of more words than that together are
     windows too; without it, such repeats stay where no window of three lines
     around them is repeated, and in texts of under three lines.  Texts without
     removed lines are unchanged (null stays null); one that loses all lines is
     empty.  Rows that repeat id and text count as one document and lose the
-    same lines; null ids come first.  Other columns pass through.
+    same lines; null ids come first.  Other columns pass through, whatever
+    their names; one called ``removed_lines`` is replaced.  Time grows with
+    the length of a text in proportion.
     """
-    gone = repeated(docs, id_col, text_col, passage).select(F.col("key").alias("_key"), F.col("removed").alias("_removed"))
-    marked = docs.join(gone, _key(id_col, text_col).eqNullSafe(F.col("_key")), "left")
-    kept = F.filter(_lines(F.col(text_col)), lambda _, at: ~F.array_contains("_removed", at))
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    removed = F.coalesce("_removed", F.array().cast("array<int>"))
-    return marked.withColumn(text_col, text).withColumn("removed_lines", removed).drop("_key", "_removed")
+    key, removed = fresh(docs, "key", "removed")
+    gone = frozen(repeated(docs, id_col, text_col, passage)).select(F.col("key").alias(key), F.col("removed").alias(removed))
+    if (gone.agg(F.sum(F.size(removed))).first()[0] or 0) <= FEW:
+        gone = F.broadcast(gone)
+    marked = docs.join(gone, _key(id_col, text_col).eqNullSafe(F.col(key)), "left")
+    text = F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(F.array_join(without(_lines(F.col(text_col)), F.col(removed)), "\n"))
+    positions = F.coalesce(F.col(removed), F.array().cast("array<int>"))
+    return marked.withColumn(text_col, text).withColumn("removed_lines", positions).drop(key, removed)
 
 
 ORACLE = r"""

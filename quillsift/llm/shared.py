@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -63,3 +64,27 @@ def as_bytes(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for temporary columns that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for k in itertools.count() if (n := f"_{name}{k or ''}").lower() not in taken) for name in names]
+
+
+def hot_limit(total: int) -> int:
+    """Rows from which a key is hot: a thousandth of all, so that a thousand keys are at most."""
+    return max(100, total // 1000)
+
+
+def meet(rows: DataFrame, entries: DataFrame, on: list[str], count: str, total: int, few: int) -> DataFrame:
+    """``rows`` joined with ``entries``, which has one row per key and the ``count`` of its rows (``total`` together).
+
+    Up to ``few`` entries are broadcast.  Of more, only those of hot keys are,
+    so that their rows stay where they are; others meet by a shuffle.
+    """
+    if few and entries.count() <= few:
+        return rows.join(F.broadcast(entries), on)
+    is_hot = F.col(count) > hot_limit(total)
+    hot, cold = F.broadcast(entries.filter(is_hot)), entries.filter(~is_hot)
+    return rows.join(hot, on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
