@@ -11,19 +11,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.shared import frozen
+from quillsift.llm.shared import frozen, meet
+
+#: Nodes whose smallest neighbours are broadcast (24 bytes each); of more, only those of large stars are.
+FEW = 200_000
+
+
+def _to_smallest(links: DataFrame, around: DataFrame) -> DataFrame:
+    """``around`` with ``m``, the smallest ``v`` of each ``u``; the neighbours of a very large star stay where they are."""
+    smallest = frozen(around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")))
+    return meet(around, smallest, ["u"], "degree", 2 * links.count(), FEW)
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
-    """One contraction; links have u > v."""
+    """One contraction of (frozen) links with u > v."""
     if large:
         around = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        smallest = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        moved = around.join(smallest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = _to_smallest(links, around).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
     else:
-        smallest = links.groupBy("u").agg(F.min("v").alias("m"))
-        near = links.join(smallest, "u")
-        moved = near.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(smallest.select("u", F.col("m").alias("v")))
+        near = _to_smallest(links, links)
+        moved = near.select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
     return moved.filter("u != v").distinct()
 
 
@@ -39,5 +46,5 @@ def connected(links: DataFrame) -> DataFrame:
         if tuple(seen) == state or not seen[0]:
             break
         state = tuple(seen)
-        now = frozen(_star(_star(now, True), False))
+        now = frozen(_star(frozen(_star(now, True)), False))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

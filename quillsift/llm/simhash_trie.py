@@ -9,7 +9,9 @@ paths are within the budget of its own.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -19,11 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm.components import connected
-from quillsift.llm.shared import as_bytes, frozen
+from quillsift.llm.shared import as_bytes, frozen, meet
 
 SEED = 42
-#: Distinct fingerprints that one subtree should hold at most, on average.
+#: Distinct fingerprints that a subtree should hold, and the multiple of it from which a subtree is split.
 SUBTREE = 1 << 18
+LARGE = 2
+#: Fingerprints that are broadcast to meet their rows (24 bytes each); of more, only hot ones are.
+FEW = 200_000
 #: Node pairs that a traversal expands at once.
 FRONTIER = 1 << 18
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -166,24 +171,47 @@ def near_paths(bits: int, budget: int) -> list[int]:
     return sorted(sum(1 << k for k in at) for n in range(min(bits, budget) + 1) for at in combinations(range(bits), n))
 
 
-def links(prints: DataFrame, budget: int) -> DataFrame:
-    """Links (high, low) that connect all fingerprints within ``budget`` bits; ``prints`` has distinct longs in ``print``.
+def dealt(prints: DataFrame, budget: int) -> DataFrame:
+    """``depth, task, print, own``: each fingerprint in its own subtree of the trie and in those whose paths are within the budget of its path.
 
-    A task unites what it finds and returns one link per fingerprint at most,
-    so large groups give no quadratic output.
+    Subtrees begin at the depth where they hold SUBTREE fingerprints on
+    average; wherever one holds more, it alone is split bit by bit.
     """
     count = prints.count()
-    bits = min(20, max(6, int(np.ceil(np.log2(max(1, count / SUBTREE))))))
+    bits = max(6, math.ceil(math.log2(max(1, count / SUBTREE))))
     path = F.shiftrightunsigned("print", 64 - bits)
-    flips = F.array(*[F.lit(x).cast("long") for x in near_paths(bits, budget)])
+    flips = F.array(*[F.struct(F.lit(x).cast("long").alias("flip"), F.lit(x.bit_count()).alias("cost")) for x in near_paths(bits, budget)])
     held = (
-        prints.select("print", path.alias("path"))
-        .select("print", "path", F.explode(flips).alias("flip"))
-        .select("print", F.col("path").bitwiseXOR(F.col("flip")).alias("task"), F.col("flip"), F.col("path"))
+        prints.select("print", path.alias("path"), F.explode(flips).alias("f"))
+        .select("print", F.col("path").bitwiseXOR(F.col("f.flip")).alias("task"), "f.cost", "path")
         # A pair of subtrees meets once: in the one whose path is the smaller under a mix that spreads the load.
-        .filter((F.col("flip") == 0) | (F.xxhash64("path") > F.xxhash64("task")))
-        .select("task", "print", (F.col("flip") == 0).alias("own"))
+        .filter((F.col("cost") == 0) | (F.xxhash64("path") > F.xxhash64("task")))
+        .select("task", "print", "cost")
     )
+    done = []
+    while bits < 64:
+        sizes = prints.groupBy(F.shiftrightunsigned("print", 64 - bits).alias("task")).agg(F.count("*").alias("n"))
+        # One subtree in SUBTREE fingerprints can be over it, so these are few.
+        heavy = frozen(sizes.filter(F.col("n") > SUBTREE * LARGE).select("task"))
+        if heavy.isEmpty():
+            break
+        done.append(held.join(F.broadcast(heavy), "task", "left_anti").withColumn("depth", F.lit(bits)))
+        bits += 1
+        bit = F.shiftrightunsigned("print", 64 - bits).bitwiseAND(F.lit(1).cast("long"))
+        both = held.join(F.broadcast(heavy), "task", "left_semi").withColumn("bit", bit).withColumn("to", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+        # Of two halves of a subtree, the second's fingerprints visit the first.
+        met = both.filter((F.col("cost") > 0) | (F.col("bit") == F.col("to")) | (F.col("bit") == 1))
+        held = met.select((F.col("task") * 2 + F.col("to")).alias("task"), "print", (F.col("cost") + (F.col("bit") != F.col("to")).cast("int")).alias("cost")).filter(F.col("cost") <= budget)
+    done.append(held.withColumn("depth", F.lit(bits)))
+    return reduce(DataFrame.unionByName, done).select("depth", "task", "print", (F.col("cost") == 0).alias("own"))
+
+
+def links(prints: DataFrame, budget: int) -> DataFrame:
+    """Links (high, low) that connect all fingerprints within ``budget`` bits; ``prints`` has distinct longs in ``print``.
+
+    A task unites what it finds and returns one link per fingerprint at most,
+    so large groups give no quadratic output.
+    """
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
         all_prints = group["print"].to_numpy(np.int64).view(np.uint64)
@@ -201,16 +229,7 @@ def links(prints: DataFrame, budget: int) -> DataFrame:
         other = np.flatnonzero(label != np.arange(len(label)))
         return pd.DataFrame({"u": leaves[other], "v": leaves[label[other]]})
 
-    return held.groupBy("task").applyInPandas(join, "u bigint, v bigint")
-
-
-def _components(rows: DataFrame, budget: int) -> DataFrame:
-    """``print, component_id`` for each distinct ``print`` of ``rows`` (with ``doc_id``)."""
-    leaves = frozen(rows.groupBy("print").agg(F.min("doc_id").alias("low")))
-    labels = connected(frozen(links(leaves.select("print"), budget)))
-    rooted = leaves.join(labels, leaves["print"] == labels["node"], "left").select("print", F.coalesce("root", "print").alias("root"), "low")
-    smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rooted.select("print", "root").join(smallest, "root").select("print", "component_id")
+    return dealt(prints, budget).groupBy("depth", "task").applyInPandas(join, "u bigint, v bigint")
 
 
 def group_near(docs: DataFrame, words: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,9 +238,18 @@ def group_near(docs: DataFrame, words: int = 5, budget: int = 3, id_col: str = "
     Returns one row per document: ``doc_id, fingerprint`` (16 hex digits),
     ``component_id`` (the smallest doc_id reachable).  Null and empty texts
     have fingerprint zero and are linked like any other; rows with a null id
-    take part, and a component of none but null ids has a null id; repeated
-    rows are returned as often as they come; other columns are ignored.
+    take part, and a component of none but null ids has a null id; ids of any
+    ordered type are kept as they are; repeated rows are returned as often as
+    they come; an empty table gives no rows; other columns are ignored.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = frozen(with_fingerprint(source, words, "text", "print").select("doc_id", "print"))
-    return rows.join(_components(rows, budget), "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    leaves = frozen(rows.groupBy("print").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
+    labels = connected(frozen(links(leaves.select("print"), budget)))
+    rooted = frozen(leaves.join(labels, leaves["print"] == labels["node"], "left").select("print", F.coalesce("root", "print").alias("root"), "low", "n"))
+    total = rows.count()
+    # A root's fingerprints, and a fingerprint's rows, can be very many.
+    smallest = frozen(rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("prints")))
+    named = frozen(meet(rooted, smallest, ["root"], "prints", total, FEW).select("print", "component_id", "n"))
+    found = meet(rows, named, ["print"], "n", total, FEW)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
