@@ -1,4 +1,4 @@
-"""Scans for license notices: MinHash bands retrieve templates, exact shingle containment verifies them.
+"""Scans for licenses: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them.
 
 A text is cut into windows of twice as many shingles as a template has, which
 overlap so that each stretch of 1.25 times its length lies wholly inside one of
@@ -9,6 +9,7 @@ words, and found exactly.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
@@ -24,31 +25,59 @@ from quillsift.llm.shared import as_bytes
 SHINGLE = 5
 #: A template is found where this share of its shingles is.
 CONTAINMENT = 0.8
-#: Bands of ROWS values.  A window with a share CONTAINMENT of a template's m shingles, in a window of 2 m, has a
-#: resemblance of 0.8 / 2.2 = 0.36 at least: one band in 24 agrees with a probability of 1 - 0.64 ** 24 > 0.9999,
-#: whatever m is.
-BANDS = 24
-ROWS = 1
+#: Chance that a window with this share of a template agrees with it in no band.
+MISS = 1e-5
+#: Shingles of a long text that are permuted at once.
+BLOCK = 1 << 13
 
-#: Notices as the licenses' authors publish them (fixed values).
+
+def resemblance(containment: float) -> float:
+    """The least resemblance of a template of m shingles and a window of 2 m that has such a share of them, whatever m is."""
+    return containment / (3 - containment)
+
+
+#: A band is one MinHash value: at a resemblance of 0.36, two values a band would need three times the permutations for the same MISS.
+BANDS = math.ceil(math.log(MISS) / math.log(1 - resemblance(CONTAINMENT)))
+
+#: Licenses and notices as their authors publish them (fixed values).
 TEMPLATES = {
-    "mit-notice": "Released under the MIT License.",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "all-rights-reserved": "All rights reserved.",
+    "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "boost-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "bsd-3-clause-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced",
+    "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "gpl-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "mit-notice": "Released under the MIT License.",
+    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "unlicense": """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.""",
 }
 
-#: TEMPLATES with the notice of rights as texts have it.
-NOTICES = TEMPLATES | {"all-rights-reserved": "All rights reserved."}
-
 _TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+").findall
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -78,23 +107,14 @@ def _runs(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def _permuted(h: np.ndarray) -> np.ndarray:
-    """(BANDS * ROWS, n): the hashes under as many random permutations (multiply and add, odd factors)."""
+    """(BANDS, n): the hashes under as many random permutations (multiply and add, odd factors)."""
     rng = np.random.default_rng(8)
-    a = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+    a = rng.integers(0, 2**63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    b = rng.integers(0, 2**63, BANDS, dtype=np.uint64)
     x = (h ^ (h >> np.uint64(32)))[None, :] * a[:, None] + b[:, None]
     return x ^ (x >> np.uint64(31))
 
 
-def _band_keys(signature: np.ndarray) -> np.ndarray:
-    """(BANDS, windows): ROWS values of each band in one."""
-    parts = signature.reshape(BANDS, ROWS, -1)
-    key = parts[:, 0].copy()
-    for k in range(1, ROWS):
-        key = (key * _ODD) ^ parts[:, k]
-    return key
-
-
 class Scanner:
     """Templates, their bands, and the search for them in texts."""
 
@@ -111,15 +131,20 @@ class Scanner:
                 classes[len(s)].append(k)
         self.bands: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for m, members in classes.items():
-            keys = np.stack([_band_keys(_permuted(self.sets[k]).min(axis=1, keepdims=True))[:, 0] for k in members])
+            keys = np.stack([_permuted(self.sets[k]).min(axis=1) for k in members])
             flat, band, owner = keys.ravel(), np.tile(np.arange(BANDS), len(members)), np.repeat(members, BANDS)
             order = np.argsort(flat)
             self.bands[m] = flat[order], band[order], owner[order]
 
     def candidates(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(template, first shingle, end) of windows that agree with a template in a band."""
-        if not len(h):
-            return
+        """(template, first shingle, end) of windows that agree with a template in a band; long texts go block by block."""
+        longest = 2 * max(self.bands, default=0)
+        for base in range(0, len(h), BLOCK):
+            # A window that begins in this block may end in the next.
+            for template, start, end in self._in_block(h[base : base + BLOCK + longest]):
+                yield template, base + start, base + end
+
+    def _in_block(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
         block, size, n = _permuted(h), 1, len(h)
         for m in sorted(self.bands):
             length, step = 2 * m, m - m // 4 + 1
@@ -128,8 +153,7 @@ class Scanner:
                 block, size = np.minimum(block[:, :-size], block[:, size:]), size * 2
             # The last window ends with the text.
             starts = np.minimum(np.arange(0, max(1, n - length + step), step), max(0, n - length))
-            window = np.minimum(block[:, starts], block[:, starts + min(length, n) - size])
-            keys = _band_keys(window)
+            keys = np.minimum(block[:, starts], block[:, starts + min(length, n) - size])
             flat, band, owner = self.bands[m]
             at = np.searchsorted(flat, keys)
             hit = flat[np.minimum(at, len(flat) - 1)] == keys
@@ -176,7 +200,8 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_
     ``first_word`` (from 0, punctuation aside) the first place with it.  Words
     are compared in lower case without punctuation.  Documents without any,
     null and empty texts among them, give no row; repeated rows give theirs
-    again; null ids stay null.  Templates are a fixed list held by each task.
+    again; null ids stay null; further columns are ignored.  Templates are a
+    fixed list held by each task; very long texts are searched block by block.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), as_bytes(F.col(text_col)).alias("text"))
     names = dict(templates)
