@@ -197,13 +197,15 @@ def score(docs: DataFrame, labels: DataFrame, training: str, id_col: str = "doc_
     ``labels`` has ``doc_id`` and ``quality`` (0 or 1; others and null are
     left out), ``training`` is an SQL condition on ``doc_id`` that says which
     of them may be learned from; TRAINING_ROWS of these at most are.  Null and
-    empty texts score as a document without words.  Repeated labels of a
-    document count each.  The model sees texts only.
+    empty texts score as a document without words.  Labels of a document that
+    agree count once, contrary ones not at all; of rows that repeat a labelled
+    id, the least text is learned from.  A column called ``score`` is replaced.
+    The model sees texts only.
     """
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(context_vectors(docs, text_col))
-    known = labels.filter(F.col("quality").isin(0, 1)).filter(training).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(TRAINING_ROWS)
+    known = labels.filter(F.col("quality").isin(0, 1)).filter(training).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").cast("int").alias("other"))
+    chosen = known.filter("quality = other and doc_id is not null").select("doc_id", "quality", F.xxhash64("doc_id").alias("o")).orderBy("o", "doc_id").limit(TRAINING_ROWS)
     texts = docs.select(F.col(id_col).alias("doc_id"), as_bytes(F.col(text_col)).alias("text"))
 
     @F.pandas_udf("array<float>")
@@ -211,7 +213,9 @@ def score(docs: DataFrame, labels: DataFrame, training: str, id_col: str = "doc_
         for batch in batches:
             yield pd.Series([pooled(t, table.value) for t in batch])
 
-    rows = texts.join(F.broadcast(chosen), "doc_id").select(pool("text").alias("x"), "quality", F.xxhash64("doc_id", "quality").alias("o")).toPandas().sort_values("o", kind="stable")
+    # One text for each label, so no more rows than labels come to the driver.
+    once = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "o").agg(F.min("text").alias("text"))
+    rows = once.select(pool("text").alias("x"), "quality", "o", "doc_id").toPandas().sort_values(["o", "doc_id"], kind="stable")
     x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, 2 * DIM + 3), np.float32)
     net = spark.sparkContext.broadcast(train(x.astype(float), rows["quality"].to_numpy(float)))
 
