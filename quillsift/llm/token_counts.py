@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm.packing import byte_alphabet
-from quillsift.llm.shared import as_bytes
+from quillsift.llm.shared import as_bytes, fresh
 
 #: Words remembered by a worker; it forgets all of them beyond that.
 REMEMBERED = 500_000
@@ -105,8 +105,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Da
 
     ``vocabulary`` is the path of a byte-level tokenizer file, read by the
     executors; every token is a piece, words begin with a space.  Null and
-    empty texts have none of either; all other columns pass through, rows stay
-    as they are.
+    empty texts have none of either; all other columns pass through (those of
+    these two names are replaced), rows stay as they are.
     """
 
     @F.pandas_udf("struct<n_words:bigint,n_tokens:bigint>")
@@ -116,4 +116,5 @@ def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Da
             words = [t.split() for t in batch]
             yield pd.DataFrame({"n_words": list(map(len, words)), "n_tokens": [sum(map(pieces, w)) for w in words]}, dtype="int64")
 
-    return docs.withColumn("_counts", counted(as_bytes(F.col(text_col)))).withColumns({c: F.col("_counts")[c] for c in ("n_words", "n_tokens")}).drop("_counts")
+    (found,) = fresh(docs, "counts")
+    return docs.withColumn(found, counted(as_bytes(F.col(text_col)))).withColumns({c: F.col(found)[c] for c in ("n_words", "n_tokens")}).drop(found)
