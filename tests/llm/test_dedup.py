@@ -3,14 +3,17 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillsift.llm import components, exact_dedup, extendible, line_dedup, near_copies, sharding, simhash_trie
+from quillsift.llm import components, exact_dedup, extendible, line_dedup, mixing, near_copies, sharding, simhash_trie, token_counts
+from quillsift.llm.queries import BYTE_BPE
 from tests.llm.conftest import HARD
+from tests.oracle import same
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -91,6 +94,31 @@ def test_large_group_gives_few_links(spark):
     assert simhash_trie.links(prints, 3).count() < 40 * n
 
 
+def test_heavy_subtrees_are_split(spark, monkeypatch):
+    """Fingerprints that share a long beginning are split bit by bit, and no link is lost."""
+    monkeypatch.setattr(simhash_trie, "SUBTREE", 8)
+    monkeypatch.setattr(simhash_trie, "FEW", 20)
+    monkeypatch.setattr(components, "FEW", 20)
+    rng = np.random.default_rng(2)
+    low = rng.integers(0, 1 << 14, 300)
+    prints = sorted({int(x) for x in np.concatenate((low | (5 << 50), low[:60] | (7 << 50), rng.integers(-(1 << 62), 1 << 62, 200)))})
+    table = spark.createDataFrame([(x,) for x in prints], "print bigint")
+    dealt = simhash_trie.dealt(table, 3)
+    sizes = dealt.filter("own").groupBy("depth", "task").count().collect()
+    assert sum(r["count"] for r in sizes) == len(prints) and len({r.depth for r in sizes}) > 2
+    assert max(r["count"] for r in sizes) <= 16
+    got = {r.node: r.root for r in components.connected(simhash_trie.links(table, 3)).collect()}
+    wanted = brute_components(prints, lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 3)
+    groups = lambda of: sorted(sorted(x for x in prints if of.get(x, x) == r) for r in {of.get(x, x) for x in prints})
+    assert groups(got) == groups(wanted)
+
+
+def test_near_groups_keep_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("b", "some words here"), ("a", "some  words here"), (None, "")], "name string, body string")
+    got = {r.doc_id: r.component_id for r in simhash_trie.group_near(docs, 3, 3, "name", "body").collect()}
+    assert got == {"a": "a", "b": "a", None: None}
+
+
 def test_components(spark):
     rng = random.Random(1)
     for pairs in ([(k, k + 1) for k in range(200)], [(rng.randrange(80), rng.randrange(80)) for _ in range(60)], [(0, k) for k in range(1, 100)], [(5, 5)], []):
@@ -260,6 +288,29 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == expected and sum(bool(x[1]) for x in expected.values()) > 30
 
 
+def test_very_long_texts_and_common_windows(spark, monkeypatch):
+    """Time grows with the length of a text, and windows that all documents share meet their first occurrence by broadcast."""
+    monkeypatch.setattr(line_dedup, "FEW", 3)
+    lines = [f"line {k} number {k % 97}" for k in range(80_000)]
+    rows = [(k, "\n".join(lines)) for k in (1, 2)] + [(k, "x\na\nb\nc\n" + f"own {k}") for k in range(3, 400)] + [(500, "a\nb\nc\nd"), (501, "b\nc\nd")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    began = time.monotonic()
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert time.monotonic() - began < 60
+    assert got[1] == rows[0][1] and got[2] == "" and got[3] == rows[2][1]
+    assert all(got[k] == f"own {k}" for k in range(4, 400)) and got[500] == "d" and got[501] == ""
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["_key", "_removed", "_id", "_hash", "_text_hash", "_here", "_sketch", "_source", "_size", "_copies", "_copy", "_rows", "_none", "none", "name", "no_id", "id", "unit", "_counts", "_units"]
+    rows = [(1, "a b\nc\nd", "s"), (2, "a b\nc\nd", "s"), (3, "e", "t")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumns({n: F.concat(F.lit(n), "doc_id") for n in names})
+    for operator in (near_copies.keep_one, mixing.apply_mix, lambda d: token_counts.count_tokens(d, BYTE_BPE).drop("n_words", "n_tokens"), lambda d: line_dedup.dedup_lines(d).drop("removed_lines")):
+        out = operator(docs)
+        assert out.columns == docs.columns
+        assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names)
+
+
 def test_long_passages_of_one_or_two_lines(spark):
     long, half = " ".join(f"w{k}" for k in range(60)), [" ".join(f"{c}{k}" for k in range(30)) for c in "ab"]
     rows = [(1, f"x\n{long}\ny"), (2, long), (3, f"p\n {long} \nq\nr"), (4, "\n".join(half)), (5, "\n".join(["s", *half])), (6, half[0]), (7, "short\nlines"), (8, "short\nlines"), (9, None), (10, "")]
@@ -293,6 +344,10 @@ def test_shards_fit(spark):
         assert sum(r.n_bytes for r in rows if r.shard.startswith(name[:-1])) > 2000
 
 
+def test_shards_equal_their_sql_where_they_split(spark, data):
+    same(spark, data, lambda s, d: sharding.shard(s.read.parquet(f"{d}/documents.parquet"), 20_000), sharding.oracle(20_000))
+
+
 def test_repeated_ids_go_to_pages(spark):
     docs = spark.range(300).select(F.lit(5).cast("long").alias("doc_id"), F.lit("z" * 100).alias("text")).repartition(6)
     sizes = sharding.shard(docs, 1000).groupBy("shard", "page").agg(F.sum("n_bytes").alias("b")).collect()
