@@ -12,8 +12,6 @@ from quillsift.llm.shared import fresh, frozen, meet, word_count
 
 SPAN = 3
 SPACES = " \t\n\x0b\x0c\r"
-#: First occurrences, and removed positions, are broadcast up to so many; beyond that, rows meet them by shuffles.
-FEW = 200_000
 
 
 def _lines(text: Column) -> Column:
@@ -65,7 +63,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     seen = frozen(windows(docs, id_col, text_col, passage))
     counted = seen.groupBy("h1", "h2").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("n"))
     firsts = frozen(counted.filter("n > 1"))
-    later = meet(seen, firsts, ["h1", "h2"], "n", seen.count(), FEW).filter(F.struct("key", "at") > F.col("first"))
+    later = meet(seen, firsts, ["h1", "h2"], "n", seen.count(), 0).filter(F.struct("key", "at") > F.col("first"))
     covered = later.select("key", F.explode(F.sequence("at", F.col("at") + F.col("span") - 1)).alias("line"))
     return covered.groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
@@ -100,9 +98,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the length of a text in proportion.
     """
     key, removed = fresh(docs, "key", "removed")
-    gone = frozen(repeated(docs, id_col, text_col, passage)).select(F.col("key").alias(key), F.col("removed").alias(removed))
-    if (gone.agg(F.sum(F.size(removed))).first()[0] or 0) <= FEW:
-        gone = F.broadcast(gone)
+    gone = repeated(docs, id_col, text_col, passage).select(F.col("key").alias(key), F.col("removed").alias(removed))
     marked = docs.join(gone, _key(id_col, text_col).eqNullSafe(F.col(key)), "left")
     text = F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(F.array_join(without(_lines(F.col(text_col)), F.col(removed)), "\n"))
     positions = F.coalesce(F.col(removed), F.array().cast("array<int>"))

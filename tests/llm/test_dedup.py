@@ -288,9 +288,8 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == expected and sum(bool(x[1]) for x in expected.values()) > 30
 
 
-def test_very_long_texts_and_common_windows(spark, monkeypatch):
+def test_very_long_texts_and_common_windows(spark):
     """Time grows with the length of a text, and windows that all documents share meet their first occurrence by broadcast."""
-    monkeypatch.setattr(line_dedup, "FEW", 3)
     lines = [f"line {k} number {k % 97}" for k in range(80_000)]
     rows = [(k, "\n".join(lines)) for k in (1, 2)] + [(k, "x\na\nb\nc\n" + f"own {k}") for k in range(3, 400)] + [(500, "a\nb\nc\nd"), (501, "b\nc\nd")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
