@@ -13,23 +13,25 @@ from pyspark.sql import functions as F
 
 from quillsift.llm.shared import frozen, meet
 
-#: Nodes whose smallest neighbours are broadcast (24 bytes each); of more, only those of large stars are.
+#: Links up to which each node's smallest neighbour is broadcast (16 bytes each); of more, only those of large stars are.
 FEW = 200_000
 
 
-def _to_smallest(links: DataFrame, around: DataFrame) -> DataFrame:
-    """``around`` with ``m``, the smallest ``v`` of each ``u``; the neighbours of a very large star stay where they are."""
-    smallest = frozen(around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")))
-    return meet(around, smallest, ["u"], "degree", 2 * links.count(), FEW)
+def _to_smallest(around: DataFrame, count: int) -> DataFrame:
+    """``around`` (``count`` rows) with ``m``, the smallest ``v`` of each ``u``; the neighbours of a very large star stay where they are."""
+    smallest = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    if count <= FEW:
+        return around.join(F.broadcast(smallest.drop("degree")), "u")
+    return meet(around, frozen(smallest), ["u"], "degree", count, 0)
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """One contraction of (frozen) links with u > v."""
+def _star(links: DataFrame, large: bool, count: int) -> DataFrame:
+    """One contraction of links with u > v, ``count`` of them at most; there aren't more afterwards."""
     if large:
         around = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        moved = _to_smallest(links, around).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        moved = _to_smallest(around, 2 * count).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
     else:
-        near = _to_smallest(links, links)
+        near = _to_smallest(links, count)
         moved = near.select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
     return moved.filter("u != v").distinct()
 
@@ -46,5 +48,7 @@ def connected(links: DataFrame) -> DataFrame:
         if tuple(seen) == state or not seen[0]:
             break
         state = tuple(seen)
-        now = frozen(_star(frozen(_star(now, True)), False))
+        larger = _star(now, True, seen[0])
+        # Links that aren't few are used twice, so they are kept.
+        now = frozen(_star(larger if seen[0] <= FEW else frozen(larger), False, seen[0]))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
