@@ -14,18 +14,18 @@ from pyspark.sql import functions as F
 SPACES = r"(?U)\s+"
 _EDGES = r"(?U)^\s+|\s+$"
 
-#: Section headings: label and pattern at the start of a line (fixed values).
+#: Section headings: label and pattern (fixed values); all alternatives are matched at the start of a line.
 HEADINGS = (
-    ("experience", r"\s*(?:work\s+)?experience|employment|career|professional\s+history"),
-    ("education", r"\s*education|academic|qualifications|degrees?"),
-    ("skills", r"\s*(?:technical\s+)?skills|competenc|technologies|proficienc"),
-    ("summary", r"\s*(?:professional\s+)?(?:summary|profile|objective|about\s+me|overview)"),
-    ("certifications", r"\s*certifications?|licens|credentials?"),
-    ("projects", r"\s*projects?|portfolio"),
-    ("languages", r"\s*languages?"),
-    ("awards", r"\s*awards?|honors?|achievements?"),
-    ("publications", r"\s*publications?|papers?|research"),
-    ("references", r"\s*references?"),
+    ("experience", r"(?i)^\s*(work\s+)?experience|employment|career|professional\s+history"),
+    ("education", r"(?i)^\s*education|academic|qualifications|degrees?"),
+    ("skills", r"(?i)^\s*(technical\s+)?skills|competenc|technologies|proficienc"),
+    ("summary", r"(?i)^\s*(professional\s+)?(summary|profile|objective|about\s+me|overview)"),
+    ("certifications", r"(?i)^\s*certifications?|licens|credentials?"),
+    ("projects", r"(?i)^\s*projects?|portfolio"),
+    ("languages", r"(?i)^\s*languages?"),
+    ("awards", r"(?i)^\s*awards?|honors?|achievements?"),
+    ("publications", r"(?i)^\s*publications?|papers?|research"),
+    ("references", r"(?i)^\s*references?"),
 )
 HEADING_CHARS = 80
 

@@ -16,9 +16,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, types as T
 from pyspark.sql import functions as F
 
-from quillsift.functions.text import neutral
+from quillsift.functions.text import neutral, strip
 from quillsift.schemas import VERDICTS
 
+MAX_JOB_CHARS = 200_000
+MAX_RESUME_CHARS = 50_000
 BATCH = 6
 CEILING = 12
 RESULT = "struct<status:string,output:string,warnings:array<string>>"
@@ -144,8 +146,65 @@ def requirement_line(index: Column, category: Column, text: Column, must_have: C
 
 def judge_prompt(title: Column, lines: Column, evidence: Column) -> Column:
     """A judge's prompt: requirements as instructions, evidence (chunk_id, section, page_from, page_to, content) as delimited data."""
-    blocks = F.transform(evidence, lambda e: F.concat(F.format_string("[chunk %s, %s, pages %d-%d]\n", e["chunk_id"], e["section"], e["page_from"], e["page_to"]), neutral(e["content"], "evidence")))
-    return F.concat(F.lit("Job: "), title, F.lit("\n\nRequirements to judge:\n"), F.array_join(lines, "\n"), F.lit("\n\n<evidence>\n"), F.array_join(blocks, "\n\n---\n\n"), F.lit("\n</evidence>\n\nReturn one verdict per requirement above. Return ONLY the JSON object."))
+    blocks = F.transform(evidence, lambda e: F.concat(F.format_string("#%s | %s | p. %d to %d\n", e["chunk_id"], e["section"], e["page_from"], e["page_to"]), neutral(e["content"], "evidence")))
+    return F.concat(F.lit("Position: "), title, F.lit("\n\nDecide for each of these, by its number:\n"), F.array_join(lines, "\n"), F.lit("\n\n"), block(F.array_join(blocks, "\n\n"), "evidence"), F.lit("\n\nAnswer with a JSON object that has one verdict for every number, and nothing else."))
+
+
+def block(text: Column, tag: str) -> Column:
+    """Untrusted text between tags that it can't close (the caller neutralizes the closing tag)."""
+    return F.concat(F.lit(f"<{tag}>\n"), text, F.lit(f"\n</{tag}>"))
+
+
+def job_prompt(title: Column, description: Column, most: int = MAX_JOB_CHARS) -> Column:
+    """``prompt, violation`` for the analysis of a job description, which is data between tags; blank and too long ones aren't asked about."""
+    bare = strip(description)
+    violation = F.when(F.coalesce(bare, F.lit("")) == "", "blank").when(F.length(bare) > most, "too_long")
+    prompt = F.concat(F.lit("Position: "), title, F.lit("\n\n"), block(neutral(bare, "job_description"), "job_description"), F.lit("\n\nList what this description requires, as a JSON object."))
+    return F.struct(F.when(violation.isNull(), prompt).alias("prompt"), violation.alias("violation"))
+
+
+def extraction_prompt(text: Column, most: int = MAX_RESUME_CHARS) -> Column:
+    """``prompt, violation`` for the one extraction that skills, experience and education share; only the first ``most`` characters travel."""
+    bare = strip(text)
+    violation = F.when(F.coalesce(bare, F.lit("")) == "", "blank")
+    part = F.substring(neutral(bare, "candidate_document"), 1, most)
+    prompt = F.concat(block(part, "candidate_document"), F.lit("\n\nReturn this person's profile as a JSON object."))
+    return F.struct(F.when(violation.isNull(), prompt).alias("prompt"), violation.alias("violation"))
+
+
+@dataclass(frozen=True)
+class Insight:
+    """An agent that comments on a run: its inputs (JSON columns), the task in words, and the type of its answer."""
+
+    name: str
+    inputs: tuple[str, ...]
+    task: str
+    answer: str
+    unavailable: str
+
+    def prompt(self) -> Column:
+        parts = [F.concat(F.lit(f"{c}:\n"), F.coalesce(F.col(c), F.lit("null"))) for c in self.inputs]
+        return F.concat_ws("\n\n", F.lit(self.task), *parts, F.lit("Answer with a JSON object only."))
+
+    def violation(self, answer: Column) -> Column:
+        return F.when(answer.isNull() | F.from_json(loose_object(answer), "map<string,string>").isNull(), "not_json")
+
+
+#: Agents whose failure only degrades a run.
+INSIGHTS = (
+    Insight("interview", ("verdicts_json", "gaps_json"), "Propose interview questions that settle the open points.", "struct<questions:array<struct<ordinal:int,question:string,category:string,targets_requirement_id:string,difficulty:string,rationale:string,expected_signal:string,follow_ups:array<string>>>>", "no interview kit in this run"),
+    Insight("bias", ("generated_texts_json",), "Find wording in these generated texts that may be biased.", "struct<findings:array<struct<source:string,text_excerpt:string,bias_category:string,severity:string,rationale:string>>>", "no bias check in this run"),
+    Insight("fraud", ("profile_json",), "Find statements of this profile that contradict each other.", "struct<signals:array<struct<signal_type:string,description:string,confidence:double,related_requirement_id:string>>>", "no fraud check in this run"),
+    Insight("recommendation", ("score_json", "verdicts_json", "gaps_json", "fraud_signals_json", "bias_findings_json"), "Recommend how to go on with this candidate, and say why.", "struct<recommendation:string,narrative:string,confidence:double,uncertainties:array<string>>", "no recommendation in this run"),
+)
+
+
+def insight(inputs: DataFrame, agent: Insight, provider: Callable[[str], str]) -> DataFrame:
+    """``inputs`` with ``result`` (status, output, warnings): asked twice at most, then degraded with a warning, never made up."""
+    done = call(inputs.withColumn("_prompt", agent.prompt()), provider, agent.violation, "_prompt", attempts=2, exhausted="degraded")
+    output = F.to_json(F.from_json(loose_object(F.col("answer")), agent.answer))
+    result = F.struct(F.col("status").alias("status"), F.when(F.col("status") == "ok", output).alias("output"), F.when(F.col("status") == "ok", F.array().cast("array<string>")).otherwise(F.array(F.lit(agent.unavailable))).alias("warnings"))
+    return done.withColumn("result", result.cast(RESULT)).drop("_prompt", "answer", "status", "violation")
 
 
 def call(prompts: DataFrame, provider: Callable[[str], str], check: Callable[[Column], Column], prompt: str = "prompt", attempts: int = 2, exhausted: str = "failed") -> DataFrame:

@@ -55,6 +55,17 @@ def sections(text: str) -> list[tuple[str, str, int]]:
     return [x for x in found if x[1]] or [("other", text.strip(), 0)]
 
 
+def section_documents(docs: DataFrame, key: str = "document_id", text: str = "text") -> DataFrame:
+    """``key, label, body, start`` for each section of each document; blank and null texts have one without a body, which is left out."""
+
+    @F.pandas_udf("array<struct<label:string,body:string,start:int>>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([[dict(zip(("label", "body", "start"), s, strict=True)) for s in sections(t or "") if s[1]] for t in batch], dtype=object)
+
+    return docs.select(key, F.inline(found(F.col(text))))
+
+
 def pack_words(text: str, most: int, start: int) -> list[tuple[str, int, int]]:
     """(content, start, end): whole sentences packed to ``most`` words; a longer sentence stays whole.
 

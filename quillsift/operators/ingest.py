@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillsift.functions.numbers import bound
+
 
 def dedup(arrivals: DataFrame, stored: DataFrame | None = None, digest: str = "sha256", order: str = "arrival") -> DataFrame:
     """``arrivals`` with ``document_id, is_new``: the first arrival of a tenant's content is new, others get its id.
@@ -26,10 +28,15 @@ def dedup(arrivals: DataFrame, stored: DataFrame | None = None, digest: str = "s
 
 def ats_report(text: Column, keywords: Column, tables: Column, columns: Column, headings: Column, contact: Column) -> Column:
     """Keyword coverage, format flags and compliance of a résumé's text."""
-    lower = F.lower(text)
-    hit = lambda k: F.contains(lower, F.lower(k))
-    matched, missing = F.filter(keywords, hit), F.filter(keywords, lambda k: ~hit(k))
-    coverage = F.when(F.size(keywords) > 0, F.size(matched) / F.size(keywords)).otherwise(0.0)
+    # The text is lowered once, and each keyword looked for once.
+    looked = bound(F.lower(text), lambda low: F.transform(keywords, lambda k: F.struct(k.alias("k"), F.contains(low, F.lower(k)).alias("hit"))))
+    return bound(looked, lambda found: _report(found, tables, columns, headings, contact))
+
+
+def _report(found: Column, tables: Column, columns: Column, headings: Column, contact: Column) -> Column:
+    named = lambda hit: F.transform(F.filter(found, lambda x: x["hit"] == F.lit(hit)), lambda x: x["k"])
+    matched, missing = named(True), named(False)
+    coverage = F.when(F.size(found) > 0, F.size(matched) / F.size(found)).otherwise(0.0)
     error = ~headings | ~contact
     flags = F.array_compact(
         F.array(

@@ -8,7 +8,8 @@ through the fold in batches and only the times inside the window are held.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -149,3 +150,75 @@ def stage_outcomes(results: DataFrame, core: Sequence[str]) -> DataFrame:
     core_failed = F.max(((F.col("status") == "failed") & F.col("stage").isin(*core)).cast("int"))
     out = results.groupBy("run_id").agg(F.count_if(F.col("status") == "ok").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"), core_failed.alias("_c"))
     return out.withColumn("status", F.when(F.col("_c") == 1, "failed").otherwise("complete")).drop("_c")
+
+
+def enqueue(payloads: DataFrame, first_id: int = 1) -> DataFrame:
+    """Pending task rows for ``payloads`` (run_id, stage, agent_name, tenant_id, ordinal, payload), numbered by run, stage and ordinal.
+
+    Numbers come from the rows before in their partition and in the partitions
+    before, so no task numbers all rows; the driver sees a count per partition.
+    """
+    ordered = payloads.repartitionByRange("run_id", "stage", "ordinal").sortWithinPartitions("run_id", "stage", "ordinal").withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    sizes = {r[0]: r[1] for r in ordered.groupBy(part.alias("p")).count().collect()}
+    before, total = {}, first_id
+    for p in sorted(sizes):
+        before[p], total = total, total + sizes[p]
+    start = F.create_map(*[F.lit(x).cast("long") for pair in before.items() for x in pair])[part] if before else F.lit(first_id).cast("long")
+    fresh = {"attempt": F.lit(0), "not_before": F.lit(None).cast("timestamp"), "status": F.lit("pending")}
+    return ordered.withColumn("id", start + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at").withColumns(fresh)
+
+
+def finish(tasks: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """``tasks`` with the ``outcomes`` (id, result, error) of some: done, or failed where there is an error.  Others stay as they are."""
+    given = outcomes.select("id", F.col("result").alias("_result"), F.col("error").alias("_error"), F.lit(True).alias("_given"))
+    both = tasks.join(given, "id", "left")
+    status = F.when(F.col("_given").isNull(), F.col("status")).when(F.col("_error").isNotNull(), "failed").otherwise("done")
+    return both.withColumns({"status": status, "result": F.col("_result"), "error": F.col("_error")}).drop("_result", "_error", "_given")
+
+
+def beat(checkpoints: DataFrame, beats: DataFrame) -> DataFrame:
+    """``checkpoints`` (run_id, last_stage, heartbeat_at) with those that ``beats`` (run_id, stage, at) updates or adds, the latest of each run."""
+    new = beats.select("run_id", F.col("stage").alias("last_stage"), F.col("at").alias("heartbeat_at"))
+    latest = F.max(F.struct("heartbeat_at", "last_stage"))
+    return checkpoints.unionByName(new).groupBy("run_id").agg(latest.alias("_l")).select("run_id", F.col("_l.last_stage").alias("last_stage"), F.col("_l.heartbeat_at").alias("heartbeat_at"))
+
+
+def stale_runs(checkpoints: DataFrame, now: Column, seconds: int = 120) -> DataFrame:
+    """Runs without a heartbeat for so long: their work has to be drained again."""
+    return checkpoints.filter(F.col("heartbeat_at") < now - F.make_interval(secs=F.lit(seconds))).select("run_id")
+
+
+def drain(tasks: DataFrame, work: Callable[[DataFrame], DataFrame], now: Column, rounds: int, most: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Outcomes of ``rounds`` claims of ``most`` tasks each, and the tasks that are left: a budget of work, in one plan.
+
+    ``work`` gives (id, result, error) for claimed tasks.
+    """
+    left, done = tasks, []
+    for _ in range(rounds):
+        taken = claim(left, now, most)
+        done.append(work(taken))
+        left = left.join(taken.select("id"), "id", "left_anti")
+    return reduce(DataFrame.unionByName, done), left
+
+
+def cancel_siblings(results: DataFrame, core: Sequence[str], width: int = 16) -> DataFrame:
+    """``results`` (run_id, stage, ordinal, status) of stages run ``width`` at a time: after a failure in a core stage, the waves to come are cancelled."""
+    wave = F.floor(F.col("ordinal") / width)
+    failed = results.filter((F.col("status") == "failed") & F.col("stage").isin(*core)).groupBy("run_id", "stage").agg(F.min(wave).alias("_wave"))
+    both = results.join(failed, ["run_id", "stage"], "left")
+    return both.withColumn("status", F.when(wave > F.col("_wave"), "cancelled").otherwise(F.col("status"))).drop("_wave")
+
+
+def within_capacity(events: DataFrame, run: str, order: Sequence[str], read_at: str, capacity: int = 1000) -> DataFrame:
+    """``events`` with ``dropped``: an event that finds ``capacity`` unread ones of its run before it.
+
+    ``order[0]`` is when an event is put in, ``read_at`` when the reader takes
+    it out (null: never).  Those put in before and not yet read are those put
+    in less those read, both counted by one merge of the two times.
+    """
+    put = events.select("*", F.col(order[0]).alias("_t"), F.lit(1).alias("_in"))
+    taken = events.filter(F.col(read_at).isNotNull()).select("*", F.col(read_at).alias("_t"), F.lit(-1).alias("_in"))
+    before = Window.partitionBy(run).orderBy("_t", "_in", *order[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    merged = put.unionByName(taken).withColumn("dropped", F.coalesce(F.sum("_in").over(before), F.lit(0)) >= capacity)
+    return merged.filter("_in = 1").drop("_t", "_in")

@@ -7,16 +7,22 @@ are taken on ids and scores; texts are joined to what is left.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsift.functions.numbers import dot, unit
 from quillsift.functions.text import strip
 
 RRF_K = 60
 SPANS = 5
-#: Parts that a tenant's chunks are dealt to when queries meet them, so that a large tenant isn't one task's.
+#: Parts that a term's postings are dealt to when queries meet them.
 PARTS = 16
+#: Vectors of a block of queries and of chunks.
+QUERY_ROWS = 256
+CHUNK_ROWS = 4096
 
 
 def ranked(hits: DataFrame, most: int | None = None, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -30,24 +36,69 @@ def searchable(chunks: DataFrame) -> DataFrame:
     return chunks.filter(F.col("embedding").isNotNull() & ~F.col("is_parent"))
 
 
-def dense_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Cosine of every query (query_id, tenant_id, embedding) with every chunk (chunk_id, tenant_id, document_id, embedding) of its tenant.
+def children(chunks: DataFrame) -> DataFrame:
+    """Chunks that have a parent."""
+    return chunks.filter(F.col("parent_chunk_id").isNotNull())
+
+
+def _dealt(vectors: DataFrame, rows: int, key: str) -> tuple[DataFrame, DataFrame]:
+    """``vectors`` (tenant_id, n, ...) with ``_block``, about ``rows`` of a tenant and width in each; and ``tenant_id, n, _blocks``."""
+    sizes = vectors.groupBy("tenant_id", "n").agg(F.ceil(F.count("*") / rows).alias("_blocks"))
+    dealt = vectors.join(sizes, ["tenant_id", "n"]).withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks"))).drop("_blocks")
+    return dealt, sizes
 
-    The stated query set meets all chunks of its tenant by an equi-join on
-    tenant and part; the vectors are scaled to length 1 once, so that a pair
-    costs one dot product.
-    """
-    q = queries.select("query_id", "tenant_id", unit(F.col("embedding")).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
-    part = F.pmod(F.hash("chunk_id"), F.lit(PARTS))
-    c = chunks.select("chunk_id", "tenant_id", "document_id", unit(F.col("embedding")).alias("_c"), part.alias("_part"))
-    score = F.when(F.size("_q") == F.size("_c"), dot(F.col("_q"), F.col("_c"))).otherwise(0.0)
-    return c.join(q, ["tenant_id", "_part"]).select("query_id", "chunk_id", "document_id", score.alias("score"))
+
+def _packed(vectors: DataFrame, ids: list[str]) -> DataFrame:
+    """``tenant_id, n, _block, ids, v`` for each block, in order of the ids."""
+    rows = F.sort_array(F.collect_list(F.struct(*ids, "_v")))
+    blocks = vectors.groupBy("tenant_id", "n", "_block").agg(rows.alias("_rows"))
+    return blocks.select("tenant_id", "n", "_block", F.transform("_rows", lambda r: F.struct(*[r[i].alias(i) for i in ids])).alias("ids"), F.transform("_rows", lambda r: r["_v"]).alias("v"))
 
 
 def dense_top(queries: DataFrame, chunks: DataFrame, k: int, documents: DataFrame | None = None) -> DataFrame:
-    """The k chunks nearest to each query, optionally among ``documents`` (document_id) only."""
+    """The k chunks nearest to each query by cosine, optionally among ``documents`` (document_id) only.
+
+    Queries (query_id, tenant_id, embedding) meet all chunks (chunk_id,
+    tenant_id, document_id, embedding) of their tenant: both are dealt out in
+    blocks of QUERY_ROWS and CHUNK_ROWS vectors, a pair of blocks is one
+    product of matrices, and only the k best of a block per query go on.
+    Vectors have unit length; scores are rounded to twelve places, so that
+    equal vectors tie; vectors of other widths than the query's score 0.
+    """
     within = chunks if documents is None else chunks.join(documents.select("document_id").distinct(), "document_id", "left_semi")
-    return ranked(dense_scores(queries, within), k)
+    vector = [F.col("embedding").alias("_v"), F.size("embedding").alias("n")]
+    given = lambda df, *ids: df.filter("embedding is not null").select("tenant_id", *ids, *vector)
+    q, _ = _dealt(given(queries, "query_id"), QUERY_ROWS, "query_id")
+    c, sizes = _dealt(given(within, "chunk_id", "document_id"), CHUNK_ROWS, "chunk_id")
+    # Every block of queries goes to every block of chunks of its tenant, which may be many tasks.
+    places = sizes.select("tenant_id", F.col("n").alias("cn"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_at"))
+    asked = _packed(q, ["query_id"]).select("tenant_id", F.col("n").alias("qn"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v")).join(places, "tenant_id")
+    held = _packed(c, ["chunk_id", "document_id"]).select("tenant_id", F.col("n").alias("cn"), F.col("_block").alias("_at"), F.col("ids").alias("c_ids"), F.col("v").alias("c_v"))
+    pairs = held.join(asked, ["tenant_id", "cn", "_at"])
+
+    @F.pandas_udf("array<struct<q:int,c:int,score:double>>")
+    def best(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        def unit_rows(rows: np.ndarray) -> np.ndarray:
+            found = np.stack([np.asarray(r, float) for r in rows])
+            norm = np.linalg.norm(found, axis=1, keepdims=True)
+            return found / np.where(norm > 0, norm, 1)
+
+        def of(c_v: np.ndarray, q_v: np.ndarray, same: bool) -> list[dict]:
+            scores = np.round(unit_rows(q_v) @ unit_rows(c_v).T, 12) if same else np.zeros((len(q_v), len(c_v)))
+            out = []
+            # Chunks are in order of their ids, so a stable sort has ties by id.
+            for i, row in enumerate(scores):
+                some = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                top = some[np.argsort(-row[some], kind="stable")][:k]
+                out += [{"q": i, "c": int(j), "score": float(row[j]) + 0.0} for j in top]
+            return out
+
+        for c_v, q_v, cn, qn in batches:
+            yield pd.Series([of(x, y, n == m) for x, y, n, m in zip(c_v, q_v, cn, qn, strict=True)], dtype=object)
+
+    hits = pairs.select("c_ids", "q_ids", F.explode(best("c_v", "q_v", "cn", "qn")).alias("b"))
+    found = hits.select(F.get("q_ids", F.col("b.q"))["query_id"].alias("query_id"), F.get("c_ids", F.col("b.c")).alias("c"), F.col("b.score").alias("score"))
+    return ranked(found.select("query_id", "c.chunk_id", "c.document_id", "score"), k)
 
 
 def terms(text: Column) -> Column:
@@ -55,9 +106,11 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def postings(chunks: DataFrame, text: str = "content") -> DataFrame:
-    """The inverted index: ``chunk_id, tenant_id, document_id, term, tf``."""
+def postings(chunks: DataFrame, text: str = "content", queries: DataFrame | None = None) -> DataFrame:
+    """The inverted index: ``chunk_id, tenant_id, document_id, term, tf``; with ``queries``, of their terms only."""
     words = chunks.select("chunk_id", "tenant_id", "document_id", F.explode(terms(F.col(text))).alias("term"))
+    if queries is not None:
+        words = words.join(query_terms(queries).select("tenant_id", "term").distinct(), ["tenant_id", "term"], "left_semi")
     return words.groupBy("chunk_id", "tenant_id", "document_id", "term").agg(F.count("*").alias("tf"))
 
 
@@ -67,16 +120,26 @@ def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
     return asked.select("query_id", "tenant_id", F.size("_t").alias("n_terms"), F.explode("_t").alias("term"))
 
 
+def lexical_matches(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """``query_id, chunk_id, document_id, tf`` for the chunks that have all terms of a query.
+
+    Postings of a term are dealt to PARTS by their chunk, so a frequent term
+    of a large tenant isn't one task.
+    """
+    asked = query_terms(queries).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    hits = index.withColumn("_part", F.pmod(F.hash("chunk_id"), F.lit(PARTS))).join(asked, ["tenant_id", "term", "_part"])
+    full = hits.groupBy("query_id", "chunk_id", "document_id").agg(F.count("*").alias("_n"), F.max("n_terms").alias("_of"), F.sum("tf").alias("tf"))
+    return full.filter("_n = _of").drop("_n", "_of")
+
+
 def lexical_top(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """The k chunks with all terms of each query, by a tenth for each occurrence of a term.
 
     Parent chunks are not left out.  Terms are compared as they are, without
     stems or stop words.
     """
-    asked = query_terms(queries)
-    hits = index.join(asked, ["tenant_id", "term"])
-    full = hits.groupBy("query_id", "chunk_id", "document_id").agg(F.count("*").alias("_n"), F.max("n_terms").alias("_of"), F.sum("tf").alias("_tf")).filter("_n = _of")
-    return ranked(full.select("query_id", "chunk_id", "document_id", F.round(F.col("_tf") * F.lit(0.1), 6).alias("score")), k)
+    full = lexical_matches(queries, index)
+    return ranked(full.select("query_id", "chunk_id", "document_id", F.round(F.col("tf") * F.lit(0.1), 6).alias("score")), k)
 
 
 def fuse(lists: list[tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:
@@ -105,6 +168,34 @@ def rerank(hits: DataFrame, model_scores: DataFrame, k: int) -> DataFrame:
     return ranked(both.withColumn("score", score).drop("model_score", "_failed", "rank"), k)
 
 
+def rerank_with(hits: DataFrame, queries: DataFrame, chunks: DataFrame, scorer: Callable[[str, list[str]], list[float]], k: int, most: int = 200) -> DataFrame:
+    """The k best of each query's first ``most`` hits by a reranker (query, texts -> scores), the port of an outside model.
+
+    If it raises, or answers with another number of scores, the query keeps
+    its order with scores of 1 / position, and ``degraded`` says so.
+    """
+    asked = hits.filter(F.col("rank") <= most).join(queries.select("query_id", "query"), "query_id").join(chunks.select("chunk_id", "content"), "chunk_id")
+    rows = asked.groupBy("query_id", "query").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "document_id", "content"))).alias("_h"))
+
+    @F.pandas_udf("struct<scores:array<double>,degraded:boolean>")
+    def scored(asked: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for q, t in zip(asked, texts, strict=True):
+            try:
+                scores = [float(x) for x in scorer(q, list(t))]
+                ok = len(scores) == len(t)
+            except Exception:  # whatever an outside model does, the order stays
+                ok = False
+            out.append((scores, False) if ok else ([1.0 / (n + 1) for n in range(len(t))], True))
+        return pd.DataFrame(out, columns=["scores", "degraded"])
+
+    done = rows.withColumn("_s", scored("query", F.transform("_h", lambda h: h["content"])))
+    flat = done.select("query_id", F.col("_s.degraded").alias("degraded"), F.explode(F.arrays_zip(F.col("_h").alias("h"), F.col("_s.scores").alias("s"))).alias("x"))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("_was"))
+    kept = flat.select("query_id", "x.h.chunk_id", "x.h.document_id", F.col("x.s").alias("score"), "degraded", F.col("x.h.rank").alias("_was"))
+    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("_was")
+
+
 def group_by_document(hits: DataFrame, spans: int = SPANS, most: int | None = None) -> DataFrame:
     """``query_id, document_id, score`` (the sum of its best chunks), ``spans`` (those, best first) and ``rank``."""
     best = Window.partitionBy("query_id", "document_id").orderBy(F.col("score").desc(), F.col("chunk_id"))

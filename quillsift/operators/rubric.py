@@ -150,9 +150,11 @@ def rescope(requirements: DataFrame, rubric: str = "rubric_id", position: str =
 
 
 def latest_approved(rubrics: DataFrame) -> DataFrame:
-    """For each job its approved version with the highest number."""
-    last = Window.partitionBy("tenant_id", "job_id").orderBy(F.col("version").desc(), F.col("id"))
-    return rubrics.filter(scorable(F.col("status"))).withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
+    """For each job its approved version with the highest number; each task reduces its jobs before the shuffle."""
+    rest = [c for c in rubrics.columns if c not in ("tenant_id", "job_id")]
+    last = F.max_by(F.struct(*rest), F.struct("version", "id"))
+    out = rubrics.filter(scorable(F.col("status"))).groupBy("tenant_id", "job_id").agg(last.alias("_r"))
+    return out.select(*[F.col(c) if c in ("tenant_id", "job_id") else F.col(f"_r.{c}").alias(c) for c in rubrics.columns])
 
 
 #: Starting points for rubrics: (key, name, family, requirements as (text, category, must-have, weight)); own wording.

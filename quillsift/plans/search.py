@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.functions.numbers import mock_embedding
@@ -24,6 +24,16 @@ class SearchConfig:
     top_k: int = 10
 
 
+def of_sections(chunks: DataFrame, sections: list[str] | None) -> DataFrame:
+    """Chunks of the sections, all of them if none are named."""
+    return chunks if sections is None else chunks.filter(F.col("section").isin(sections))
+
+
+def without_source(hits: DataFrame, source: Column | str = "query_id") -> DataFrame:
+    """Hits of other documents than the source; asked after a cutoff, its own have used up places of that."""
+    return hits.filter(F.col("document_id") != (F.col(source) if isinstance(source, str) else source))
+
+
 def candidates(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid", config: SearchConfig = SearchConfig(), sections: list[str] | None = None, index: DataFrame | None = None) -> DataFrame:
     """Documents for each query (query_id, tenant_id, query, embedding): ``query_id, document_id, score, spans, rank``.
 
@@ -34,12 +44,12 @@ def candidates(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid", conf
     """
     if mode not in ("hybrid", "semantic", "lexical"):
         raise ValueError(mode)
-    within = chunks if sections is None else chunks.filter(F.col("section").isin(sections))
+    within = of_sections(chunks, sections)
     lists = []
     if mode != "lexical":
         lists.append((retrieval.dense_top(queries, retrieval.searchable(within), config.recall), config.dense_weight if mode == "hybrid" else 1.0))
     if mode != "semantic":
-        terms = retrieval.postings(within) if index is None else index
+        terms = retrieval.postings(within, queries=queries) if index is None else index
         lists.append((retrieval.lexical_top(queries, terms, config.recall), config.lexical_weight if mode == "hybrid" else 1.0))
     kept = retrieval.keep_order(retrieval.fuse(lists), config.rerank)
     return retrieval.group_by_document(kept, most=config.top_k)
@@ -52,7 +62,8 @@ def similar(sources: DataFrame, chunks: DataFrame, embed=mock_embedding, config:
     """
     text = retrieval.representative_text(chunks.join(sources, ["tenant_id", "document_id"], "left_semi"))
     queries = text.select(F.col("document_id").alias("query_id"), "tenant_id", embed(F.col("query")).alias("embedding"))
-    hits = retrieval.dense_top(queries, retrieval.searchable(chunks), 2 * config.recall).filter(F.col("document_id") != F.col("query_id"))
+    hits = retrieval.dense_top(queries, retrieval.searchable(chunks), 2 * config.recall)
+    hits = without_source(hits)
     return retrieval.group_by_document(hits, most=config.top_k)
 
 
@@ -82,7 +93,7 @@ def ingest(arrivals: DataFrame, stored: DataFrame | None = None) -> dict[str, Da
 def funnel(queries: DataFrame, chunks: DataFrame, recall: int = 200, rerank: int = 120, output: int = 60) -> tuple[DataFrame, DataFrame]:
     """The judged candidates of each query, and what each cutoff left: dense recall, lexical recall, fusion, rerank, output."""
     dense = retrieval.dense_top(queries, retrieval.searchable(chunks), recall)
-    lexical = retrieval.lexical_top(queries, retrieval.postings(chunks), recall)
+    lexical = retrieval.lexical_top(queries, retrieval.postings(chunks, queries=queries), recall)
     fused = retrieval.fuse([(dense, 0.6), (lexical, 0.4)]).filter(F.col("rank") <= recall)
     kept = retrieval.keep_order(fused, rerank)
     counts = fused.groupBy("query_id").agg(

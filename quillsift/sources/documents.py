@@ -16,13 +16,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
-from quillsift.schemas import CHARS_PER_PAGE, MAX_CHARS, MAX_PAGES, MAX_UPLOAD_BYTES, PARSED
+from quillsift.schemas import CHARS_PER_PAGE, MAX_CHARS, MAX_PAGES, MAX_UPLOAD_BYTES, SPAN
 
 PDF = "application/pdf"
 DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 TEXT = "text/plain"
 SEPARATOR = "\n\n"
 _MAIN = "word/document.xml"
+#: What reading a damaged file raises; other errors are bugs and fail the job.
+UNREADABLE = (zipfile.BadZipFile, ElementTree.ParseError, UnicodeDecodeError, KeyError, ValueError, EOFError, OSError)
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -96,7 +98,8 @@ def parse(files: DataFrame, read_pdf: Callable[[bytes], list[str]] | None = None
     """``files`` (with ``content``) and ``media_type``, and ``parsed``: text, pages and offsets, or an ``error``.
 
     Documents of over MAX_PAGES pages or MAX_CHARS characters, ones that can't
-    be opened, and types without a reader have an error and no text.
+    be opened (a reader raises one of UNREADABLE), and types without a reader
+    have an error and no text.
     """
 
     @F.pandas_udf("struct<texts:array<string>,error:string>")
@@ -113,7 +116,7 @@ def parse(files: DataFrame, read_pdf: Callable[[bytes], list[str]] | None = None
                 else:
                     rows.append((None, "unsupported_media_type"))
                     continue
-            except Exception:
+            except UNREADABLE:
                 rows.append((None, "document_parse_error"))
                 continue
             if len(pages) > MAX_PAGES:
@@ -131,6 +134,32 @@ def parse(files: DataFrame, read_pdf: Callable[[bytes], list[str]] | None = None
     return read.withColumn("parsed", F.when(~failed, made)).withColumn("error", F.col("_read.error")).drop("_read")
 
 
+def styled_spans(files: DataFrame, read_spans: Callable[[bytes], list[dict]]) -> DataFrame:
+    """``files`` with ``spans`` (schemas.SPAN): what a given reader finds, without the blank ones; null where a file can't be read."""
+
+    @F.pandas_udf(f"array<{SPAN}>")
+    def found(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def of(data: bytes | None) -> list[dict] | None:
+            try:
+                return None if data is None else [s for s in read_spans(data) if s["text"].strip()]
+            except UNREADABLE:
+                return None
+
+        for batch in contents:
+            yield pd.Series([of(x) for x in batch], dtype=object)
+
+    return files.withColumn("spans", found("content"))
+
+
+def cv_parse(parsed: DataFrame) -> DataFrame:
+    """The CV parser's result of parsed files: ``cv`` with text, page_count, status and warning; a thin text asks for OCR, an error fails."""
+    text, pages = F.col("parsed.text"), F.col("parsed.page_count")
+    thin = needs_ocr(text, pages)
+    status = F.when(F.col("error").isNotNull(), "failed").when(thin, "degraded").otherwise("ok")
+    warning = F.when(F.col("error").isNotNull(), F.col("error")).when(thin, "needs_ocr")
+    return parsed.withColumn("cv", F.struct(text.alias("text"), pages.alias("page_count"), F.coalesce(thin, F.lit(False)).alias("needs_ocr"), status.alias("status"), warning.alias("warning")))
+
+
 def needs_ocr(text: Column, page_count: Column) -> Column:
     """The other parser's rule: pages, but under 100 characters of text."""
     return (page_count > 0) & (F.length(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")) < 100)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,10 +46,14 @@ def overwrite_partitions(df: DataFrame, path: str, by: str) -> None:
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str, order: str) -> DataFrame:
-    """``table`` and ``rows`` with one row per key, the latest by ``order``; of equal ones, that of ``rows``."""
+    """``table`` and ``rows`` with one row per key, the latest by ``order`` (null is the oldest); of equal ones, that of ``rows``.
+
+    Each task reduces its keys before the shuffle.
+    """
     both = table.withColumn("_new", F.lit(0)).unionByName(rows.select(*table.columns).withColumn("_new", F.lit(1)))
-    latest = Window.partitionBy(key).orderBy(F.col(order).desc_nulls_last(), F.col("_new").desc())
-    return both.withColumn("_n", F.row_number().over(latest)).filter("_n = 1").drop("_n", "_new")
+    rest = [c for c in table.columns if c != key]
+    latest = F.max_by(F.struct(*rest), F.struct(F.col(order).isNotNull(), F.col(order), F.col("_new")))
+    return both.groupBy(key).agg(latest.alias("_r")).select(*[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in table.columns])
 
 
 def live_cache(cache: DataFrame, now: Column) -> DataFrame:
@@ -59,3 +63,19 @@ def live_cache(cache: DataFrame, now: Column) -> DataFrame:
 
 def object_key(tenant: Column, digest: Column, name: Column) -> Column:
     return F.concat_ws("/", F.lit("tenants"), tenant, F.lit("resumes"), digest, name)
+
+
+def create_jobs(sources: DataFrame, source: str = "manual") -> DataFrame:
+    """Draft jobs from ``sources`` (id, tenant_id, created_by, title, text; other columns that jobs have are kept).
+
+    The text becomes the raw description as it is: job descriptions, unlike
+    résumés, aren't sanitized.
+    """
+    optional = [F.col(c) if c in sources.columns else F.lit(None).cast("string").alias(c) for c in ("department", "location", "employment_type", "seniority")]
+    return sources.select("id", "tenant_id", "created_by", "title", F.col("text").alias("description_raw"), *optional, F.lit(source).alias("source"), F.lit("draft").alias("status"))
+
+
+def create_jobs_from_uploads(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Jobs from parsed files (id, tenant_id, created_by, title, ``parsed``, ``error``), and the files that gave none."""
+    read = parsed.filter("error is null").withColumn("text", F.col("parsed.text"))
+    return create_jobs(read, "upload"), parsed.filter("error is not null").select("id", "tenant_id", "error")

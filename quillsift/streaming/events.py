@@ -18,19 +18,28 @@ from quillsift.schemas import TERMINAL_EVENTS
 
 
 def limited(events: DataFrame, key: str = "user_id", capacity: int = REQUESTS, seconds: float = SECONDS) -> DataFrame:
-    """A stream of (key, at in seconds, tie) with ``accepted``; a key's state is the accepted times inside the window."""
+    """A stream of (key, at in seconds, tie) with ``accepted``; a key's state is the accepted times inside the window.
+
+    A key without events for as long as the window has no times left that
+    count, so its state is evicted.  Events are ordered within a batch; one
+    that comes in a later batch with an earlier time is judged on arrival.
+    """
 
     def step(group: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = [(at, 1) for at in state.get[0]] if state.exists else []
         window = SlidingWindow(capacity, seconds, held)
         rows = pd.concat(list(batches)).sort_values(["at", "tie"], kind="stable")
         rows["accepted"] = [window.take(at) for at in rows["at"]]
         state.update(([at for at, _ in window.held],))
+        state.setTimeoutDuration(max(1, int(seconds * 1000)))
         yield rows[["key", "at", "tie", "accepted"]]
 
     kind = events.schema[key].dataType.simpleString()
     keyed = events.select(F.col(key).alias("key"), F.col("at").cast("double").alias("at"), F.col("tie").cast("long").alias("tie"))
-    return keyed.groupBy("key").applyInPandasWithState(step, f"key {kind}, at double, tie long, accepted boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("key").applyInPandasWithState(step, f"key {kind}, at double, tie long, accepted boolean", "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def run_stream(events: DataFrame, idle_ms: int = 15_000) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,9 +100,42 @@ def test_similar_documents_asks_for_each_twentieth_id(spark, data, monkeypatch):
     assert sorted(r.document_id for r in asked[0].collect()) == sorted(k for k in ids if k % 20 == 0)
 
 
-def test_funnel_takes_whole_texts_and_all_vectors(spark, data):
-    asked, chunks = queries._whole(spark, data)
+def test_hybrid_takes_whole_texts_and_all_vectors(spark, data):
+    asked, chunks = queries._hybrid(spark, data)
     texts = {r.item_id: r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
     assert {r.query_id: r["query"] for r in asked.collect()} == texts
     docs, vectors = (spark.read.parquet(f"{data}/{t}.parquet").count() for t in ("documents", "embeddings"))
     assert chunks.count() == docs and chunks.select("_v").distinct().count() == min(docs, vectors)
+
+
+def test_dense_top_in_blocks(spark, monkeypatch):
+    """Many blocks of one tenant, ties, zero vectors, other widths and nulls."""
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 3)
+    monkeypatch.setattr(retrieval, "CHUNK_ROWS", 7)
+    rng = np.random.default_rng(3)
+    vectors = [[float(x) for x in rng.integers(-2, 3, 4)] for _ in range(90)] + [[0.0] * 4, [1.0, 2.0], None]
+    chunks = spark.createDataFrame([(k, "t" if k % 5 else "u", k % 9, v) for k, v in enumerate(vectors)], "chunk_id int, tenant_id string, document_id int, embedding array<double>")
+    asked = {f"q{k}": ("t" if k % 3 else "u", vectors[k]) for k in range(10)}
+    q = spark.createDataFrame([(k, t, v) for k, (t, v) in asked.items()], "query_id string, tenant_id string, embedding array<double>")
+    got = {}
+    for r in retrieval.dense_top(q, chunks, 6).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.chunk_id, round(r.score, 9))
+
+    def cosine(a, b):
+        if len(a) != len(b) or not any(a) or not any(b):
+            return 0.0
+        return round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 9) + 0.0
+
+    for k, (tenant, v) in asked.items():
+        best = sorted(((-cosine(v, w), c) for c, w in enumerate(vectors) if w is not None and (tenant == "t") == bool(c % 5)))[:6]
+        assert got[k] == {n + 1: (c, -s + 0.0) for n, (s, c) in enumerate(best)}
+
+
+def test_rerank_port_keeps_order_on_errors(spark):
+    h = hits(spark, [("a", "d", 9), ("b", "d", 5), ("c", "d", 1)])
+    q = spark.createDataFrame([("q", "find")], "query_id string, query string")
+    chunks = spark.createDataFrame([("a", "x"), ("b", "yyy"), ("c", "yy")], "chunk_id string, content string")
+    run = lambda f: [(r.chunk_id, r.score, r.degraded) for r in retrieval.rerank_with(h, q, chunks, f, 2).orderBy("rank").collect()]
+    assert run(lambda _, texts: [len(t) for t in texts]) == [("b", 3.0, False), ("c", 2.0, False)]
+    kept = [("a", 1.0, True), ("b", 0.5, True)]
+    assert run(lambda _, texts: [1.0]) == kept and run(lambda _, texts: 1 / 0) == kept
