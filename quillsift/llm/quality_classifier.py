@@ -104,9 +104,10 @@ def context_vectors(docs: DataFrame, text_col: str) -> np.ndarray:
 
     partial = docs.select(as_bytes(F.col(text_col)).alias("text")).mapInPandas(count, "bucket int, v array<float>")
     total = partial.groupBy("bucket").agg(F.array(*[F.sum(F.col("v")[k].cast("double")) for k in range(DIM)]).alias("v"))
+    # Arrow keeps the table as numbers on its way: a row per bucket at most.
+    found = total.toArrow()
     table = np.zeros((WORDS, DIM))
-    for bucket, v in total.collect():
-        table[bucket] = v
+    table[found["bucket"].to_numpy()] = found["v"].combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, DIM)
     norm = np.linalg.norm(table, axis=1, keepdims=True)
     return (table / np.where(norm > 0, norm, 1)).astype(np.float32)
 
@@ -208,15 +209,15 @@ def score(docs: DataFrame, labels: DataFrame, training: str, id_col: str = "doc_
     chosen = known.filter("quality = other and doc_id is not null").select("doc_id", "quality", F.xxhash64("doc_id").alias("o")).orderBy("o", "doc_id").limit(TRAINING_ROWS)
     texts = docs.select(F.col(id_col).alias("doc_id"), as_bytes(F.col(text_col)).alias("text"))
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("binary")
     def pool(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([pooled(t, table.value) for t in batch])
+            yield pd.Series([pooled(t, table.value).tobytes() for t in batch], dtype=object)
 
     # One text for each label, so no more rows than labels come to the driver.
     once = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "o").agg(F.min("text").alias("text"))
     rows = once.select(pool("text").alias("x"), "quality", "o", "doc_id").toPandas().sort_values(["o", "doc_id"], kind="stable")
-    x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, 2 * DIM + 3), np.float32)
+    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, 2 * DIM + 3)
     net = spark.sparkContext.broadcast(train(x.astype(float), rows["quality"].to_numpy(float)))
 
     @F.pandas_udf("double")
