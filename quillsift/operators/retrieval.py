@@ -107,11 +107,11 @@ def terms(text: Column) -> Column:
 
 
 def postings(chunks: DataFrame, text: str = "content", queries: DataFrame | None = None) -> DataFrame:
-    """The inverted index: ``chunk_id, tenant_id, document_id, term, tf``; with ``queries``, of their terms only."""
-    words = chunks.select("chunk_id", "tenant_id", "document_id", F.explode(terms(F.col(text))).alias("term"))
+    """The inverted index: ``chunk_id, tenant_id, document_id, term, places`` (positions from 0); with ``queries``, of their terms only."""
+    words = chunks.select("chunk_id", "tenant_id", "document_id", F.posexplode(terms(F.col(text))).alias("_at", "term"))
     if queries is not None:
         words = words.join(query_terms(queries).select("tenant_id", "term").distinct(), ["tenant_id", "term"], "left_semi")
-    return words.groupBy("chunk_id", "tenant_id", "document_id", "term").agg(F.count("*").alias("tf"))
+    return words.groupBy("chunk_id", "tenant_id", "document_id", "term").agg(F.sort_array(F.collect_list("_at")).alias("places"))
 
 
 def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
@@ -121,25 +121,43 @@ def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
 
 
 def lexical_matches(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """``query_id, chunk_id, document_id, tf`` for the chunks that have all terms of a query.
+    """``query_id, chunk_id, document_id, places`` (of each term) for the chunks that have all terms of a query.
 
     Postings of a term are dealt to PARTS by their chunk, so a frequent term
     of a large tenant isn't one task.
     """
     asked = query_terms(queries).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     hits = index.withColumn("_part", F.pmod(F.hash("chunk_id"), F.lit(PARTS))).join(asked, ["tenant_id", "term", "_part"])
-    full = hits.groupBy("query_id", "chunk_id", "document_id").agg(F.count("*").alias("_n"), F.max("n_terms").alias("_of"), F.sum("tf").alias("tf"))
+    full = hits.groupBy("query_id", "chunk_id", "document_id").agg(F.count("*").alias("_n"), F.max("n_terms").alias("_of"), F.collect_list("places").alias("places"))
     return full.filter("_n = _of").drop("_n", "_of")
 
 
+def cover_density(places: list[list[int]]) -> float:
+    """A tenth for each cover (a shortest stretch with all terms), divided by one more than the other words in it."""
+    entries = sorted((at, term) for term, some in enumerate(places) for at in some)
+    latest, total, before = [-1] * len(places), 0.0, -1
+    for k, (at, term) in enumerate(entries):
+        latest[term] = k
+        begin = min(latest)
+        if begin > before:
+            total += 0.1 / (1 + at - entries[begin][0] - (k - begin))
+            before = begin
+    return total
+
+
 def lexical_top(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """The k chunks with all terms of each query, by a tenth for each occurrence of a term.
+    """The k chunks with all terms of each query, ranked by the density of their covers.
 
     Parent chunks are not left out.  Terms are compared as they are, without
     stems or stop words.
     """
+
+    @F.pandas_udf("double")
+    def density(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda places: cover_density([list(x) for x in places])).astype(float)
+
     full = lexical_matches(queries, index)
-    return ranked(full.select("query_id", "chunk_id", "document_id", F.round(F.col("tf") * F.lit(0.1), 6).alias("score")), k)
+    return ranked(full.select("query_id", "chunk_id", "document_id", F.round(density("places"), 6).alias("score")), k)
 
 
 def fuse(lists: list[tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:

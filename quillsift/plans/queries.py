@@ -227,11 +227,17 @@ def rrf_fusion(spark, sf_dir):
 
 
 _TERMS_SQL = r"""
-words AS (SELECT doc_id, source, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM documents),
-idx AS (SELECT doc_id, source, term, COUNT(*) AS tf FROM words GROUP BY ALL),
+texts AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS l FROM documents),
+words AS (SELECT doc_id, unnest(l) AS term, unnest(range(len(l))) AS pos FROM texts),
 asked AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS t FROM benchmark),
 qt AS (SELECT query_id, len(t) AS n, unnest(t) AS term FROM asked),
-lex AS (SELECT query_id, doc_id AS chunk_id, round(SUM(tf) * 0.1, 6) AS score FROM idx JOIN qt USING (term) GROUP BY query_id, doc_id, n HAVING COUNT(*) = n)"""
+found AS (SELECT query_id, doc_id, n, term, pos, ROW_NUMBER() OVER (PARTITION BY query_id, doc_id ORDER BY pos) AS k FROM words JOIN qt USING (term)),
+whole AS (SELECT query_id, doc_id FROM found GROUP BY query_id, doc_id, n HAVING COUNT(DISTINCT term) = n),
+h AS (SELECT found.* FROM found JOIN whole USING (query_id, doc_id)),
+latest AS (SELECT a.query_id, a.doc_id, a.n, a.pos, a.k, b.term, MAX(b.k) AS l FROM h a JOIN h b ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND b.k <= a.k GROUP BY ALL),
+ends AS (SELECT query_id, doc_id, pos, k, MIN(l) AS start FROM latest GROUP BY query_id, doc_id, n, pos, k HAVING COUNT(*) = n),
+covers AS (SELECT *, LAG(start) OVER (PARTITION BY query_id, doc_id ORDER BY k) AS before FROM ends),
+lex AS (SELECT c.query_id, c.doc_id AS chunk_id, round(SUM(0.1 / (1 + c.pos - h.pos - (c.k - c.start))), 6) AS score FROM covers c JOIN h ON h.query_id = c.query_id AND h.doc_id = c.doc_id AND h.k = c.start WHERE c.before IS NULL OR c.start > c.before GROUP BY 1, 2)"""
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -65,10 +65,23 @@ def test_dense_is_scoped_to_the_tenant(spark):
 
 
 def test_lexical_needs_all_terms(spark):
-    chunks = spark.createDataFrame([(1, "t", 1, "red red car"), (2, "t", 2, "red"), (3, "t", 3, "Car, RED!")], "chunk_id int, tenant_id string, document_id int, content string")
-    q = spark.createDataFrame([("q", "t", "red car")], "query_id string, tenant_id string, query string")
-    got = [(r.chunk_id, r.score) for r in retrieval.lexical_top(q, retrieval.postings(chunks), 5).orderBy("rank").collect()]
-    assert got == [(1, 0.3), (3, 0.2)]
+    """One term: a tenth for each place.  Two: covers "red car" of the first text; "car, red" and "red ... car" of the third, with a word between."""
+    chunks = spark.createDataFrame([(1, "t", 1, "red red car"), (2, "t", 2, "red"), (3, "t", 3, "Car, RED! a car")], "chunk_id int, tenant_id string, document_id int, content string")
+    q = spark.createDataFrame([("q", "t", "red car"), ("r", "t", "red")], "query_id string, tenant_id string, query string")
+    got = [(r.query_id, r.chunk_id, r.score) for r in retrieval.lexical_top(q, retrieval.postings(chunks), 5).orderBy("query_id", "rank").collect()]
+    assert got == [("q", 3, 0.15), ("q", 1, 0.1), ("r", 1, 0.2), ("r", 2, 0.1), ("r", 3, 0.1)]
+
+
+def test_cover_density_equals_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        words = rng.integers(0, 5, rng.integers(1, 14)).tolist()
+        n = int(rng.integers(1, 4))
+        places = [[k for k, w in enumerate(words) if w == t] for t in range(n)]
+        spans = [(i, j) for i in range(len(words)) for j in range(i, len(words)) if set(range(n)) <= set(words[i : j + 1])]
+        shortest = [(i, j) for i, j in spans if not any((a, b) != (i, j) and i <= a and b <= j for a, b in spans)]
+        expected = sum(0.1 / (1 + sum(w >= n for w in words[i : j + 1])) for i, j in shortest)
+        assert retrieval.cover_density(places) == pytest.approx(expected)
 
 
 def test_pages(spark):
