@@ -120,15 +120,22 @@ def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
     return asked.select("query_id", "tenant_id", F.size("_t").alias("n_terms"), F.explode("_t").alias("term"))
 
 
-def lexical_matches(queries: DataFrame, index: DataFrame) -> DataFrame:
+def lexical_matches(queries: DataFrame, index: DataFrame, text: str = "query") -> DataFrame:
     """``query_id, chunk_id, document_id, places`` (of each term) for the chunks that have all terms of a query.
 
-    Postings of a term are dealt to PARTS by their chunk, so a frequent term
-    of a large tenant isn't one task.
+    Chunks with a query's rarest term are looked up first, and only their other
+    postings are read.  Postings of that term are dealt to PARTS by their
+    chunk, so a frequent term of a large tenant isn't one task.
     """
-    asked = query_terms(queries).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    hits = index.withColumn("_part", F.pmod(F.hash("chunk_id"), F.lit(PARTS))).join(asked, ["tenant_id", "term", "_part"])
-    full = hits.groupBy("query_id", "chunk_id", "document_id").agg(F.count("*").alias("_n"), F.max("n_terms").alias("_of"), F.collect_list("places").alias("places"))
+    asked = queries.select("query_id", "tenant_id", F.array_distinct(terms(F.col(text))).alias("_t"))
+    frequency = index.groupBy("tenant_id", "term").agg(F.count("*").alias("_df"))
+    each = asked.select("query_id", "tenant_id", F.explode("_t").alias("term")).join(frequency, ["tenant_id", "term"], "left")
+    rarest = each.groupBy("query_id", "tenant_id").agg(F.min_by("term", F.coalesce("_df", F.lit(0))).alias("term"))
+    lead = rarest.join(asked, ["query_id", "tenant_id"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    part = F.pmod(F.hash("chunk_id"), F.lit(PARTS)).alias("_part")
+    likely = index.select("tenant_id", "term", "chunk_id", part).join(lead, ["tenant_id", "term", "_part"]).select("query_id", "tenant_id", "chunk_id", "_t")
+    hits = index.join(likely, ["tenant_id", "chunk_id"]).filter(F.array_contains("_t", F.col("term")))
+    full = hits.groupBy("query_id", "chunk_id", "document_id").agg(F.count("*").alias("_n"), F.max(F.size("_t")).alias("_of"), F.collect_list("places").alias("places"))
     return full.filter("_n = _of").drop("_n", "_of")
 
 

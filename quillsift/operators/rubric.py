@@ -15,6 +15,7 @@ from quillsift.schemas import FORMULA_VERSIONS, MAX_REQUIREMENTS, WEIGHT
 UNITS = 10_000
 #: Relative weights are taken to eight decimal places.
 PRECISION = 100_000_000
+MOST_WEIGHT = 9_000_000
 DEFAULT_CAP = 40
 
 
@@ -23,15 +24,16 @@ def normalize_weights(requirements: DataFrame, rubric: str = "rubric_id", ordina
 
     Shares are counted in units of 0.0001, rounded down; left-over units go to
     the largest fractions, ties by position.  A rubric with a negative weight,
-    no positive one, or a positive one that gets no unit has a violation and
-    no weights.
+    no positive one, a positive one that gets no unit, or weights of over
+    MOST_WEIGHT together has a violation and no weights.
     """
     of_rubric = Window.partitionBy(rubric)
-    exact = F.round(F.col(weight).cast("decimal(20,8)") * PRECISION).cast("decimal(38,0)")
-    counted = requirements.withColumn("_w", exact).withColumn("_total", F.sum("_w").over(of_rubric)).withColumn("_least", F.min("_w").over(of_rubric))
-    shares = counted.withColumn("_units", F.when(F.col("_total") > 0, F.floor(F.col("_w") * UNITS / F.col("_total"))).cast("long")).withColumn(
-        "_rest", F.when(F.col("_total") > 0, (F.col("_w") * UNITS) % F.col("_total"))
-    )
+    # Longs hold weights up to MOST_WEIGHT times PRECISION times UNITS; sums of larger ones are refused.
+    fits = F.abs(F.col(weight)) <= MOST_WEIGHT
+    exact = F.when(fits, F.round(F.col(weight).cast("decimal(20,8)") * PRECISION).cast("long"))
+    counted = requirements.withColumn("_w", exact).withColumn("_total", F.sum("_w").over(of_rubric)).withColumn("_least", F.min("_w").over(of_rubric)).withColumn("_large", F.max((~fits).cast("int")).over(of_rubric))
+    whole = (F.col("_total") > 0) & (F.col("_total") <= MOST_WEIGHT * PRECISION) & (F.col("_w") >= 0)
+    shares = counted.withColumn("_rest", F.when(whole, (F.col("_w") * UNITS) % F.col("_total"))).withColumn("_units", F.when(whole, F.expr(f"(_w * {UNITS}) div _total")))
     ranked = shares.withColumn("_left", F.lit(UNITS) - F.sum("_units").over(of_rubric)).withColumn(
         "_rank", F.row_number().over(of_rubric.orderBy(F.col("_rest").desc(), F.col(ordinal)))
     )
@@ -39,10 +41,10 @@ def normalize_weights(requirements: DataFrame, rubric: str = "rubric_id", ordina
     starved = F.max(((F.col("_units") == 0) & (F.col("_w") > 0)).cast("int")).over(of_rubric)
     judged = given.withColumn(
         "violation",
-        F.when(F.col("_least") < 0, "negative_weight").when(F.coalesce(F.col("_total"), F.lit(0)) == 0, "zero_total").when(starved == 1, "weight_too_small"),
+        F.when((F.col("_large") == 1) | (F.col("_total") > MOST_WEIGHT * PRECISION), "weight_too_large").when(F.col("_least") < 0, "negative_weight").when(F.coalesce(F.col("_total"), F.lit(0)) == 0, "zero_total").when(starved == 1, "weight_too_small"),
     )
     normalized = F.when(F.col("violation").isNull(), (F.col("_units").cast("decimal(10,0)") / UNITS).cast(WEIGHT))
-    return judged.withColumn("normalized", normalized).drop("_w", "_total", "_least", "_units", "_rest", "_left", "_rank")
+    return judged.withColumn("normalized", normalized).drop("_w", "_total", "_least", "_large", "_units", "_rest", "_left", "_rank")
 
 
 def requirement_json(text: Column, category: Column, must_have: Column, weight: Column, min_years: Column, seniority: Column) -> Column:
