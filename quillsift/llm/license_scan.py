@@ -129,6 +129,9 @@ class Scanner:
                 self.single[min(SHINGLE, len(_word_hashes(templates[self.names[k]].encode())))].append(k)
             elif len(s):
                 classes[len(s)].append(k)
+        #: All shingles of templates with bands, and where each template's are among them.
+        self.known = np.unique(np.concatenate([self.sets[k] for members in classes.values() for k in members] or [np.empty(0, np.uint64)]))
+        self.places = {k: np.searchsorted(self.known, self.sets[k]) for members in classes.values() for k in members}
         self.bands: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for m, members in classes.items():
             keys = np.stack([_permuted(self.sets[k]).min(axis=1) for k in members])
@@ -138,15 +141,27 @@ class Scanner:
 
     def candidates(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(template, first shingle, end) of windows that agree with a template in a band; long texts go block by block."""
-        longest = 2 * max(self.bands, default=0)
-        for base in range(0, len(h), BLOCK):
+        possible = self._possible(h)
+        longest = 2 * max(possible, default=0)
+        for base in range(0, len(h) if possible else 0, BLOCK):
             # A window that begins in this block may end in the next.
-            for template, start, end in self._in_block(h[base : base + BLOCK + longest]):
+            for template, start, end in self._in_block(h[base : base + BLOCK + longest], possible):
                 yield template, base + start, base + end
 
-    def _in_block(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def _possible(self, h: np.ndarray) -> list[int]:
+        """Sizes of the templates that have the wanted share of their shingles somewhere in the text; only for these are there windows to look for."""
+        if not len(h) or not len(self.known):
+            return []
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        there = np.zeros(len(self.known), bool)
+        there[at[self.known[at] == h]] = True
+        if not there.any():
+            return []
+        return sorted({len(p) for p in self.places.values() if there[p].sum() >= CONTAINMENT * len(p)})
+
+    def _in_block(self, h: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, int, int]]:
         block, size, n = _permuted(h), 1, len(h)
-        for m in sorted(self.bands):
+        for m in sizes:
             length, step = 2 * m, m - m // 4 + 1
             while 2 * size <= min(length, n):
                 # Minima over stretches twice as long, from each place.
