@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm import exact_dedup, license_scan, line_dedup, mixing, packing, quality_classifier, quality_rules, sharding, simhash_trie, token_counts
+from quillsift.llm import exact_dedup, license_scan, line_dedup, mixing, multi_length, packing, quality_classifier, quality_rules, repair, sharding, simhash_trie, token_counts, whitening
 from quillsift.llm.shared import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 SHARD_BYTES = 64 << 20
 #: Documents whose labels nothing is learned from.
 HELD_OUT = "(crc32(cast(coalesce(cast(doc_id AS string), '') AS binary)) % 3 = 1)"
@@ -60,6 +61,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.group_near(read(spark, sf_dir, "documents"), words=3, budget=3)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), top=4)
+
+
+def op12_multi_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_length.pack_multi(read(spark, sf_dir, "documents"), WORD_BPE, largest=4096)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = (
     op1_quality_rules,
     op2_extendible_sharding,
@@ -71,6 +84,9 @@ QUERIES = (
     op8_license_scan,
     op9_balanced_mixing,
     op10_simhash_near_dedup,
+    op11_embedding_whitening,
+    op12_multi_length_packing,
+    op13_conversation_repair,
 )
 
 
