@@ -163,8 +163,8 @@ def test_rests_of_many_tasks_meet(spark, tokenizer, parts, monkeypatch):
     rows = multi_length.pack_multi(df, WORD_BPE, 256, 32, 1024, fan_in=3).collect()
     tiers = check_multi(rows, texts, tokenizer, 256, 32, 1024)
     assert len([t for t in tiers if t >= 32]) >= 3
-    # Few documents are cut that needn't be.
-    assert len(rows) - sum(math.ceil(max(1, len(tokenizer.encode(t or "").ids) + 1) / 256) for t in texts.values()) < 0.3 * len(texts)
+    # Few documents are cut that need not be, even of six in a task.
+    assert len(rows) - sum(math.ceil(max(1, len(tokenizer.encode(t or "").ids) + 1) / 256) for t in texts.values()) < 0.5 * len(texts)
 
 
 def test_multi_packing_of_hard_rows(spark, hard, empty, tokenizer):
