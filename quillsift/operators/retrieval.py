@@ -7,14 +7,18 @@ are taken on ids and scores; texts are joined to what is left.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from quillsift.functions.text import strip
+from quillsift.session import frozen
 
 RRF_K = 60
 SPANS = 5
@@ -23,6 +27,12 @@ PARTS = 16
 #: Vectors of a block of queries and of chunks.
 QUERY_ROWS = 256
 CHUNK_ROWS = 4096
+#: Pivots that tasks and the driver hold at most, over all tenants.
+PIVOTS = 4096
+#: Small tables are broadcast up to so many rows.
+FEW = 100_000
+#: The ball of vectors without a direction (zeros), the largest distance of unit vectors, and what roundings may take.
+NO_DIRECTION, DIAMETER, SLACK = -1, 2.0, 1e-6
 
 
 def ranked(hits: DataFrame, most: int | None = None, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -41,50 +51,189 @@ def children(chunks: DataFrame) -> DataFrame:
     return chunks.filter(F.col("parent_chunk_id").isNotNull())
 
 
-def _dealt(vectors: DataFrame, rows: int, key: str) -> tuple[DataFrame, DataFrame]:
-    """``vectors`` (tenant_id, n, ...) with ``_block``, about ``rows`` of a tenant and width in each; and ``tenant_id, n, _blocks``."""
-    sizes = vectors.groupBy("tenant_id", "n").agg(F.ceil(F.count("*") / rows).alias("_blocks"))
-    dealt = vectors.join(sizes, ["tenant_id", "n"]).withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks"))).drop("_blocks")
-    return dealt, sizes
+@dataclass(frozen=True)
+class Pivots:
+    """Unit vectors around which the vectors of large tenants are dealt, by (tenant, width); PIVOTS at most, so tasks hold them all."""
+
+    of: dict[tuple[object, int], np.ndarray]
+
+    def nearest(self, tenant: object, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ball of each vector (NO_DIRECTION of zeros) and its distance from the ball's pivot; DIAMETER where there are no pivots."""
+        unit, there = unit_rows(rows), rows.any(axis=1)
+        pivots = self.of.get((tenant, rows.shape[1]))
+        if pivots is None:
+            return np.where(there, 0, NO_DIRECTION), np.full(len(rows), DIAMETER)
+        near = unit @ pivots.T
+        ball = near.argmax(axis=1)
+        far = np.sqrt(np.maximum(0, 2 - 2 * near[np.arange(len(rows)), ball]))
+        return np.where(there, ball, NO_DIRECTION), np.where(there, far, 0.0)
+
+    def bounds(self, tenant: object, query: np.ndarray, blocks: list) -> np.ndarray:
+        """For a query, what no cosine in each of the blocks (cn, ball, radius) exceeds.
+
+        Vectors of a ball are within its radius of the pivot, so none is
+        nearer to the query than the pivot's distance less the radius.
+        """
+        out = np.zeros(len(blocks))
+        if not query.any():
+            return out
+        own = np.array([b["cn"] == len(query) and b["ball"] != NO_DIRECTION for b in blocks], dtype=bool)
+        pivots = self.of.get((tenant, len(query)))
+        if pivots is None:
+            return own.astype(float)
+        reach = np.sqrt(np.maximum(0, 2 - 2 * (pivots @ unit_rows(query[None])[0])))
+        ball, radius = np.array([b["ball"] for b in blocks]), np.array([b["radius"] for b in blocks])
+        gap = np.maximum(0, reach[np.maximum(ball, 0)] - radius - SLACK)
+        return np.where(own, 1 - gap**2 / 2, 0.0)
+
+
+def unit_rows(rows: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(norm > 0, norm, 1)
+
+
+def matrix(rows: Iterable) -> np.ndarray:
+    return np.stack([np.asarray(r, float) for r in rows])
+
+
+def pivots_of(vectors: DataFrame, rows: int, key: str) -> Pivots:
+    """Pivots for tenants with more than ``rows`` vectors of a width, in proportion to their number: those with the smallest hashes.
+
+    PIVOTS tenants and as many pivots come to the driver at most; other
+    tenants have none, and their vectors are dealt by hash alone.
+    """
+    sizes = vectors.groupBy("tenant_id", "n").agg(F.count("*").alias("_c")).filter(F.col("_c") > rows).orderBy(F.col("_c").desc(), "tenant_id", "n").limit(PIVOTS)
+    large = [(r["tenant_id"], r["n"], r["_c"]) for r in sizes.collect()]
+    if not large:
+        return Pivots({})
+    total = sum(c for _, _, c in large)
+    wanted = vectors.sparkSession.createDataFrame([(t, n, c, max(1, min(math.ceil(c / rows), PIVOTS * c // total))) for t, n, c in large], StructType([vectors.schema["tenant_id"], StructField("n", IntegerType()), StructField("_c", LongType()), StructField("_wanted", LongType())]))
+    # About four times as many as wanted are looked at, whatever the table's size.
+    drawn = vectors.join(F.broadcast(wanted), ["tenant_id", "n"]).withColumn("_h", F.xxhash64(key)).filter(F.pmod(F.col("_h"), F.col("_c")) < 4 * F.col("_wanted"))
+    order = Window.partitionBy("tenant_id", "n").orderBy("_h")
+    chosen = drawn.filter(F.exists("_v", lambda x: x != 0)).withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= F.col("_wanted"))
+    found: dict[tuple[object, int], list] = {}
+    for r in chosen.select("tenant_id", "n", "_v").collect():
+        found.setdefault((r["tenant_id"], r["n"]), []).append(r["_v"])
+    return Pivots({k: unit_rows(matrix(v)) for k, v in found.items()})
+
+
+def _dealt(vectors: DataFrame, rows: int, key: str, pivots: Pivots) -> DataFrame:
+    """``vectors`` (tenant_id, n, ...) with ``_ball``, ``_far`` (from its pivot) and ``_block``: about ``rows`` of a ball in each."""
+
+    @F.pandas_udf("struct<ball:int,far:double>")
+    def nearest(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for tenant, v in batches:
+            out = pd.DataFrame({"ball": np.zeros(len(v), np.int32), "far": np.zeros(len(v))})
+            if len(v):
+                for (t, _), at in pd.DataFrame({"t": tenant, "n": v.map(len)}).groupby(["t", "n"], dropna=False).indices.items():
+                    out.iloc[at, 0], out.iloc[at, 1] = pivots.nearest(t, matrix(v.iloc[at]))
+            yield out
+
+    placed = vectors.withColumn("_b", nearest("tenant_id", "_v")).withColumns({"_ball": F.col("_b.ball"), "_far": F.col("_b.far")}).drop("_b")
+    sizes = placed.groupBy("tenant_id", "n", "_ball").agg(F.ceil(F.count("*") / rows).alias("_blocks"))
+    # No more than the pivots of large tenants, and one or two rows of each other tenant and width.
+    few = F.broadcast(sizes) if len(pivots.of) or sizes.count() <= FEW else sizes
+    part = F.pmod(F.xxhash64(key), F.col("_blocks"))
+    return placed.join(few, ["tenant_id", "n", "_ball"]).withColumn("_block", F.shiftleft((F.col("_ball") + 1).cast("long"), 40) + part).drop("_blocks")
 
 
 def _packed(vectors: DataFrame, ids: list[str]) -> DataFrame:
-    """``tenant_id, n, _block, ids, v`` for each block, in order of the ids."""
+    """``tenant_id, n, _block, ball, radius, ids, v`` for each block, in order of the ids."""
     rows = F.sort_array(F.collect_list(F.struct(*ids, "_v")))
-    blocks = vectors.groupBy("tenant_id", "n", "_block").agg(rows.alias("_rows"))
-    return blocks.select("tenant_id", "n", "_block", F.transform("_rows", lambda r: F.struct(*[r[i].alias(i) for i in ids])).alias("ids"), F.transform("_rows", lambda r: r["_v"]).alias("v"))
+    blocks = vectors.groupBy("tenant_id", "n", "_block").agg(rows.alias("_rows"), F.first("_ball").alias("ball"), F.max("_far").alias("radius"))
+    return blocks.select("tenant_id", "n", "_block", "ball", "radius", F.transform("_rows", lambda r: F.struct(*[r[i].alias(i) for i in ids])).alias("ids"), F.transform("_rows", lambda r: r["_v"]).alias("v"))
 
 
 def dense_top(queries: DataFrame, chunks: DataFrame, k: int, documents: DataFrame | None = None) -> DataFrame:
-    """The k chunks nearest to each query by cosine, optionally among ``documents`` (document_id) only.
-
-    Queries (query_id, tenant_id, embedding) meet all chunks (chunk_id,
-    tenant_id, document_id, embedding) of their tenant: both are dealt out in
-    blocks of QUERY_ROWS and CHUNK_ROWS vectors, a pair of blocks is one
-    product of matrices, and only the k best of a block per query go on.
-    Vectors have unit length; scores are rounded to twelve places, so that
-    equal vectors tie; vectors of other widths than the query's score 0.
+    """The k chunks nearest to each query by cosine, optionally among ``documents`` (document_id) only; exact.
+
+    Queries (query_id, tenant_id, embedding) meet the chunks (chunk_id,
+    tenant_id, document_id, embedding) of their tenant.  See ``dense_search``.
+    """
+    return dense_search(queries, chunks, k, documents)[0]
+
+
+def dense_search(queries: DataFrame, chunks: DataFrame, k: int, documents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What ``dense_top`` returns, and ``query_id, blocks, read``: the chunk blocks of a query's tenant and those it was compared with.
+
+    Chunks of a tenant with more than CHUNK_ROWS are dealt to balls around
+    pivots, balls to blocks of about CHUNK_ROWS vectors; a block knows its
+    radius.  Queries are dealt alike in blocks of QUERY_ROWS.  A query meets
+    the blocks with the best bounds first, as many as have k vectors; then
+    only blocks whose bound by the triangle inequality reaches its k-th score.
+    A pair of blocks is one product of matrices, and only the k best of a
+    block per query go on.  Vectors have unit length; scores are rounded to
+    twelve places, so that equal vectors tie; vectors of other widths than the
+    query's score 0.  Jobs run here: pivots are chosen, and where there are
+    any, the first hits are frozen.
     """
     within = chunks if documents is None else chunks.join(documents.select("document_id").distinct(), "document_id", "left_semi")
     vector = [F.col("embedding").alias("_v"), F.size("embedding").alias("n")]
     given = lambda df, *ids: df.filter("embedding is not null").select("tenant_id", *ids, *vector)
-    q, _ = _dealt(given(queries, "query_id"), QUERY_ROWS, "query_id")
-    c, sizes = _dealt(given(within, "chunk_id", "document_id"), CHUNK_ROWS, "chunk_id")
-    # Every block of queries goes to every block of chunks of its tenant, which may be many tasks.
-    places = sizes.select("tenant_id", F.col("n").alias("cn"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_at"))
-    asked = _packed(q, ["query_id"]).select("tenant_id", F.col("n").alias("qn"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v")).join(places, "tenant_id")
-    held = _packed(c, ["chunk_id", "document_id"]).select("tenant_id", F.col("n").alias("cn"), F.col("_block").alias("_at"), F.col("ids").alias("c_ids"), F.col("v").alias("c_v"))
-    pairs = held.join(asked, ["tenant_id", "cn", "_at"])
+    held_rows = given(within, "chunk_id", "document_id")
+    pivots = pivots_of(held_rows, CHUNK_ROWS, "chunk_id")
+    held = _packed(_dealt(held_rows, CHUNK_ROWS, "chunk_id", pivots), ["chunk_id", "document_id"])
+    held = held.select("tenant_id", F.col("n").alias("cn"), F.col("_block").alias("_at"), "ball", "radius", F.col("ids").alias("c_ids"), F.col("v").alias("c_v"))
+    if pivots.of:
+        held = frozen(held)
+    about = held.groupBy("tenant_id").agg(F.sort_array(F.collect_list(F.struct("cn", "_at", "ball", "radius", F.size("c_ids").alias("rows")))).alias("blocks"))
+    asked = _packed(_dealt(given(queries, "query_id"), QUERY_ROWS, "query_id", pivots), ["query_id"])
+    asked = asked.select("tenant_id", F.col("n").alias("qn"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v")).join(about, "tenant_id")
+    first = _meet(_planned(asked, pivots, k, None), held, k)
+    total = asked.select(F.explode("q_ids").alias("q"), F.size("blocks").alias("blocks")).select("q.query_id", "blocks")
+    if not pivots.of:
+        return ranked(first.select("query_id", "chunk_id", "document_id", "score"), k), total.withColumn("read", F.col("blocks"))
+    asked, best = frozen(asked), frozen(ranked(first, k))
+    reached = best.filter(F.col("rank") == k).select("query_id", "score")
+    # What a block's queries have reached, in the order of its queries.
+    each = asked.withColumn("_b", F.monotonically_increasing_id()).select("_b", F.posexplode("q_ids").alias("_i", "q")).select("_b", "_i", "q.query_id").join(reached, "query_id", "left")
+    scores = each.groupBy("_b").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", F.coalesce("score", F.lit(-2.0)).alias("s")))), lambda x: x["s"]).alias("reached"))
+    again = _planned(asked.withColumn("_b", F.monotonically_increasing_id()).join(scores, "_b").drop("_b"), pivots, k, "reached")
+    hits = best.drop("rank").unionByName(_meet(again, held, k))
+    read = _planned(asked, pivots, k, None).unionByName(again).select(F.explode("q").alias("_i"), "q_ids").groupBy(F.get("q_ids", F.col("_i"))["query_id"].alias("query_id")).agg(F.count("*").alias("read"))
+    return ranked(hits.select("query_id", "chunk_id", "document_id", "score"), k), total.join(read, "query_id")
+
+
+def _planned(asked: DataFrame, pivots: Pivots, k: int, reached: str | None) -> DataFrame:
+    """``tenant_id, cn, _at, qn, q_ids, q_v, q``: the blocks that query blocks meet, and the places of the queries that do.
+
+    Without ``reached``: for each query the blocks with the best bounds that
+    have k vectors together.  With it (the k-th score of each query): the
+    other blocks whose bound reaches that.
+    """
+
+    @F.pandas_udf("array<struct<b:int,q:array<int>>>")
+    def plan(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for tenant, q_v, blocks, scores in batches:
+            out = []
+            for t, v, places, kth in zip(tenant, q_v, blocks, scores, strict=True):
+                meets: dict[int, list[int]] = {}
+                sizes = np.array([b["rows"] for b in places])
+                for i, query in enumerate(matrix(v)):
+                    bound = pivots.bounds(t, query, places)
+                    order = np.argsort(-bound, kind="stable")
+                    most = int(np.searchsorted(np.cumsum(sizes[order]), k)) + 1 if pivots.of else len(order)
+                    some = order[:most] if not len(kth) else order[most:][bound[order[most:]] + SLACK >= kth[i]]
+                    for b in some:
+                        meets.setdefault(int(b), []).append(i)
+                out.append([{"b": b, "q": q} for b, q in sorted(meets.items())])
+            yield pd.Series(out, dtype=object)
+
+    scores = F.col(reached) if reached else F.array().cast("array<double>")
+    each = asked.withColumn("_p", F.explode(plan("tenant_id", "q_v", "blocks", scores)))
+    return each.select("tenant_id", F.get("blocks", F.col("_p.b")).alias("_to"), "qn", "q_ids", "q_v", F.col("_p.q").alias("q")).select("tenant_id", "_to.cn", "_to._at", "qn", "q_ids", "q_v", "q")
+
+
+def _meet(planned: DataFrame, held: DataFrame, k: int) -> DataFrame:
+    """``query_id, chunk_id, document_id, score``: the k best of each block for each of its queries."""
+    some = lambda c: F.transform("q", lambda i: F.get(c, i)).alias(c)
+    pairs = held.join(planned.select("tenant_id", "cn", "_at", "qn", some("q_ids"), some("q_v")), ["tenant_id", "cn", "_at"])
 
     @F.pandas_udf("array<struct<q:int,c:int,score:double>>")
     def best(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        def unit_rows(rows: np.ndarray) -> np.ndarray:
-            found = np.stack([np.asarray(r, float) for r in rows])
-            norm = np.linalg.norm(found, axis=1, keepdims=True)
-            return found / np.where(norm > 0, norm, 1)
-
         def of(c_v: np.ndarray, q_v: np.ndarray, same: bool) -> list[dict]:
-            scores = np.round(unit_rows(q_v) @ unit_rows(c_v).T, 12) if same else np.zeros((len(q_v), len(c_v)))
+            scores = np.round(unit_rows(matrix(q_v)) @ unit_rows(matrix(c_v)).T, 12) if same else np.zeros((len(q_v), len(c_v)))
             out = []
             # Chunks are in order of their ids, so a stable sort has ties by id.
             for i, row in enumerate(scores):
@@ -98,7 +247,7 @@ def dense_top(queries: DataFrame, chunks: DataFrame, k: int, documents: DataFram
 
     hits = pairs.select("c_ids", "q_ids", F.explode(best("c_v", "q_v", "cn", "qn")).alias("b"))
     found = hits.select(F.get("q_ids", F.col("b.q"))["query_id"].alias("query_id"), F.get("c_ids", F.col("b.c")).alias("c"), F.col("b.score").alias("score"))
-    return ranked(found.select("query_id", "c.chunk_id", "c.document_id", "score"), k)
+    return found.select("query_id", "c.chunk_id", "c.document_id", "score")
 
 
 def terms(text: Column) -> Column:

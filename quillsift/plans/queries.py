@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from quillsift.functions import text as tx
 from quillsift.functions.numbers import luminance
-from quillsift.operators import agents, catalog, chunking, ingest, limits, retrieval, rubric, sanitize, scoring
+from quillsift.operators import agents, catalog, chunking, ingest, lexical, limits, retrieval, rubric, sanitize, scoring
 from quillsift.plans import search
 from quillsift.plans.registry import ORACLES, QUERIES, query
+from quillsift.session import shared_folder
 from quillsift.sources.tables import load
 from quillsift.streaming import events as streams
 
@@ -247,17 +248,36 @@ def _texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return asked, docs
 
 
+_indexes: dict[tuple[str, str, bool], lexical.LexicalIndex] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str, docs: DataFrame, english: bool = False) -> lexical.LexicalIndex:
+    """The stored index of a folder's documents, built once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, english)
+    if key not in _indexes:
+        _indexes[key] = lexical.build(docs, shared_folder(spark, "lexical"), english)
+    return _indexes[key]
+
+
 @query(f"WITH {_TERMS_SQL} SELECT query_id, COUNT(*) AS matches FROM lex GROUP BY query_id")
 def lexical_match(spark, sf_dir):
     asked, docs = _texts(spark, sf_dir)
-    full = retrieval.lexical_matches(asked, retrieval.postings(docs, queries=asked))
+    full = lexical.matches(_index(spark, sf_dir, docs), asked)
     return full.groupBy("query_id").agg(F.count("*").alias("matches"))
 
 
 @query(f"WITH {_TERMS_SQL} SELECT query_id, chunk_id, score, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM lex QUALIFY rank <= 20")
 def lexical_topk(spark, sf_dir):
     asked, docs = _texts(spark, sf_dir)
-    return retrieval.lexical_top(asked, retrieval.postings(docs, queries=asked), 20).select("query_id", "chunk_id", "score", "rank")
+    return lexical.top(_index(spark, sf_dir, docs), asked, 20).select("query_id", "chunk_id", "score", "rank")
+
+
+@query()
+def lexical_english(spark, sf_dir):
+    """The same by stems and without stop words, and how many of each query's zones were read."""
+    asked, docs = _texts(spark, sf_dir)
+    hits, reads = lexical.search(_index(spark, sf_dir, docs, True), asked, 20)
+    return hits.join(reads, "query_id").select("query_id", "chunk_id", "score", "rank", "zones", F.col("read").alias("zones_read"))
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -285,7 +305,7 @@ _HYBRID_SQL = (
 @query(_HYBRID_SQL)
 def hybrid_search(spark, sf_dir):
     asked, chunks = _hybrid(spark, sf_dir)
-    return _shown(search.candidates(asked, chunks, "hybrid"))
+    return _shown(search.candidates(asked, chunks, "hybrid", index=_index(spark, sf_dir, _texts(spark, sf_dir)[1])))
 
 
 _FUNNEL_SQL = _HYBRID_SQL.split("fused AS")[0].rstrip().removesuffix(",").replace("rank <= 20", "rank <= 200")
@@ -294,7 +314,7 @@ _FUNNEL_SQL = _HYBRID_SQL.split("fused AS")[0].rstrip().removesuffix(",").replac
 @query(f"{_FUNNEL_SQL}, n AS (SELECT query_id, least(200, COUNT(DISTINCT chunk_id)) AS n FROM parts GROUP BY query_id) SELECT query_id, CAST(200 AS INTEGER) AS initial, n AS after_recall, least(n, 120) AS after_rerank, least(n, 60) AS final FROM n")
 def retrieval_funnel(spark, sf_dir):
     asked, chunks = _hybrid(spark, sf_dir)
-    return search.funnel(asked, chunks)[1]
+    return search.funnel(asked, chunks, index=_index(spark, sf_dir, _texts(spark, sf_dir)[1]))[1]
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.functions.numbers import mock_embedding
-from quillsift.operators import chunking, retrieval
+from quillsift.operators import chunking, lexical, retrieval
 from quillsift.operators.ingest import dedup
 from quillsift.operators.sanitize import sanitize
 
@@ -34,13 +34,21 @@ def without_source(hits: DataFrame, source: Column | str = "query_id") -> DataFr
     return hits.filter(F.col("document_id") != (F.col(source) if isinstance(source, str) else source))
 
 
-def candidates(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid", config: SearchConfig = SearchConfig(), sections: list[str] | None = None, index: DataFrame | None = None) -> DataFrame:
+def lexical_list(queries: DataFrame, chunks: DataFrame, k: int, index: DataFrame | lexical.LexicalIndex | None = None) -> DataFrame:
+    """The k best chunks of each query by their terms, from a stored index if there is one."""
+    if isinstance(index, lexical.LexicalIndex):
+        return lexical.top(index, queries, k)
+    return retrieval.lexical_top(queries, retrieval.postings(chunks, queries=queries) if index is None else index, k)
+
+
+def candidates(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid", config: SearchConfig = SearchConfig(), sections: list[str] | None = None, index: DataFrame | lexical.LexicalIndex | None = None) -> DataFrame:
     """Documents for each query (query_id, tenant_id, query, embedding): ``query_id, document_id, score, spans, rank``.
 
     ``mode`` is hybrid, semantic or lexical.  The score is that of the
     reranker that keeps the order, so fusion decides order and the sum of
     1 / position over a document's chunks decides its score.  ``sections``
-    restricts the chunks, ``index`` is a stored inverted index of them.
+    restricts the chunks, ``index`` is a stored index of them (or their
+    postings); without one, the chunks' texts are read for the queries' terms.
     """
     if mode not in ("hybrid", "semantic", "lexical"):
         raise ValueError(mode)
@@ -49,8 +57,7 @@ def candidates(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid", conf
     if mode != "lexical":
         lists.append((retrieval.dense_top(queries, retrieval.searchable(within), config.recall), config.dense_weight if mode == "hybrid" else 1.0))
     if mode != "semantic":
-        terms = retrieval.postings(within, queries=queries) if index is None else index
-        lists.append((retrieval.lexical_top(queries, terms, config.recall), config.lexical_weight if mode == "hybrid" else 1.0))
+        lists.append((lexical_list(queries, within, config.recall, index), config.lexical_weight if mode == "hybrid" else 1.0))
     kept = retrieval.keep_order(retrieval.fuse(lists), config.rerank)
     return retrieval.group_by_document(kept, most=config.top_k)
 
@@ -90,11 +97,10 @@ def ingest(arrivals: DataFrame, stored: DataFrame | None = None) -> dict[str, Da
     return {"documents": documents, "versions": versions, "chunks": index_versions(versions), "duplicates": dedup(hashed, stored).filter("not is_new")}
 
 
-def funnel(queries: DataFrame, chunks: DataFrame, recall: int = 200, rerank: int = 120, output: int = 60) -> tuple[DataFrame, DataFrame]:
+def funnel(queries: DataFrame, chunks: DataFrame, recall: int = 200, rerank: int = 120, output: int = 60, index: DataFrame | lexical.LexicalIndex | None = None) -> tuple[DataFrame, DataFrame]:
     """The judged candidates of each query, and what each cutoff left: dense recall, lexical recall, fusion, rerank, output."""
     dense = retrieval.dense_top(queries, retrieval.searchable(chunks), recall)
-    lexical = retrieval.lexical_top(queries, retrieval.postings(chunks, queries=queries), recall)
-    fused = retrieval.fuse([(dense, 0.6), (lexical, 0.4)]).filter(F.col("rank") <= recall)
+    fused = retrieval.fuse([(dense, 0.6), (lexical_list(queries, chunks, recall, index), 0.4)]).filter(F.col("rank") <= recall)
     kept = retrieval.keep_order(fused, rerank)
     counts = fused.groupBy("query_id").agg(
         F.lit(recall).alias("initial"), F.count("*").alias("after_recall"), F.count_if(F.col("rank") <= rerank).alias("after_rerank"), F.count_if(F.col("rank") <= output).alias("final")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -18,3 +21,34 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share (``spark.checkpoint.dir``), deleted when the session ends.
+
+    A local session without the setting gets a folder of its own; on a cluster
+    its absence is an error.
+    """
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="quillsift-")
+        _delete_at_exit(spark, root)
+        spark.conf.set("spark.checkpoint.dir", root)
+    folder = f"{root}/{name}-{uuid.uuid4().hex}"
+    _delete_at_exit(spark, folder)
+    return folder
+
+
+def _delete_at_exit(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+def frozen(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
+    return df.checkpoint(eager=True)

@@ -152,3 +152,33 @@ def test_rerank_port_keeps_order_on_errors(spark):
     assert run(lambda _, texts: [len(t) for t in texts]) == [("b", 3.0, False), ("c", 2.0, False)]
     kept = [("a", 1.0, True), ("b", 0.5, True)]
     assert run(lambda _, texts: [1.0]) == kept and run(lambda _, texts: 1 / 0) == kept
+
+
+def test_balls_skip_blocks_and_lose_nothing(spark, monkeypatch):
+    """Clusters: most blocks are skipped, and the hits are those of all pairs; so are those of vectors without clusters, ties and zeros."""
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 16)
+    monkeypatch.setattr(retrieval, "CHUNK_ROWS", 40)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(25, 12)) * 4
+    vectors = [(centres[k % 25] + rng.normal(size=12) * 0.1).round(3).tolist() for k in range(2000)]
+    vectors += [vectors[3]] * 70 + [[0.0] * 12] * 5 + [[1.0, 2.0]]
+    chunks = spark.createDataFrame([(k, "t" if k % 11 else "u", k % 9, v) for k, v in enumerate(vectors)], "chunk_id int, tenant_id string, document_id int, embedding array<double>")
+    asked = {k: ("t" if k % 3 else "u", vectors[k]) for k in [*range(0, 2000, 50), 3, 2072]}
+    q = spark.createDataFrame([(k, t, v) for k, (t, v) in asked.items()], "query_id int, tenant_id string, embedding array<double>")
+    hits, reads = retrieval.dense_search(q, chunks, 7)
+    got = {}
+    for r in hits.collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.chunk_id, round(r.score, 9))
+
+    def cosine(a, b):
+        if len(a) != len(b) or not any(a) or not any(b):
+            return 0.0
+        return round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 12) + 0.0
+
+    for k, (tenant, v) in asked.items():
+        best = sorted(((-cosine(v, w), c) for c, w in enumerate(vectors) if (tenant == "t") == bool(c % 11)))[:7]
+        assert got[k] == {n + 1: (c, round(-s, 9) + 0.0) for n, (s, c) in enumerate(best)}
+    counts = {r.query_id: r for r in reads.collect()}
+    assert set(counts) == set(asked) and all(0 < r.read <= r.blocks for r in counts.values())
+    ordinary = [r for k, r in counts.items() if k < 2000 and asked[k][0] == "t"]
+    assert sum(r.read for r in ordinary) < 0.4 * sum(r.blocks for r in ordinary)
