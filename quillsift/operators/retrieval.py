@@ -127,7 +127,8 @@ def _dealt(vectors: DataFrame, rows: int, key: str, pivots: Pivots) -> DataFrame
             out = pd.DataFrame({"ball": np.zeros(len(v), np.int32), "far": np.zeros(len(v))})
             if len(v):
                 for (t, _), at in pd.DataFrame({"t": tenant, "n": v.map(len)}).groupby(["t", "n"], dropna=False).indices.items():
-                    out.iloc[at, 0], out.iloc[at, 1] = pivots.nearest(t, matrix(v.iloc[at]))
+                    ball, far = pivots.nearest(t, matrix(v.iloc[at]))
+                    out.iloc[at, 0], out.iloc[at, 1] = ball.astype(np.int32), far
             yield out
 
     placed = vectors.withColumn("_b", nearest("tenant_id", "_v")).withColumns({"_ball": F.col("_b.ball"), "_far": F.col("_b.far")}).drop("_b")
