@@ -7,6 +7,7 @@ shuffle.
 
 from __future__ import annotations
 
+import itertools
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -41,17 +42,15 @@ def sections(text: str) -> list[tuple[str, str, int]]:
     next line belongs to the body whatever it says).  Starts point at the
     heading, texts don't hold it; blank sections are left out.
     """
-    found: list[tuple[str, str, int]] = []
-    label, start, body, at = "summary", 0, [], 0
-    for line in text.split("\n"):
-        new = heading(line) if body else None
-        if new is None:
-            body.append(line)
-        else:
-            found.append((label, "\n".join(body).strip(), start))
-            label, start, body = new, at, []
-        at += len(line) + 1
-    found.append((label, "\n".join(body).strip(), start))
+    lines = text.split("\n")
+    starts = [0, *itertools.accumulate(len(line) + 1 for line in lines)]
+    cuts: list[tuple[int, str]] = []
+    for k, line in enumerate(lines[1:], 1):
+        if (not cuts or cuts[-1][0] < k - 1) and (label := heading(line)):
+            cuts.append((k, label))
+    names, ends = ["summary", *(label for _, label in cuts)], [*(starts[k] - 1 for k, _ in cuts), len(text)]
+    bodies, begins = [0, *(starts[k + 1] for k, _ in cuts)], [0, *(starts[k] for k, _ in cuts)]
+    found = [(name, text[body:end].strip(), begin) for name, body, end, begin in zip(names, bodies, ends, begins, strict=True)]
     return [x for x in found if x[1]] or [("other", text.strip(), 0)]
 
 

@@ -17,11 +17,12 @@ def blank_runs(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", tx.sha256(tx.collapse_blank_lines(spaced)).alias("sha"))
 
 
-@query("SELECT doc_id, sha256(replace(replace(text, string_split(text, ' ')[1], ''), string_split(text, ' ')[3], '')) AS sha FROM documents WHERE len(string_split(text, ' ')) > 3")
+@query("SELECT doc_id, sha256(replace(replace(text, COALESCE(string_split(text, ' ')[1], ''), ''), COALESCE(string_split(text, ' ')[3], ''), '')) AS sha FROM documents")
 def hidden_text_removed(spark, sf_dir):
+    """Texts without their first and third part; shorter ones have no third."""
     w = F.split("text", " ", -1)
-    docs = load(spark, sf_dir, "documents").filter(F.size(w) > 3)
-    return docs.select("doc_id", tx.sha256(tx.without_all(F.col("text"), F.array(w[0], w[2]))).alias("sha"))
+    parts = F.array_compact(F.array(F.get(w, F.lit(0)), F.get(w, F.lit(2))))
+    return load(spark, sf_dir, "documents").select("doc_id", tx.sha256(tx.without_all(F.col("text"), parts)).alias("sha"))
 
 
 @query(
@@ -162,12 +163,12 @@ def section_rows(spark, sf_dir):
     return chunking.section_documents(docs, "doc_id", "text").select("doc_id", "label", "start", F.length("body").alias("chars"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN NULL ELSE '{\"n\":{\"t\":\"' || CAST(conv_id AS VARCHAR) || ' }{ \\\" \"}}' END AS strict, '{\"n\":{\"t\":\"' || CAST(conv_id AS VARCHAR) || ' }{ \\\" \"}}' || CASE WHEN turn % 3 = 0 THEN ' and }' ELSE '' END AS loose FROM conversations WHERE turn % 3 < 2")
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN NULL ELSE '{\"n\":{\"t\":\"' || CAST(conv_id AS VARCHAR) || ' }{ \\\" \"}}' END AS strict, CASE WHEN turn % 3 = 2 THEN '{}' ELSE '{\"n\":{\"t\":\"' || CAST(conv_id AS VARCHAR) || ' }{ \\\" \"}}' || CASE WHEN turn % 3 = 0 THEN ' and }' ELSE '' END END AS loose FROM conversations")
 def json_objects(spark, sf_dir):
-    """An object with braces and quotes in a string, in the middle of an answer."""
+    """An object with braces and quotes in a string, in the middle of an answer; every third answer has none."""
     body = F.concat(F.lit('{"n":{"t":"'), F.col("conv_id").cast("string"), F.lit(' }{ \\" "}}'))
-    answer = F.concat(F.lit("Sure: "), body, F.when(F.col("turn") % 3 == 0, " and }").otherwise(" done"))
-    return load(spark, sf_dir, "conversations").filter("turn % 3 < 2").select("conv_id", "turn", agents.json_object(answer).alias("strict"), agents.loose_object(answer).alias("loose"))
+    answer = F.concat(F.lit("Sure: "), F.when(F.col("turn") % 3 < 2, body).otherwise("none"), F.when(F.col("turn") % 3 == 0, " and }").otherwise(" done"))
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", agents.json_object(answer).alias("strict"), agents.loose_object(answer).alias("loose"))
 
 
 @query(

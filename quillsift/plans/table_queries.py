@@ -189,11 +189,12 @@ def job_create(spark, sf_dir):
 
 @query("SELECT doc_id AS id, sha256(text) AS sha, 'upload' AS source FROM documents WHERE doc_id % 3 > 0 AND text <> ''")
 def job_upload(spark, sf_dir):
-    """Every third upload is of a type without a reader and gives no job."""
+    """Every third upload is of a type without a reader, and empty ones are refused; these give no job."""
     from quillsift.sources import documents
 
-    files = load(spark, sf_dir, "documents").filter("text <> ''").select(F.col("doc_id").alias("id"), F.lit("t").alias("tenant_id"), F.lit("u").alias("created_by"), F.lit("Title").alias("title"), F.col("text").cast("binary").alias("content"), F.when(F.col("doc_id") % 3 == 0, documents.PDF).otherwise(documents.TEXT).alias("media_type"))
-    jobs, _ = tables.create_jobs_from_uploads(documents.parse(files))
+    files = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("t").alias("tenant_id"), F.lit("u").alias("created_by"), F.lit("Title").alias("title"), F.col("text").cast("binary").alias("content"), F.when(F.col("doc_id") % 3 == 0, documents.PDF).otherwise(documents.TEXT).alias("media_type"))
+    refused = documents.upload_violation(F.col("content"), F.col("media_type"), (documents.PDF, documents.DOCX, documents.TEXT))
+    jobs, _ = tables.create_jobs_from_uploads(documents.parse(files.filter(refused.isNull())))
     return jobs.select("id", tx.sha256(F.col("description_raw")).alias("sha"), "source")
 
 
@@ -423,9 +424,9 @@ def job_prompts(spark, sf_dir):
 
 
 @query(
-    r"""SELECT doc_id, CASE WHEN t = '' THEN 'blank' END AS violation, CASE WHEN t <> '' THEN sha256('<candidate_document>' || chr(10) || substring(replace(t, '</candidate_document>', '&lt;/candidate_document&gt;'), 1, 900) || chr(10) || '</candidate_document>' || chr(10) || chr(10) || 'Return this person''s profile as a JSON object.') END AS sha
+    r"""SELECT doc_id, CASE WHEN t = '' THEN 'blank' END AS violation, CASE WHEN t <> '' THEN sha256('<candidate_document>' || chr(10) || substring(replace(t, '</candidate_document>', '&lt;/candidate_document&gt;'), 1, 50000) || chr(10) || '</candidate_document>' || chr(10) || chr(10) || 'Return this person''s profile as a JSON object.') END AS sha
     FROM (SELECT doc_id, regexp_replace(COALESCE(text, ''), '^[\s]+|[\s]+$', '', 'g') AS t FROM documents)"""
 )
 def extraction_prompts(spark, sf_dir):
-    made = load(spark, sf_dir, "documents").withColumn("p", agents.extraction_prompt(F.coalesce("text", F.lit("")), 900))
+    made = load(spark, sf_dir, "documents").withColumn("p", agents.extraction_prompt(F.coalesce("text", F.lit(""))))
     return made.select("doc_id", "p.violation", tx.sha256(F.col("p.prompt")).alias("sha"))

@@ -75,14 +75,16 @@ def brute_split(text, most, start):
 
 
 def brute_sections(text):
-    """(label, body, start): a line with a section's name is a heading unless the line before is one, or there is none."""
-    lines, marks = text.split("\n"), []
+    """(label, body, start): lines by the number of headings so far; a heading counts unless the line before counts, or there is none."""
+    lines, counts, groups, at = text.split("\n"), [], defaultdict(list), 0
     for k, line in enumerate(lines):
-        if k and (not marks or marks[-1][0] != k - 1) and (label := chunking.heading(line)):
-            marks.append((k, label))
-    edges = [(-1, "summary"), *marks, (len(lines), None)]
-    starts = np.cumsum([0] + [len(line) + 1 for line in lines])
-    found = [(label, "\n".join(lines[at + 1 : end]).strip(), int(starts[max(at, 0)])) for (at, label), (end, _) in zip(edges, edges[1:], strict=False)]
+        counts.append(bool(k and not counts[-1] and chunking.heading(line)))
+        groups[sum(counts)].append((at, line))
+        at += len(line) + 1
+    found = []
+    for k, rows in groups.items():
+        label, body = (chunking.heading(rows[0][1]), rows[1:]) if k else ("summary", rows)
+        found.append((label, "\n".join(line for _, line in body).strip(), rows[0][0]))
     return [x for x in found if x[1]] or [("other", text.strip(), 0)]
 
 
