@@ -7,6 +7,10 @@ its chunks has.  A query's zones are those in which all its terms have a block,
 known without reading any postings; no score in a zone is above its bound.
 Zones with the highest bounds are read first, then only those whose bound
 reaches what the k-th hit has.
+
+Blocks are of terms as they are written.  With a table of the stems of its
+terms, an index answers English queries too: a query's stems stand for all
+terms that have them, and stop words are left out.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -45,12 +49,12 @@ LABELS = list(WEIGHTS)
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """``blocks``: ``bucket, tenant_id, term, zone, n, most, postings`` (chunk_id, document_id, places: position * 4 + label)."""
+    """``blocks``: ``bucket, tenant_id, term, zone, n, most, postings`` (chunk_id, document_id, places: position * 4 + label); ``stems``: ``stem, term``, if there are any."""
 
     blocks: DataFrame
-    english: bool
     buckets: int
     best: float
+    stems: DataFrame | None = None
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -62,12 +66,11 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("tenant_id", "term"), F.lit(buckets)).cast("int").alias("bucket")
 
 
-def inverter(fields: dict[str, int], stop: list[str]) -> Callable[[pa.Table, pa.Table | None], pa.Table]:
-    """The blocks of a zone, from the lists of terms of its chunks (``fields``: column and label) and the stems of terms that have another."""
-    ignored = frozenset(stop)
+def inverter(fields: dict[str, int]) -> Callable[[pa.Table], pa.Table]:
+    """The blocks of a zone, from the lists of terms of its chunks (``fields``: column and label)."""
 
-    def invert(zone: pa.Table, stems: pa.Table | None) -> pa.Table:
-        zone = zone.take(pc.sort_indices(zone["chunk_id"])) if zone.num_rows else zone
+    def invert(zone: pa.Table) -> pa.Table:
+        zone = zone.take(pc.sort_indices(zone["chunk_id"]))
         rows, starts, found, parts = np.arange(zone.num_rows), np.zeros(zone.num_rows, np.int64), [], []
         for column, label in fields.items():
             lists = zone[column].combine_chunks()
@@ -79,30 +82,23 @@ def inverter(fields: dict[str, int], stop: list[str]) -> Callable[[pa.Table, pa.
             starts = starts + sizes
         row, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         coded = pa.chunked_array(found, pa.string()).combine_chunks().dictionary_encode()
-        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        other = {} if stems is None else dict(zip(stems["term"].to_pylist(), stems["stem"].to_pylist(), strict=True))
-        numbers: dict[str, int] = {}
-        number = np.array([-1 if w in ignored else numbers.setdefault(other.get(w, w), len(numbers)) for w in words], dtype=np.int64)
-        code = number[code] if len(words) else code.astype(np.int64)
+        code = coded.indices.to_numpy(zero_copy_only=False)
         order = np.lexsort((place, row, code))
-        order = order[code[order] >= 0]
         code, row, place = code[order], row[order], place[order]
         # Where a chunk's places of a term begin, and where a term's postings do.
-        first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])]) if len(code) else np.zeros(0, np.int64)
-        begin = np.flatnonzero(np.r_[True, code[first][1:] != code[first][:-1]]) if len(first) else np.zeros(0, np.int64)
-        sizes = np.diff(np.r_[first, len(code)])
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(code)], pa.int32()), pa.array(place, pa.int64()))
+        first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])][: len(code)])
+        begin = np.flatnonzero(np.r_[True, code[first][1:] != code[first][:-1]][: len(first)])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(code)], pa.int32()), pa.array(place, pa.int32()))
         at = pa.array(row[first])
         postings = pa.StructArray.from_arrays([zone["chunk_id"].combine_chunks().take(at), zone["document_id"].combine_chunks().take(at), lists], ["chunk_id", "document_id", "places"])
-        names = np.array(list(numbers), dtype=object)[code[first][begin]] if len(begin) else []
         same = pa.array(np.zeros(len(begin), np.int64))
         return pa.table(
             {
                 "tenant_id": zone["tenant_id"].combine_chunks().take(same),
                 "zone": zone["zone"].combine_chunks().take(same),
-                "term": pa.array(names, pa.string()),
+                "term": coded.dictionary.take(pa.array(code[first][begin])),
                 "n": pa.array(np.diff(np.r_[begin, len(first)]), pa.int64()),
-                "most": pa.array(np.maximum.reduceat(sizes, begin) if len(begin) else [], pa.int32()),
+                "most": pa.array(np.maximum.reduceat(np.diff(np.r_[first, len(code)]), begin) if len(begin) else [], pa.int32()),
                 "postings": pa.ListArray.from_arrays(pa.array(np.r_[begin, len(first)], pa.int32()), postings),
             }
         )
@@ -110,15 +106,14 @@ def inverter(fields: dict[str, int], stop: list[str]) -> Callable[[pa.Table, pa.
     return invert
 
 
-def build(chunks: DataFrame, path: str, english: bool = True, fields: dict[str, str] | None = None, buckets: int | None = None) -> LexicalIndex:
+def build(chunks: DataFrame, path: str, fields: dict[str, str] | None = None, buckets: int | None = None) -> LexicalIndex:
     """Write the index of ``chunks`` (chunk_id, tenant_id, document_id and text columns) to a folder, and open it.
 
     ``fields`` are text columns and their labels (A to D), ``content`` with
-    label D if none are given; positions go on from one field to the next.
-    ``english`` drops stop words, which keep their positions, and takes stems.
-    A zone's chunks meet in one task, which makes its blocks; what it holds is
-    bounded by the zone (and one text).  Blocks of a frequent term are in as many files as
-    its zones need.  Null texts have no terms.  Jobs run here.
+    label D if none are given; positions go on from one field to the next.  A
+    zone's chunks meet in one task, which makes its blocks; what it holds is
+    bounded by the zone (and one text).  Blocks of a frequent term are in as
+    many files as its zones need.  Null texts have no terms.  Jobs run here.
     """
     fields = fields or {"content": "D"}
     base = chunks.select("chunk_id", "tenant_id", "document_id", *fields)
@@ -127,28 +122,20 @@ def build(chunks: DataFrame, path: str, english: bool = True, fields: dict[str,
     sizes = frozen(classed.groupBy("tenant_id", "_class").agg(F.ceil(F.greatest(F.count("*") / ZONE, F.sum(size.cast("long")) / ZONE_CHARS)).alias("_zones")))
     total = sizes.agg(F.sum("_zones")).first()[0] or 1
     buckets = buckets or max(8, min(1024, 1 << math.ceil(math.log2(max(1, total / BUCKET_ZONES)))))
-    at = F.pmod(F.xxhash64("chunk_id"), F.col("_zones"))
-    # Texts and terms are few bytes to move but much work, so their tasks aren't joined to fewer.
+    # Texts and blocks are few bytes to move but much work, so their tasks aren't joined to fewer.
     tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.pmod(F.xxhash64("chunk_id"), F.col("_zones"))
     zoned = classed.join(_few(sizes), ["tenant_id", "_class"]).withColumn("zone", F.shiftleft("_class", 40) + at).drop("_class", "_zones").repartition(tasks, "tenant_id", "zone")
     fields_of = {f"_t{k}": LABELS.index(label) for k, label in enumerate(fields.values())}
     tokens = zoned.select("tenant_id", "zone", "chunk_id", "document_id", *[F.coalesce(retrieval.terms(F.col(c)), F.array().cast("array<string>")).alias(t) for c, t in zip(fields, fields_of, strict=True)])
-    ids = ", ".join(f"{c}: {chunks.schema[c].dataType.simpleString()}" for c in ("chunk_id", "document_id"))
-    schema = f"tenant_id {chunks.schema['tenant_id'].dataType.simpleString()}, zone bigint, term string, n bigint, most int, postings array<struct<{ids.replace(': ', ':')},places:array<bigint>>>"
-    invert = inverter(fields_of, STOP_WORDS if english else [])
-    if english:
-        seen = tokens.select("tenant_id", "zone", F.explode(F.array_distinct(F.flatten(F.array(*fields_of)))).alias("term")).distinct()
-        # Frozen first: the condition would be evaluated before the terms are distinct.
-        changed = frozen(seen.select("term").distinct().repartition(tasks, "term").withColumn("stem", stem(F.col("term")))).filter("stem != term")
-        stems = seen.join(_few(changed), "term").select(F.col("tenant_id").alias("_tenant"), F.col("zone").alias("_zone"), "term", "stem").groupBy("_tenant", "_zone")
-        blocks = tokens.groupBy("tenant_id", "zone").cogroup(stems).applyInArrow(invert, schema)
-    else:
-        blocks = tokens.groupBy("tenant_id", "zone").applyInArrow(lambda zone: invert(zone, None), schema)
+    ids = ",".join(f"{c}:{chunks.schema[c].dataType.simpleString()}" for c in ("chunk_id", "document_id"))
+    schema = f"tenant_id {chunks.schema['tenant_id'].dataType.simpleString()}, zone bigint, term string, n bigint, most int, postings array<struct<{ids},places:array<int>>>"
+    blocks = tokens.groupBy("tenant_id", "zone").applyInArrow(inverter(fields_of), schema)
     spread = F.pmod(F.xxhash64("zone"), F.lit(max(1, total // 256)))
     out = blocks.withColumn("bucket", _bucket(buckets)).repartition(tasks, "bucket", spread).sortWithinPartitions("bucket", "tenant_id", "term", "zone")
-    out.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    out.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/blocks")
     best = max(WEIGHTS[label] for label in fields.values())
-    about = {"english": F.lit(english), "buckets": F.lit(buckets), "best": F.lit(best), "schema": F.lit(out.schema.json())}
+    about = {"buckets": F.lit(buckets), "best": F.lit(best), "schema": F.lit(out.schema.json())}
     chunks.sparkSession.range(1).select(*[v.alias(k) for k, v in about.items()]).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
     return open_index(chunks.sparkSession, path)
 
@@ -156,16 +143,30 @@ def build(chunks: DataFrame, path: str, english: bool = True, fields: dict[str,
 def open_index(spark: SparkSession, path: str) -> LexicalIndex:
     about = spark.read.parquet(f"{path}/about").first()
     schema = StructType.fromJson(json.loads(about.schema))
-    return LexicalIndex(spark.read.schema(schema).parquet(f"{path}/blocks"), about.english, about.buckets, about.best)
+    return LexicalIndex(spark.read.schema(schema).parquet(f"{path}/blocks"), about.buckets, about.best)
+
+
+def with_stems(index: LexicalIndex, path: str) -> LexicalIndex:
+    """The index with the stems of its terms, which are written to a folder; they come from its blocks, no text is read."""
+    spark = index.blocks.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    terms = index.blocks.select("term").distinct().repartition(tasks, "term")
+    terms.select(stem(F.col("term")).alias("stem"), "term").write.mode("overwrite").parquet(path)
+    return replace(index, stems=spark.read.schema("stem string, term string").parquet(path))
 
 
 def query_terms(index: LexicalIndex, queries: DataFrame, text: str = "query") -> DataFrame:
-    """``query_id, tenant_id, term, n_terms, bucket``: the distinct terms of each query as the index has them."""
-    each = queries.select("query_id", "tenant_id", F.explode(F.array_distinct(retrieval.terms(F.col(text)))).alias("term"))
-    if index.english:
-        each = each.filter(~F.col("term").isin(STOP_WORDS)).select("query_id", "tenant_id", stem(F.col("term")).alias("term")).distinct()
+    """``query_id, tenant_id, stem, term, n_terms, bucket``: the distinct terms of each query, or with stems all terms of its distinct stems.
+
+    ``n_terms`` counts the query's own; those that the index hasn't stay in the count.
+    """
+    each = queries.select("query_id", "tenant_id", F.explode(F.array_distinct(retrieval.terms(F.col(text)))).alias("stem"))
+    if index.stems is not None:
+        each = each.filter(~F.col("stem").isin(STOP_WORDS)).select("query_id", "tenant_id", stem(F.col("stem")).alias("stem")).distinct()
+    each = frozen(each)
     counts = each.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    return each.join(counts, "query_id").withColumn("bucket", _bucket(index.buckets))
+    forms = each.withColumn("term", F.col("stem")) if index.stems is None else index.stems.join(_few(each), "stem")
+    return forms.join(_few(counts), "query_id").select("query_id", "tenant_id", "stem", "term", "n_terms").withColumn("bucket", _bucket(index.buckets))
 
 
 def zones(index: LexicalIndex, asked: DataFrame) -> DataFrame:
@@ -177,15 +178,18 @@ def zones(index: LexicalIndex, asked: DataFrame) -> DataFrame:
     how many there are.
     """
     skips = index.blocks.select("bucket", "tenant_id", "term", "zone", "most").join(_few(asked), ["bucket", "tenant_id", "term"])
-    found = skips.groupBy("query_id", "tenant_id", "zone", "n_terms").agg(F.count("*").alias("_n"), F.min("most").alias("_least")).filter("_n = n_terms")
+    each = skips.groupBy("query_id", "tenant_id", "zone", "n_terms", "stem").agg(F.sum("most").alias("most"))
+    found = each.groupBy("query_id", "tenant_id", "zone", "n_terms").agg(F.count("*").alias("_n"), F.min("most").alias("_least")).filter("_n = n_terms")
     return found.select("query_id", "tenant_id", "zone", "n_terms", (F.lit(index.best) * F.col("n_terms") * F.col("_least")).alias("bound"))
 
 
 def read_zones(index: LexicalIndex, asked: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``query_id, chunk_id, document_id, places`` (of each term) of the chunks with all terms in the wanted zones."""
+    """``query_id, chunk_id, document_id, places`` (of each term of the query) of the chunks with all terms in the wanted zones."""
     blocks = wanted.select("query_id", "zone").join(asked, "query_id")
     postings = index.blocks.select("bucket", "tenant_id", "term", "zone", "postings").join(_few(blocks), ["bucket", "tenant_id", "term", "zone"])
-    each = postings.select("query_id", "n_terms", "zone", F.explode("postings").alias("p")).select("query_id", "n_terms", "zone", "p.*")
+    each = postings.select("query_id", "n_terms", "zone", "stem", F.explode("postings").alias("p")).select("query_id", "n_terms", "zone", "stem", "p.*")
+    if index.stems is not None:
+        each = each.groupBy("query_id", "zone", "chunk_id", "document_id", "n_terms", "stem").agg(F.flatten(F.collect_list("places")).alias("places"))
     full = each.groupBy("query_id", "zone", "chunk_id", "document_id", "n_terms").agg(F.collect_list("places").alias("places")).filter(F.size("places") == F.col("n_terms"))
     return full.select("query_id", "chunk_id", "document_id", "places")
 

@@ -252,10 +252,10 @@ _indexes: dict[tuple[str, str, bool], lexical.LexicalIndex] = {}
 
 
 def _index(spark: SparkSession, sf_dir: str, docs: DataFrame, english: bool = False) -> lexical.LexicalIndex:
-    """The stored index of a folder's documents, built once in a session."""
+    """The stored index of a folder's documents, built once in a session; for English with its stems."""
     key = (spark.sparkContext.applicationId, sf_dir, english)
     if key not in _indexes:
-        _indexes[key] = lexical.build(docs, shared_folder(spark, "lexical"), english)
+        _indexes[key] = lexical.with_stems(_index(spark, sf_dir, docs), shared_folder(spark, "stems")) if english else lexical.build(docs, shared_folder(spark, "lexical"))
     return _indexes[key]
 
 

@@ -176,10 +176,11 @@ def test_index_equals_brute_force(spark, tmp_path, monkeypatch, english, zone, f
     df = spark.createDataFrame([(k, t, k % 9, f[0][0]) for k, (t, f) in chunks.items()], "chunk_id int, tenant_id string, document_id int, content string")
     queries = {f"q{n}": ("t" if n % 3 else "u", text) for n, text in enumerate(["engine", "running data", "the of", "Leads the team", "", "payment databases engine", "data", "absent word"])}
     asked = spark.createDataFrame([(q, t, x) for q, (t, x) in queries.items()], "query_id string, tenant_id string, query string")
-    index = lexical.build(df.repartition(3), str(tmp_path / "index"), english, buckets=5)
+    index = lexical.build(df.repartition(3), str(tmp_path / "index"), buckets=5)
+    index = lexical.with_stems(index, str(tmp_path / "stems")) if english else lexical.open_index(spark, str(tmp_path / "index"))
     hits, reads = lexical.search(index, asked, 6)
     assert {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in hits.collect()} == brute_search(queries, chunks, 6, english)
-    every = {(r.query_id, r.chunk_id) for r in lexical.matches(lexical.open_index(spark, str(tmp_path / "index")), asked).collect()}
+    every = {(r.query_id, r.chunk_id) for r in lexical.matches(index, asked).collect()}
     assert every == {(q, c) for (q, _), (c, _) in brute_search(queries, chunks, 999, english).items()}
     counts = {r.query_id: r for r in reads.collect()}
     assert all(0 < r.read <= r.zones for r in counts.values())
@@ -190,7 +191,7 @@ def test_zones_that_cannot_reach_the_top_are_not_read(spark, tmp_path, monkeypat
     bodies = ["data team " * (9 + k % 3) for k in range(40)] + ["some data of a team"] * 400
     df = spark.createDataFrame([(k, "t", k, b) for k, b in enumerate(bodies)], "chunk_id int, tenant_id string, document_id int, content string")
     asked = spark.createDataFrame([("one", "t", "data"), ("two", "t", "teams data")], "query_id string, tenant_id string, query string")
-    hits, reads = lexical.search(lexical.build(df, str(tmp_path / "index")), asked, 5)
+    hits, reads = lexical.search(lexical.with_stems(lexical.build(df, str(tmp_path / "index")), str(tmp_path / "stems")), asked, 5)
     assert {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in hits.collect()} == brute_search({"one": ("t", "data"), "two": ("t", "teams data")}, {k: ("t", [(b, 0.1)]) for k, b in enumerate(bodies)}, 5, True)
     for r in reads.collect():
         assert r.zones >= 50 and r.read <= 10
@@ -200,7 +201,7 @@ def test_labels_weigh(spark, tmp_path):
     rng = random.Random(3)
     rows = [(k, "t", k, a, b) for k, (a, b) in enumerate(zip(texts(rng, 40), texts(rng, 40), strict=True))]
     df = spark.createDataFrame(rows, "chunk_id int, tenant_id string, document_id int, title string, content string")
-    index = lexical.build(df, str(tmp_path / "index"), True, {"title": "A", "content": "D"})
+    index = lexical.with_stems(lexical.build(df, str(tmp_path / "index"), {"title": "A", "content": "D"}), str(tmp_path / "stems"))
     queries = {"q": ("t", "data engines"), "r": ("t", "team")}
     asked = spark.createDataFrame([(q, t, x) for q, (t, x) in queries.items()], "query_id string, tenant_id string, query string")
     chunks = {k: ("t", [(a, 1.0), (b, 0.1)]) for k, _, _, a, b in rows}
@@ -211,13 +212,13 @@ def test_plain_index_equals_postings(spark, tmp_path, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), F.lit("t").alias("tenant_id"), F.col("source").alias("document_id"), F.col("text").alias("content"))
     asked = spark.read.parquet(f"{data}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.lit("t").alias("tenant_id"), F.col("text").alias("query"))
     short = asked.withColumn("query", F.substring_index("query", " ", 2)).unionByName(asked.withColumn("query_id", F.col("query_id") + 1000))
-    index = lexical.build(docs, str(tmp_path / "index"), english=False)
+    index = lexical.build(docs, str(tmp_path / "index"))
     ours = sorted(lexical.top(index, short, 20).select("query_id", "chunk_id", "score", "rank").collect())
     assert ours and ours == sorted(retrieval.lexical_top(short, retrieval.postings(docs), 20).select("query_id", "chunk_id", "score", "rank").collect())
 
 
 def test_an_empty_index(spark, tmp_path):
     df = spark.createDataFrame([], "chunk_id int, tenant_id string, document_id int, content string")
-    index = lexical.build(df, str(tmp_path / "index"))
+    index = lexical.with_stems(lexical.build(df, str(tmp_path / "index")), str(tmp_path / "stems"))
     asked = spark.createDataFrame([("q", "t", "engine")], "query_id string, tenant_id string, query string")
     assert lexical.top(index, asked, 3).collect() == []
