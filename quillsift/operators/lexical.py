@@ -1,7 +1,7 @@
 """A stored lexical index: postings in blocks, top-k by bounds of whole blocks.
 
-Chunks of a tenant are dealt to zones of at most about ZONE chunks, or ZONE_CHARS
-characters, of like length.  A
+Chunks of a tenant that a task reads together are cut into zones of at most ZONE
+chunks, or ZONE_CHARS characters, of like length.  A
 block holds a term's postings in one zone, with the most places that one of
 its chunks has.  A query's zones are those in which all its terms have a block,
 known without reading any postings; no score in a zone is above its bound.
@@ -15,9 +15,10 @@ terms that have them, and stop words are left out.
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -25,6 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -33,11 +35,9 @@ from quillsift.functions.stems import STOP_WORDS, stem
 from quillsift.operators import retrieval
 from quillsift.session import frozen
 
-#: Chunks and characters of a zone, about.
+#: Chunks and characters of a zone at most (a longer text is a zone by itself).
 ZONE = 1024
 ZONE_CHARS = 1 << 20
-#: Zones for which a bucket of terms is added (a power of two from 8 to 1024); a query reads the buckets of its terms.
-BUCKET_ZONES = 4
 #: Zones of a query that are read before its bounds count.
 FIRST = 4
 #: Small tables are broadcast up to so many rows.
@@ -49,10 +49,9 @@ LABELS = list(WEIGHTS)
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """``blocks``: ``bucket, tenant_id, term, zone, n, most, postings`` (chunk_id, document_id, places: position * 4 + label); ``stems``: ``stem, term``, if there are any."""
+    """``blocks``: ``tenant_id, term, zone, n, most, postings`` (chunk_id, document_id, places: position * 4 + label); ``stems``: ``stem, term``, if there are any."""
 
     blocks: DataFrame
-    buckets: int
     best: float
     stems: DataFrame | None = None
 
@@ -62,20 +61,35 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("tenant_id", "term"), F.lit(buckets)).cast("int").alias("bucket")
+def cuts(tenants: list, sizes: np.ndarray, rows: int, most: int) -> Iterator[slice]:
+    """Zones of chunks in order of tenant and size: of one tenant, at most ``rows`` chunks, and ``most`` characters or one text."""
+    begin, chars = 0, 0
+    for k, size in enumerate(sizes):
+        if k > begin and (tenants[k] != tenants[begin] or k - begin >= rows or chars + size > most):
+            yield slice(begin, k)
+            begin, chars = k, 0
+        chars += size
+    if len(sizes):
+        yield slice(begin, len(sizes))
 
 
-def inverter(fields: dict[str, int]) -> Callable[[pa.Table], pa.Table]:
-    """The blocks of a zone, from the lists of terms of its chunks (``fields``: column and label)."""
+def inverter(fields: dict[str, int], rows: int, most: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The blocks of a task's chunks, from their lists of terms (``fields``: column and label); each batch has zones of its own."""
 
-    def invert(zone: pa.Table) -> pa.Table:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = itertools.count(TaskContext.get().partitionId() << 32)
+        for batch in batches:
+            order = batch.take(pc.sort_indices(batch, [("tenant_id", "ascending"), ("_size", "ascending")]))
+            for cut in cuts(order["tenant_id"].to_pylist(), order["_size"].to_numpy(), rows, most):
+                yield from invert(pa.Table.from_batches([order.slice(cut.start, cut.stop - cut.start)]), next(number)).to_batches()
+
+    def invert(zone: pa.Table, number: int) -> pa.Table:
         zone = zone.take(pc.sort_indices(zone["chunk_id"]))
-        rows, starts, found, parts = np.arange(zone.num_rows), np.zeros(zone.num_rows, np.int64), [], []
+        numbers, starts, found, parts = np.arange(zone.num_rows), np.zeros(zone.num_rows, np.int64), [], []
         for column, label in fields.items():
             lists = zone[column].combine_chunks()
             sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(rows, sizes)
+            row = np.repeat(numbers, sizes)
             at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[row]
             parts.append((row, at * 4 + label))
             found.append(lists.flatten())
@@ -95,7 +109,7 @@ def inverter(fields: dict[str, int]) -> Callable[[pa.Table], pa.Table]:
         return pa.table(
             {
                 "tenant_id": zone["tenant_id"].combine_chunks().take(same),
-                "zone": zone["zone"].combine_chunks().take(same),
+                "zone": pa.array(np.full(len(begin), number), pa.int64()),
                 "term": coded.dictionary.take(pa.array(code[first][begin])),
                 "n": pa.array(np.diff(np.r_[begin, len(first)]), pa.int64()),
                 "most": pa.array(np.maximum.reduceat(np.diff(np.r_[first, len(code)]), begin) if len(begin) else [], pa.int32()),
@@ -103,47 +117,39 @@ def inverter(fields: dict[str, int]) -> Callable[[pa.Table], pa.Table]:
             }
         )
 
-    return invert
+    return run
 
 
-def build(chunks: DataFrame, path: str, fields: dict[str, str] | None = None, buckets: int | None = None) -> LexicalIndex:
+def build(chunks: DataFrame, path: str, fields: dict[str, str] | None = None) -> LexicalIndex:
     """Write the index of ``chunks`` (chunk_id, tenant_id, document_id and text columns) to a folder, and open it.
 
     ``fields`` are text columns and their labels (A to D), ``content`` with
-    label D if none are given; positions go on from one field to the next.  A
-    zone's chunks meet in one task, which makes its blocks; what it holds is
-    bounded by the zone (and one text).  Blocks of a frequent term are in as
-    many files as its zones need.  Null texts have no terms.  Jobs run here.
+    label D if none are given; positions go on from one field to the next.
+    Each task makes the zones and blocks of the chunks it reads, so texts stay
+    where they are (but for tables of fewer parts than there are cores).  Null texts have no terms.  Jobs run here.
     """
     fields = fields or {"content": "D"}
     base = chunks.select("chunk_id", "tenant_id", "document_id", *fields)
-    size = reduce(lambda a, b: a + b, [F.coalesce(F.length(c), F.lit(0)) for c in fields])
-    classed = base.withColumn("_class", F.floor(2 * F.log2(size + 1)).cast("long"))
-    sizes = frozen(classed.groupBy("tenant_id", "_class").agg(F.ceil(F.greatest(F.count("*") / ZONE, F.sum(size.cast("long")) / ZONE_CHARS)).alias("_zones")))
-    total = sizes.agg(F.sum("_zones")).first()[0] or 1
-    buckets = buckets or max(8, min(1024, 1 << math.ceil(math.log2(max(1, total / BUCKET_ZONES)))))
-    # Texts and blocks are few bytes to move but much work, so their tasks aren't joined to fewer.
-    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = F.pmod(F.xxhash64("chunk_id"), F.col("_zones"))
-    zoned = classed.join(_few(sizes), ["tenant_id", "_class"]).withColumn("zone", F.shiftleft("_class", 40) + at).drop("_class", "_zones").repartition(tasks, "tenant_id", "zone")
+    spark = chunks.sparkSession
+    if base.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        base = base.repartition(spark.sparkContext.defaultParallelism)
+    size = reduce(lambda a, b: a + b, [F.coalesce(F.length(c), F.lit(0)).cast("long") for c in fields])
     fields_of = {f"_t{k}": LABELS.index(label) for k, label in enumerate(fields.values())}
-    tokens = zoned.select("tenant_id", "zone", "chunk_id", "document_id", *[F.coalesce(retrieval.terms(F.col(c)), F.array().cast("array<string>")).alias(t) for c, t in zip(fields, fields_of, strict=True)])
+    tokens = base.select("tenant_id", "chunk_id", "document_id", size.alias("_size"), *[F.coalesce(retrieval.terms(F.col(c)), F.array().cast("array<string>")).alias(t) for c, t in zip(fields, fields_of, strict=True)])
     ids = ",".join(f"{c}:{chunks.schema[c].dataType.simpleString()}" for c in ("chunk_id", "document_id"))
     schema = f"tenant_id {chunks.schema['tenant_id'].dataType.simpleString()}, zone bigint, term string, n bigint, most int, postings array<struct<{ids},places:array<int>>>"
-    blocks = tokens.groupBy("tenant_id", "zone").applyInArrow(inverter(fields_of), schema)
-    spread = F.pmod(F.xxhash64("zone"), F.lit(max(1, total // 256)))
-    out = blocks.withColumn("bucket", _bucket(buckets)).repartition(tasks, "bucket", spread).sortWithinPartitions("bucket", "tenant_id", "term", "zone")
-    out.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/blocks")
+    blocks = tokens.mapInArrow(inverter(fields_of, ZONE, ZONE_CHARS), schema)
+    blocks.sortWithinPartitions("tenant_id", "term", "zone").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/blocks")
     best = max(WEIGHTS[label] for label in fields.values())
-    about = {"buckets": F.lit(buckets), "best": F.lit(best), "schema": F.lit(out.schema.json())}
-    chunks.sparkSession.range(1).select(*[v.alias(k) for k, v in about.items()]).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
-    return open_index(chunks.sparkSession, path)
+    about = {"best": F.lit(best), "schema": F.lit(blocks.schema.json())}
+    spark.range(1).select(*[v.alias(k) for k, v in about.items()]).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+    return open_index(spark, path)
 
 
 def open_index(spark: SparkSession, path: str) -> LexicalIndex:
     about = spark.read.parquet(f"{path}/about").first()
     schema = StructType.fromJson(json.loads(about.schema))
-    return LexicalIndex(spark.read.schema(schema).parquet(f"{path}/blocks"), about.buckets, about.best)
+    return LexicalIndex(spark.read.schema(schema).parquet(f"{path}/blocks"), about.best)
 
 
 def with_stems(index: LexicalIndex, path: str) -> LexicalIndex:
@@ -156,7 +162,7 @@ def with_stems(index: LexicalIndex, path: str) -> LexicalIndex:
 
 
 def query_terms(index: LexicalIndex, queries: DataFrame, text: str = "query") -> DataFrame:
-    """``query_id, tenant_id, stem, term, n_terms, bucket``: the distinct terms of each query, or with stems all terms of its distinct stems.
+    """``query_id, tenant_id, stem, term, n_terms``: the distinct terms of each query, or with stems all terms of its distinct stems.
 
     ``n_terms`` counts the query's own; those that the index hasn't stay in the count.
     """
@@ -166,7 +172,7 @@ def query_terms(index: LexicalIndex, queries: DataFrame, text: str = "query") ->
     each = frozen(each)
     counts = each.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     forms = each.withColumn("term", F.col("stem")) if index.stems is None else index.stems.join(_few(each), "stem")
-    return forms.join(_few(counts), "query_id").select("query_id", "tenant_id", "stem", "term", "n_terms").withColumn("bucket", _bucket(index.buckets))
+    return forms.join(_few(counts), "query_id").select("query_id", "tenant_id", "stem", "term", "n_terms")
 
 
 def zones(index: LexicalIndex, asked: DataFrame) -> DataFrame:
@@ -177,7 +183,7 @@ def zones(index: LexicalIndex, asked: DataFrame) -> DataFrame:
     they begin with different terms; so the term with the fewest places bounds
     how many there are.
     """
-    skips = index.blocks.select("bucket", "tenant_id", "term", "zone", "most").join(_few(asked), ["bucket", "tenant_id", "term"])
+    skips = index.blocks.select("tenant_id", "term", "zone", "most").join(_few(asked), ["tenant_id", "term"])
     each = skips.groupBy("query_id", "tenant_id", "zone", "n_terms", "stem").agg(F.sum("most").alias("most"))
     found = each.groupBy("query_id", "tenant_id", "zone", "n_terms").agg(F.count("*").alias("_n"), F.min("most").alias("_least")).filter("_n = n_terms")
     return found.select("query_id", "tenant_id", "zone", "n_terms", (F.lit(index.best) * F.col("n_terms") * F.col("_least")).alias("bound"))
@@ -186,7 +192,7 @@ def zones(index: LexicalIndex, asked: DataFrame) -> DataFrame:
 def read_zones(index: LexicalIndex, asked: DataFrame, wanted: DataFrame) -> DataFrame:
     """``query_id, chunk_id, document_id, places`` (of each term of the query) of the chunks with all terms in the wanted zones."""
     blocks = wanted.select("query_id", "zone").join(asked, "query_id")
-    postings = index.blocks.select("bucket", "tenant_id", "term", "zone", "postings").join(_few(blocks), ["bucket", "tenant_id", "term", "zone"])
+    postings = index.blocks.select("tenant_id", "term", "zone", "postings").join(_few(blocks), ["tenant_id", "term", "zone"])
     each = postings.select("query_id", "n_terms", "zone", "stem", F.explode("postings").alias("p")).select("query_id", "n_terms", "zone", "stem", "p.*")
     if index.stems is not None:
         each = each.groupBy("query_id", "zone", "chunk_id", "document_id", "n_terms", "stem").agg(F.flatten(F.collect_list("places")).alias("places"))

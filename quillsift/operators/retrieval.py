@@ -118,8 +118,11 @@ def pivots_of(vectors: DataFrame, rows: int, key: str) -> Pivots:
     return Pivots({k: unit_rows(matrix(v)) for k, v in found.items()})
 
 
-def _dealt(vectors: DataFrame, rows: int, key: str, pivots: Pivots) -> DataFrame:
-    """``vectors`` (tenant_id, n, ...) with ``_ball``, ``_far`` (from its pivot) and ``_block``: about ``rows`` of a ball in each."""
+def _placed(vectors: DataFrame, pivots: Pivots) -> DataFrame:
+    """``vectors`` (tenant_id, n, ...) with ``_ball`` and ``_far`` (from its pivot), frozen if there are pivots."""
+    if not pivots.of:
+        ball = F.when(F.exists("_v", lambda x: x != 0), 0).otherwise(NO_DIRECTION)
+        return vectors.withColumns({"_ball": ball, "_far": F.lit(DIAMETER)})
 
     @F.pandas_udf("struct<ball:int,far:double>")
     def nearest(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
@@ -131,19 +134,26 @@ def _dealt(vectors: DataFrame, rows: int, key: str, pivots: Pivots) -> DataFrame
                     out.iloc[at, 0], out.iloc[at, 1] = ball.astype(np.int32), far
             yield out
 
-    placed = vectors.withColumn("_b", nearest("tenant_id", "_v")).withColumns({"_ball": F.col("_b.ball"), "_far": F.col("_b.far")}).drop("_b")
-    sizes = placed.groupBy("tenant_id", "n", "_ball").agg(F.ceil(F.count("*") / rows).alias("_blocks"))
-    # No more than the pivots of large tenants, and one or two rows of each other tenant and width.
-    few = F.broadcast(sizes) if len(pivots.of) or sizes.count() <= FEW else sizes
-    part = F.pmod(F.xxhash64(key), F.col("_blocks"))
-    return placed.join(few, ["tenant_id", "n", "_ball"]).withColumn("_block", F.shiftleft((F.col("_ball") + 1).cast("long"), 40) + part).drop("_blocks")
+    return frozen(vectors.withColumn("_b", nearest("tenant_id", "_v"))).withColumns({"_ball": F.col("_b.ball"), "_far": F.col("_b.far")}).drop("_b")
+
+
+def _dealt(placed: DataFrame, rows: int, key: str, bounded: bool) -> DataFrame:
+    """``placed`` vectors with their ``_block``: about ``rows`` of a ball in each.
+
+    Only balls over ``rows`` are looked up.  ``bounded``: there are no more of
+    them than pivots and large tenants, so they are broadcast.
+    """
+    sizes = placed.groupBy("tenant_id", "n", "_ball").agg(F.ceil(F.count("*") / rows).alias("_blocks")).filter("_blocks > 1")
+    few = F.broadcast(sizes) if bounded or sizes.count() <= FEW else sizes
+    part = F.pmod(F.xxhash64(key), F.coalesce("_blocks", F.lit(1)))
+    return placed.join(few, ["tenant_id", "n", "_ball"], "left").withColumn("_block", F.shiftleft((F.col("_ball") + 1).cast("long"), 40) + part).drop("_blocks")
 
 
 def _packed(vectors: DataFrame, ids: list[str]) -> DataFrame:
-    """``tenant_id, n, _block, ball, radius, ids, v`` for each block, in order of the ids."""
+    """``tenant_id, n, _block, ids, v`` for each block, in order of the ids."""
     rows = F.sort_array(F.collect_list(F.struct(*ids, "_v")))
-    blocks = vectors.groupBy("tenant_id", "n", "_block").agg(rows.alias("_rows"), F.first("_ball").alias("ball"), F.max("_far").alias("radius"))
-    return blocks.select("tenant_id", "n", "_block", "ball", "radius", F.transform("_rows", lambda r: F.struct(*[r[i].alias(i) for i in ids])).alias("ids"), F.transform("_rows", lambda r: r["_v"]).alias("v"))
+    blocks = vectors.groupBy("tenant_id", "n", "_block").agg(rows.alias("_rows"))
+    return blocks.select("tenant_id", "n", "_block", F.transform("_rows", lambda r: F.struct(*[r[i].alias(i) for i in ids])).alias("ids"), F.transform("_rows", lambda r: r["_v"]).alias("v"))
 
 
 def dense_top(queries: DataFrame, chunks: DataFrame, k: int, documents: DataFrame | None = None) -> DataFrame:
@@ -167,19 +177,20 @@ def dense_search(queries: DataFrame, chunks: DataFrame, k: int, documents: DataF
     block per query go on.  Vectors have unit length; scores are rounded to
     twelve places, so that equal vectors tie; vectors of other widths than the
     query's score 0.  Jobs run here: pivots are chosen, and where there are
-    any, the first hits are frozen.
+    any, the placed vectors and the first hits are frozen.
     """
     within = chunks if documents is None else chunks.join(documents.select("document_id").distinct(), "document_id", "left_semi")
     vector = [F.col("embedding").alias("_v"), F.size("embedding").alias("n")]
     given = lambda df, *ids: df.filter("embedding is not null").select("tenant_id", *ids, *vector)
     held_rows = given(within, "chunk_id", "document_id")
     pivots = pivots_of(held_rows, CHUNK_ROWS, "chunk_id")
-    held = _packed(_dealt(held_rows, CHUNK_ROWS, "chunk_id", pivots), ["chunk_id", "document_id"])
-    held = held.select("tenant_id", F.col("n").alias("cn"), F.col("_block").alias("_at"), "ball", "radius", F.col("ids").alias("c_ids"), F.col("v").alias("c_v"))
-    if pivots.of:
-        held = frozen(held)
-    about = held.groupBy("tenant_id").agg(F.sort_array(F.collect_list(F.struct("cn", "_at", "ball", "radius", F.size("c_ids").alias("rows")))).alias("blocks"))
-    asked = _packed(_dealt(given(queries, "query_id"), QUERY_ROWS, "query_id", pivots), ["query_id"])
+    dealt = _placed(held_rows, pivots)
+    dealt = _dealt(dealt, CHUNK_ROWS, "chunk_id", True) if pivots.of else dealt.withColumn("_block", (F.col("_ball") + 1).cast("long"))
+    held = _packed(dealt, ["chunk_id", "document_id"])
+    held = held.select("tenant_id", F.col("n").alias("cn"), F.col("_block").alias("_at"), F.col("ids").alias("c_ids"), F.col("v").alias("c_v"))
+    blocks = dealt.groupBy("tenant_id", "n", "_block").agg(F.first("_ball").alias("ball"), F.max("_far").alias("radius"), F.count("*").alias("rows"))
+    about = blocks.groupBy("tenant_id").agg(F.sort_array(F.collect_list(F.struct(F.col("n").alias("cn"), F.col("_block").alias("_at"), "ball", "radius", "rows"))).alias("blocks"))
+    asked = _packed(_dealt(_placed(given(queries, "query_id"), pivots), QUERY_ROWS, "query_id", False), ["query_id"])
     asked = asked.select("tenant_id", F.col("n").alias("qn"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v")).join(about, "tenant_id")
     first = _meet(_planned(asked, pivots, k, None), held, k)
     total = asked.select(F.explode("q_ids").alias("q"), F.size("blocks").alias("blocks")).select("q.query_id", "blocks")

@@ -176,7 +176,7 @@ def test_index_equals_brute_force(spark, tmp_path, monkeypatch, english, zone, f
     df = spark.createDataFrame([(k, t, k % 9, f[0][0]) for k, (t, f) in chunks.items()], "chunk_id int, tenant_id string, document_id int, content string")
     queries = {f"q{n}": ("t" if n % 3 else "u", text) for n, text in enumerate(["engine", "running data", "the of", "Leads the team", "", "payment databases engine", "data", "absent word"])}
     asked = spark.createDataFrame([(q, t, x) for q, (t, x) in queries.items()], "query_id string, tenant_id string, query string")
-    index = lexical.build(df.repartition(3), str(tmp_path / "index"), buckets=5)
+    index = lexical.build(df.repartition(3), str(tmp_path / "index"))
     index = lexical.with_stems(index, str(tmp_path / "stems")) if english else lexical.open_index(spark, str(tmp_path / "index"))
     hits, reads = lexical.search(index, asked, 6)
     assert {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in hits.collect()} == brute_search(queries, chunks, 6, english)

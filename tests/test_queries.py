@@ -12,6 +12,7 @@ from quillsift.operators import chunking
 from quillsift.plans import queries, search
 from quillsift.plans.queries import ORACLES, QUERIES
 from tests.oracle import same
+from tests.test_lexical import brute_search
 
 
 def test_entry_has_rows(spark):
@@ -24,7 +25,15 @@ def test_query_equals_its_sql(spark, data, name):
 
 
 def test_queries_without_sql_are_those_below():
-    assert set(QUERIES) - set(ORACLES) == {"rate_limit", "token_budget", "word_chunks", "similar_documents"}
+    assert set(QUERIES) - set(ORACLES) == {"rate_limit", "token_budget", "word_chunks", "similar_documents", "lexical_english"}
+
+
+def test_lexical_english_equals_brute_force(spark, data):
+    docs = {r.doc_id: ("t", [(r.text, 0.1)]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    asked = {r.item_id: ("t", r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
+    rows = QUERIES["lexical_english"](spark, data).collect()
+    assert rows and {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in rows} == brute_search(asked, docs, 20, True)
+    assert all(0 < r.zones_read <= r.zones for r in rows)
 
 
 def events_of(spark, data):
