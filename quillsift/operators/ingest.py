@@ -6,24 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.functions.numbers import bound
+from quillsift.operators.skew import meet
 
 
 def dedup(arrivals: DataFrame, stored: DataFrame | None = None, digest: str = "sha256", order: str = "arrival") -> DataFrame:
     """``arrivals`` with ``document_id, is_new``: the first arrival of a tenant's content is new, others get its id.
 
     Content that ``stored`` (tenant_id, sha256, id) has already keeps the
-    stored id.  Groups are reduced before they meet the rows again, so a file
-    that arrives very often costs no large group.
+    stored id.  Groups are reduced before they meet the rows again, and a file
+    that arrives very often is broadcast to its rows, so it costs no large
+    group.  Arrivals are counted here.
     """
-    first = arrivals.groupBy("tenant_id", digest).agg(F.min(F.struct(F.col(order).alias("o"), F.col("id").alias("id"))).alias("_first"))
+    first = arrivals.groupBy("tenant_id", digest).agg(F.min(F.struct(F.col(order).alias("o"), F.col("id").alias("id"))).alias("_first"), F.count("*").alias("_n"))
     if stored is not None:
         known = stored.groupBy("tenant_id", F.col("sha256").alias(digest)).agg(F.min("id").alias("_stored"))
         first = first.join(known, ["tenant_id", digest], "left")
     else:
         first = first.withColumn("_stored", F.lit(None).cast(arrivals.schema["id"].dataType))
-    both = arrivals.join(first, ["tenant_id", digest])
+    both = meet(arrivals, first, ["tenant_id", digest], "_n")
     new = F.col("_stored").isNull() & (F.col("id") == F.col("_first.id"))
-    return both.withColumn("document_id", F.coalesce("_stored", "_first.id")).withColumn("is_new", new).drop("_first", "_stored")
+    return both.withColumn("document_id", F.coalesce("_stored", "_first.id")).withColumn("is_new", new).drop("_first", "_stored", "_n")
 
 
 def ats_report(text: Column, keywords: Column, tables: Column, columns: Column, headings: Column, contact: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillsift.functions import text as tx
 from quillsift.functions.numbers import luminance
-from quillsift.operators import agents, catalog, chunking, ingest, lexical, limits, retrieval, rubric, sanitize, scoring
+from quillsift.operators import agents, catalog, chunking, ingest, lexical, limits, membership, retrieval, rubric, sanitize, scoring
 from quillsift.plans import search
 from quillsift.plans.registry import ORACLES, QUERIES, query
 from quillsift.session import shared_folder
@@ -340,6 +340,19 @@ def doc_dedup(spark, sf_dir):
     return ingest.dedup(arrivals).groupBy("document_id", "tenant_id", "sha256").agg(F.count("*").alias("copies"))
 
 
+@query(
+    """WITH s AS (SELECT source, text, MIN(doc_id) AS id FROM documents WHERE doc_id % 2 = 0 GROUP BY source, text),
+    a AS (SELECT doc_id, source, text, MIN(doc_id) OVER (PARTITION BY source, text) AS first FROM documents WHERE doc_id % 2 = 1)
+    SELECT doc_id AS id, COALESCE(s.id, first) AS document_id, s.id IS NULL AND doc_id = first AS is_new FROM a LEFT JOIN s ON s.source = a.source AND s.text = a.text"""
+)
+def ingest_filtered(spark, sf_dir):
+    """Documents of odd ids arrive where those of even ids are stored; the store's filters are merged from two halves."""
+    rows = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("arrival"), F.col("source").alias("tenant_id"), tx.sha256(F.col("text")).alias("sha256"))
+    stored, arrivals = rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1")
+    filters = membership.merge(membership.build(stored.filter("id % 4 = 0")), membership.build(stored.filter("id % 4 = 2")))
+    return membership.dedup(arrivals, stored, filters).select("id", "document_id", "is_new")
+
+
 def _heading_sql() -> str:
     chain = " ".join(f"WHEN regexp_matches(line, '(?i)^(?:{p})') THEN '{label}'" for label, p in tx.HEADINGS)
     return f"""WITH ls AS (SELECT trim(unnest(string_split(text, chr(10)))) AS line FROM documents UNION ALL
