@@ -191,7 +191,11 @@ def dense_search(queries: DataFrame, chunks: DataFrame, k: int, documents: DataF
     blocks = dealt.groupBy("tenant_id", "n", "_block").agg(F.first("_ball").alias("ball"), F.max("_far").alias("radius"), F.count("*").alias("rows"))
     about = blocks.groupBy("tenant_id").agg(F.sort_array(F.collect_list(F.struct(F.col("n").alias("cn"), F.col("_block").alias("_at"), "ball", "radius", "rows"))).alias("blocks"))
     asked = _packed(_dealt(_placed(given(queries, "query_id"), pivots), QUERY_ROWS, "query_id", False), ["query_id"])
-    asked = asked.select("tenant_id", F.col("n").alias("qn"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v")).join(about, "tenant_id")
+    asked = asked.select("tenant_id", F.col("n").alias("qn"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"))
+    if pivots.of:
+        # From files, so that a tenant that is one constant is still a key of the join.
+        asked, about = frozen(asked), frozen(about)
+    asked = asked.join(about, "tenant_id")
     first = _meet(_planned(asked, pivots, k, None), held, k)
     total = asked.select(F.explode("q_ids").alias("q"), F.size("blocks").alias("blocks")).select("q.query_id", "blocks")
     if not pivots.of:
