@@ -25,8 +25,8 @@ from quillsift.llm.shared import as_bytes, frozen
 
 #: Tokens that are packed together in a task: bounds what it holds.
 BATCH_TOKENS = 2_000_000
-#: Distinct stretches between spaces remembered by a worker; it forgets all of them beyond that.
-REMEMBERED = 600_000
+#: Distinct stretches between spaces that a worker remembers at most; half of them are those not asked for lately.
+REMEMBERED = 800_000
 #: Windows whose step group is found by a node of the tree are broadcast up to so many (two longs each), else joined by a shuffle.
 FEW_STEPS = 1_000_000
 ROW = "kind int, doc_id string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier int, step bigint, cost bigint, ids binary, part bigint"
@@ -46,11 +46,25 @@ class Stretches(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= REMEMBERED // 2:
+            self.before = dict(self)
             self.clear()
-        found = array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+        known = self.before.get(part)
+        if known is not None:
+            self[part] = known
+            return known
+        # Case doesn't count, and marks after an ASCII letter are a pre-token of their own; added tokens are found as written.
+        plain = part.lower() if part.isascii() and "<|" not in part else part
+        bare = plain.rstrip(".,;:!?")
+        if plain != part:
+            found = self[plain]
+        elif bare != part and "a" <= bare[-1:] <= "z":
+            found = self[bare] + self[part[len(bare) :]]
+        else:
+            found = array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
         if len(part) <= 64:
             self[part] = found
         return found

@@ -109,7 +109,7 @@ def tokenizer():
 
 def test_stretches_give_the_tokenizers_ids(tokenizer):
     ids, rng = multi_length.stretch_ids(WORD_BPE), random.Random(3)
-    parts = [" ", "  ", "\n", "\t", "a", "Bc", "'S", "'s", "don", "12", "³", "É", "é", "́", "|", "<|endoftext|>", "<|ENDOFTEXT|>", "\xa0", " ", "!!", "中", "İ", "ΑΣ", "Σ", "🙂", "\x00", "\x0b", "\x85"]
+    parts = [" ", "  ", "\n", "\t", "a", "Bc", "'S", "'s", "don", "12", "³", "É", "é", "́", "|", "<|endoftext|>", "<|ENDOFTEXT|>", "\xa0", " ", "!!", ".", "?,", "Don'T.", "中", "İ", "ΑΣ", "Σ", "🙂", "\x00", "\x0b", "\x85"]
     for _ in range(4000):
         text = "".join(rng.choices(parts, k=rng.randrange(9)))
         assert ids(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
