@@ -244,17 +244,35 @@ def test_exact_dedup_equals_brute_force(spark, digest_bits):
 
 
 def test_index_pages(spark):
-    """Buckets are within the limit, and their pages are files in order of the keys."""
-    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
-    found = exact_dedup.index(docs, capacity=30)
-    assert found.pages.count() == 400 and found.linked is None
-    sizes = found.pages.groupBy("depth", "prefix").count().collect()
-    assert len(sizes) > 13 and all(r["count"] <= 30 for r in sizes)
+    """Buckets are within the limit and whole in one file, pages are in order of the keys."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 3500).alias("text")).repartition(6)
+    # Small shuffles would become one task, so one file.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = exact_dedup.index(docs, capacity=300)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found.pages.count() == 4000 and found.linked is None
+    pages = found.pages.withColumn("file", F.input_file_name())
+    buckets = pages.groupBy("start").agg(F.count("*").alias("n"), F.countDistinct("file").alias("files"), F.countDistinct("owner").alias("owners")).collect()
+    assert len(buckets) > 13 and all(r.n <= 300 and r.files == 1 and r.owners == 1 for r in buckets)
+    assert pages.select("file").distinct().count() > 1
+    assert {r.group_size for r in found.pages.collect()} == {1, 2}
     for file in found.pages.inputFiles():
         bits = [r.bits for r in spark.read.parquet(file).collect()]
         assert bits == sorted(bits)
 
 
+def test_hot_digests_have_several_owners(spark):
+    """A text with more rows than a bucket may have is dealt out; chains of its parts are merged."""
+    docs = spark.range(900).select((900 - F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("t"), F.col("id"))).otherwise(F.lit("hot")).alias("text"))
+    found = exact_dedup.index(docs.repartition(5), capacity=50)
+    hot = found.pages.filter("group_size = 600")
+    parts = hot.groupBy("part").count().collect()
+    assert len(parts) == 12 and max(r["count"] for r in parts) < 100 and {r.keep_id for r in hot.collect()} == {1}
+    assert found.pages.filter("group_size = 1").count() == 300 and found.pages.count() == 900
+
+
 def test_white_space_is_one_space(spark):
     df = spark.createDataFrame([(2, "a b"), (1, "a \n\tb"), (3, "a  b "), (4, "a\x0bb"), (5, "a b")], "doc_id bigint, text string")
     got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.dedup(df).collect()}
