@@ -27,8 +27,10 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 #: Chance that a window with this share of a template agrees with it in no band.
 MISS = 1e-5
-#: Shingles of a long text that are permuted at once.
+#: Shingles that are permuted at once (those of a long text, or of several), texts whose shingles a task holds, bits of the tables of band keys.
 BLOCK = 1 << 13
+TEXTS = 256
+TABLE_BITS = 16
 
 
 def resemblance(containment: float) -> float:
@@ -107,12 +109,40 @@ def _runs(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def _permuted(h: np.ndarray) -> np.ndarray:
-    """(BANDS, n): the hashes under as many random permutations (multiply and add, odd factors)."""
+    """(BANDS, n): 32 bits of the hashes under as many random permutations (multiply and add, odd factors)."""
     rng = np.random.default_rng(8)
     a = rng.integers(0, 2**63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 2**63, BANDS, dtype=np.uint64)
-    x = (h ^ (h >> np.uint64(32)))[None, :] * a[:, None] + b[:, None]
-    return x ^ (x >> np.uint64(31))
+    x = h ^ (h >> np.uint64(32))
+    out = np.empty((BANDS, len(h)), np.uint32)
+    for k in range(BANDS):
+        out[k] = (x * a[k] + b[k]) >> np.uint64(32)
+    return out
+
+
+class Bands:
+    """The bands of templates of one size, by key; a table of the keys' last bits tells at once that most keys aren't there."""
+
+    def __init__(self, sets: Mapping[int, np.ndarray]):
+        keys = np.stack([_permuted(s).min(axis=1) for s in sets.values()])
+        flat, band, owner = keys.ravel(), np.tile(np.arange(BANDS), len(sets)), np.repeat(list(sets), BANDS)
+        order = np.argsort(flat, kind="stable")
+        self.keys, self.band, self.owner = flat[order], band[order], owner[order]
+        self.last = np.uint32((1 << TABLE_BITS) - 1)
+        self.there = np.zeros(1 << TABLE_BITS, bool)
+        self.there[flat & self.last] = True
+
+    def agreeing(self, keys: np.ndarray) -> set[tuple[int, int]]:
+        """(window, template) that agree in a band, given the windows' keys (BANDS, windows)."""
+        band, window = np.nonzero(self.there[keys & self.last])
+        wanted = keys[band, window]
+        first, end = np.searchsorted(self.keys, wanted), np.searchsorted(self.keys, wanted, side="right")
+        found = set()
+        for k in np.flatnonzero(first < end).tolist():
+            for at in range(first[k], end[k]):
+                if self.band[at] == band[k]:
+                    found.add((int(window[k]), int(self.owner[at])))
+        return found
 
 
 class Scanner:
@@ -123,87 +153,99 @@ class Scanner:
         self.sets = [np.unique(shingles(templates[n].encode())) for n in self.names]
         #: Templates of one shingle by its words, found where it is; all others by their number of shingles.
         self.single: dict[int, list[int]] = defaultdict(list)
-        classes: dict[int, list[int]] = defaultdict(list)
+        classes: dict[int, dict[int, np.ndarray]] = defaultdict(dict)
         for k, s in enumerate(self.sets):
             if len(s) == 1:
                 self.single[min(SHINGLE, len(_word_hashes(templates[self.names[k]].encode())))].append(k)
             elif len(s):
-                classes[len(s)].append(k)
-        #: All shingles of templates with bands, and where each template's are among them.
-        self.known = np.unique(np.concatenate([self.sets[k] for members in classes.values() for k in members] or [np.empty(0, np.uint64)]))
-        self.places = {k: np.searchsorted(self.known, self.sets[k]) for members in classes.values() for k in members}
-        self.bands: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for m, members in classes.items():
-            keys = np.stack([_permuted(self.sets[k]).min(axis=1) for k in members])
-            flat, band, owner = keys.ravel(), np.tile(np.arange(BANDS), len(members)), np.repeat(members, BANDS)
-            order = np.argsort(flat)
-            self.bands[m] = flat[order], band[order], owner[order]
-
-    def candidates(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(template, first shingle, end) of windows that agree with a template in a band; long texts go block by block."""
-        possible = self._possible(h)
-        longest = 2 * max(possible, default=0)
-        for base in range(0, len(h) if possible else 0, BLOCK):
-            # A window that begins in this block may end in the next.
-            for template, start, end in self._in_block(h[base : base + BLOCK + longest], possible):
-                yield template, base + start, base + end
-
-    def _possible(self, h: np.ndarray) -> list[int]:
-        """Sizes of the templates that have the wanted share of their shingles somewhere in the text; only for these are there windows to look for."""
-        if not len(h) or not len(self.known):
-            return []
-        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        there = np.zeros(len(self.known), bool)
-        there[at[self.known[at] == h]] = True
-        if not there.any():
-            return []
-        return sorted({len(p) for p in self.places.values() if there[p].sum() >= CONTAINMENT * len(p)})
-
-    def _in_block(self, h: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, int, int]]:
-        block, size, n = _permuted(h), 1, len(h)
-        for m in sizes:
+                classes[len(s)][k] = s
+        self.bands = {m: Bands(members) for m, members in sorted(classes.items())}
+        self.longest = 2 * max(self.bands, default=0)
+
+    def candidates(self, h: np.ndarray) -> list[tuple[int, int, int]]:
+        """(template, first shingle, end) of the windows of one text that agree with a template in a band."""
+        return [c[1:] for c in self.retrieved([h])]
+
+    def retrieved(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+        """(text, template, first shingle, end) of the windows that agree with a template in a band.
+
+        Texts, given by their shingles, are searched many at once; long ones
+        block by block, where a window that begins in one may end in the next.
+        """
+        pieces, held = [], 0
+        for t, h in enumerate(texts):
+            for base in range(0, len(h) if self.bands else 0, BLOCK):
+                piece = h[base : base + BLOCK + self.longest]
+                if held and held + len(piece) > BLOCK:
+                    yield from self._in_pieces(pieces)
+                    pieces, held = [], 0
+                pieces.append((t, base, piece))
+                held += len(piece)
+        if pieces:
+            yield from self._in_pieces(pieces)
+
+    def _in_pieces(self, pieces: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple[int, int, int, int]]:
+        """Minima over all windows of a size come from minima over stretches of half to all of it, doubled from size to size."""
+        n = np.array([len(h) for *_, h in pieces])
+        at = np.concatenate(([0], np.cumsum(n)[:-1]))
+        block, size = _permuted(np.concatenate([h for *_, h in pieces])), 1
+        whole = np.minimum.reduceat(block, at, axis=1)
+        for m, bands in self.bands.items():
             length, step = 2 * m, m - m // 4 + 1
-            while 2 * size <= min(length, n):
-                # Minima over stretches twice as long, from each place.
-                block, size = np.minimum(block[:, :-size], block[:, size:]), size * 2
-            # The last window ends with the text.
-            starts = np.minimum(np.arange(0, max(1, n - length + step), step), max(0, n - length))
-            keys = np.minimum(block[:, starts], block[:, starts + min(length, n) - size])
-            flat, band, owner = self.bands[m]
-            at = np.searchsorted(flat, keys)
-            hit = flat[np.minimum(at, len(flat) - 1)] == keys
-            found = set()
-            for b, w in zip(*np.nonzero(hit), strict=True):
-                k = at[b, w]
-                while k < len(flat) and flat[k] == keys[b, w]:
-                    if band[k] == b:
-                        found.add((int(owner[k]), int(starts[w])))
-                    k += 1
-            for template, start in sorted(found):
-                yield template, start, start + length
+            # Texts that are no longer than a window are one; of others, the last window ends with the text.
+            short, long = np.flatnonzero(n <= length), np.flatnonzero(n > length)
+            count = -(-(n[long] - length) // step) + 1
+            piece = np.concatenate((short, np.repeat(long, count)))
+            k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            start = np.concatenate((np.zeros(len(short), np.int64), np.minimum(k * step, np.repeat(n[long] - length, count))))
+            keys = whole[:, short]
+            if len(long):
+                while 2 * size <= length:
+                    block, size = np.minimum(block[:, :-size], block[:, size:]), size * 2
+                first = (at[piece] + start)[len(short) :]
+                keys = np.concatenate((keys, np.minimum(block[:, first], block[:, first + length - size])), axis=1)
+            for w, template in sorted(bands.agreeing(keys)):
+                text, base, _ = pieces[piece[w]]
+                begin = int(start[w])
+                yield text, template, base + begin, base + min(begin + length, int(n[piece[w]]))
 
     def scan(self, text: bytes) -> list[tuple[str, int, float]]:
-        """(template, first word of the best place, containment) for each template found, verified on the exact shingles."""
-        word_hashes = _word_hashes(text)
-        h = _runs(word_hashes, SHINGLE)
-        best: dict[int, tuple[float, int]] = {}
+        """(template, first word of the best place, containment) for each template found in one text."""
+        return self.scan_all([text])[0]
+
+    def scan_all(self, texts: list[bytes]) -> list[list[tuple[str, int, float]]]:
+        """What is found in each text: bands retrieve templates, their exact shingles verify them."""
+        words = [_word_hashes(t) for t in texts]
+        runs = [_runs(w, SHINGLE) for w in words]
+        best: list[dict[int, tuple[float, int]]] = [{} for _ in texts]
         for size, members in self.single.items():
-            runs = h if size == SHINGLE else _runs(word_hashes, size)
-            for k in members:
-                at = np.flatnonzero(runs == self.sets[k][0])
-                if len(at):
-                    best[k] = (1.0, -int(at[0]))
-        for template, start, end in self.candidates(h):
-            wanted = self.sets[template]
-            # A template's place may begin anywhere in the window, so its own length is looked at from each start.
-            inside = np.isin(h[start:end], wanted)
-            for s in np.flatnonzero(inside):
-                if s and inside[s - 1] and (template in best) and best[template][0] == 1.0:
-                    continue
-                share = len(np.intersect1d(h[start + s : start + s + len(wanted) + len(wanted) // 4], wanted)) / len(wanted)
-                if share >= CONTAINMENT:
-                    best[template] = max(best.get(template, (0.0, 0)), (share, -(start + int(s))))
-        return [(self.names[k], -at, share) for k, (share, at) in sorted(best.items())]
+            for t, w in enumerate(words):
+                short = runs[t] if size == SHINGLE else _runs(w, size)
+                for k in members:
+                    at = np.flatnonzero(short == self.sets[k][0])
+                    if len(at):
+                        best[t][k] = (1.0, -int(at[0]))
+        for t, template, start, end in self.retrieved(runs):
+            self._verify(runs[t], template, start, end, best[t])
+        return [[(self.names[k], -at, share) for k, (share, at) in sorted(b.items())] for b in best]
+
+    def _verify(self, h: np.ndarray, template: int, start: int, end: int, best: dict[int, tuple[float, int]]) -> None:
+        """Note the best place in a window at which there is the wanted share of a template's shingles."""
+        wanted = self.sets[template]
+        length = len(wanted) + len(wanted) // 4
+        near = h[start : end + length]
+        where = np.minimum(np.searchsorted(wanted, near), len(wanted) - 1)
+        there = wanted[where] == near
+        if there.sum() < CONTAINMENT * len(wanted):
+            return
+        # A template's place may begin anywhere in the window, so its own length is looked at from each start.
+        inside = there[: end - start]
+        for s in np.flatnonzero(inside):
+            if s and inside[s - 1] and (template in best) and best[template][0] == 1.0:
+                continue
+            share = len(np.unique(where[s : s + length][there[s : s + length]])) / len(wanted)
+            if share >= CONTAINMENT:
+                best[template] = max(best.get(template, (0.0, 0)), (share, -(start + int(s))))
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,6 +267,9 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_
     def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scanner = Scanner(names)
         for batch in batches:
-            yield pd.Series([[{"license": n, "first_word": at, "containment": c} for n, at, c in scanner.scan(t)] for t in batch], dtype=object)
+            out: list[list[dict]] = []
+            for at in range(0, len(batch), TEXTS):
+                out += [[{"license": n, "first_word": w, "containment": c} for n, w, c in found] for found in scanner.scan_all(batch.iloc[at : at + TEXTS].to_list())]
+            yield pd.Series(out, dtype=object)
 
     return source.select("doc_id", F.explode(scanned("text")).alias("found")).select("doc_id", "found.license", "found.first_word", "found.containment")

@@ -226,6 +226,24 @@ def test_license_bands_find_what_is_contained():
             assert expected >= license_scan.CONTAINMENT and {n: c for n, _, c in scanner.scan(text)}[name] == expected
 
 
+def test_license_bands_are_what_retrieves(monkeypatch):
+    """Texts searched many at once give what each gives alone; without a common band nothing is found, whatever shingles there are."""
+    monkeypatch.setattr(license_scan, "BLOCK", 300)
+    scanner, rng = license_scan.Scanner(license_scan.TEMPLATES), random.Random(11)
+    texts = [b"", b"one", b"MIT"]
+    for _ in range(60):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(700))]
+        at = rng.randrange(len(words) + 1)
+        words[at:at] = license_scan.TEMPLATES[rng.choice(scanner.names)].split()
+        texts.append(" ".join(words).encode())
+    alone = [scanner.scan(t) for t in texts]
+    assert scanner.scan_all(texts) == alone and sum(map(bool, alone)) >= 55
+    assert alone == [[(n, w, c) for n, w, c in found] for found in license_scan.Scanner(license_scan.TEMPLATES).scan_all(texts)]
+    monkeypatch.setattr(license_scan.Bands, "agreeing", lambda self, keys: set())
+    single = {n for n, s in zip(scanner.names, scanner.sets, strict=True) if len(s) == 1}
+    assert all(n in single for found in scanner.scan_all(texts) for n, *_ in found)
+
+
 # --- quality rules --------------------------------------------------------------------------------
 
 
