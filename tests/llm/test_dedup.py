@@ -199,6 +199,22 @@ def test_near_copies_are_linked_by_exact_similarity(spark, monkeypatch, group):
     assert 50 < len(set(expected.values())) < len(rows) - 50
 
 
+def test_repeated_rows_are_compared_once(spark):
+    """Rows that repeat id and text are one text to compare; a very frequent text meets its root by broadcast."""
+    words = [f"w{k}" for k in range(60)]
+    text, near, other = " ".join(words), " ".join([*words[:-1], "end"]), " ".join(words[::-1])
+    rows = [(1, text)] * 3000 + [(None, text)] * 200 + [(2, near), (3, other), (4, None), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    source = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    assert near_copies.each_once(source, source.select("doc_id", "hash")).count() == 6
+    got = near_copies.groups(docs).collect()
+    assert len(got) == len(rows)
+    roots = {k: {r.root for r in got if r.doc_id == k} for k in (None, 1, 2, 3, 4, 5)}
+    assert all(len(x) == 1 for x in roots.values())
+    assert roots[None] == roots[1] == roots[2] != roots[3] and roots[4] == roots[5] != roots[1]
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == [1, 3, 4]
+
+
 def test_near_copies_check_all_pairs_in_blocks(monkeypatch):
     monkeypatch.setattr(near_copies, "BLOCK", 7)
     starts, counts = np.array([0, 3, 4]), np.array([3, 1, 5])
