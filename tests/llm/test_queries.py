@@ -47,3 +47,9 @@ def test_pipeline_stages(spark, data):
 
 def test_pipeline_runs(spark, data):
     assert corpus_pipeline.run(spark, data).count() > 0
+
+
+def test_pipeline_of_an_empty_table(spark, data, tmp_path):
+    spark.read.parquet(f"{data}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.read.parquet(f"{data}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
