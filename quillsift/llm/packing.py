@@ -116,10 +116,12 @@ def default_ids(path: str) -> Callable[[str], bytes]:
 
 
 def pieces_of(doc_id: str | None, ids: bytes, capacity: int) -> Iterator[tuple]:
-    """(doc_id, piece, start, length, crc32) of a document's ids, with the closing id 0."""
+    """(doc_id, piece, start, length, crc32) of a document's ids, with the closing id 0; all pieces but the first have ``capacity`` ids."""
     ids += b"\0\0\0\0"
-    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-        part = ids[start : start + 4 * capacity]
+    first = len(ids) % (4 * capacity) or 4 * capacity
+    for piece, end in enumerate(range(first, len(ids) + 1, 4 * capacity)):
+        start = max(0, end - 4 * capacity)
+        part = ids[start:end]
         yield doc_id, piece, start // 4, len(part) // 4, zlib.crc32(part)
 
 
@@ -183,7 +185,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, id_col: str = "
 
     Returns one row per piece: ``doc_id, piece, start, length, ids_crc32,
     sequence_id, offset``.  Documents longer than a sequence are cut into full
-    pieces and a rest; others stay whole.  Null texts count as empty and give
+    pieces, of which a shorter one comes first; others stay whole.  Null texts count as empty and give
     the closing id alone; null and repeated ids, and ids of any type, are
     packed like others; an empty table gives no rows; further columns are
     ignored.

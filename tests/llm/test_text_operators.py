@@ -80,6 +80,16 @@ def test_packing_round_trip(spark, tokenizer):
     assert len(bins) <= math.ceil(sum(map(len, ids.values())) / 4 / 256) * 1.03 + 1
 
 
+def test_the_shorter_piece_comes_first(spark, tokenizer):
+    rows = [(k, " ".join(["word"] * n)) for k, n in enumerate([1, 254, 255, 256, 511, 600, 1023])]
+    ids = {k: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for k, t in rows}
+    got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string"), BYTE_BPE, 256).collect()
+    unpack(got, ids, 256)
+    for k in ids:
+        lengths = [r.length for r in sorted(got, key=lambda r: r.piece) if r.doc_id == k]
+        assert lengths[1:] == [256] * (math.ceil(len(ids[k]) / 4 / 256) - 1)
+
+
 def test_bins_handed_on_are_all_that_can_be_used(spark, tokenizer, monkeypatch):
     """Limiting what a node gets to what it could use changes nothing: as few sequences as if all bins went up, near the bound."""
     rng = random.Random(5)
