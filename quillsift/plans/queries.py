@@ -476,7 +476,8 @@ def page_resolve(spark, sf_dir):
 
 @query("SELECT p_partkey, round(0.2126 * ((p_partkey * 7919 >> 16) & 255) / 255 + 0.7152 * ((p_partkey * 7919 >> 8) & 255) / 255 + 0.0722 * (p_partkey * 7919 & 255) / 255, 6) AS luminance FROM part")
 def color_luminance(spark, sf_dir):
-    color = (F.col("p_partkey") * 7919).cast("int")
+    """Colours are longs: keys of larger tables pass an int's range, and the channels are the lowest 24 bits."""
+    color = F.col("p_partkey").cast("long") * 7919
     return load(spark, sf_dir, "part").select("p_partkey", F.round(luminance(color), 6).alias("luminance"))
 
 
