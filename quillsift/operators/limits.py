@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillsift.schemas import TERMINAL_EVENTS
+from quillsift.session import frozen
 
 REQUESTS = 20
 SECONDS = 60.0
@@ -157,8 +158,10 @@ def enqueue(payloads: DataFrame, first_id: int = 1) -> DataFrame:
 
     Numbers come from the rows before in their partition and in the partitions
     before, so no task numbers all rows; the driver sees a count per partition.
+    The ordered rows are frozen: bounds of ranges are drawn anew, and ranges
+    merged anew, whenever the shuffle runs again.  Jobs run here.
     """
-    ordered = payloads.repartitionByRange("run_id", "stage", "ordinal").sortWithinPartitions("run_id", "stage", "ordinal").withColumn("_at", F.monotonically_increasing_id())
+    ordered = frozen(payloads.repartitionByRange("run_id", "stage", "ordinal").sortWithinPartitions("run_id", "stage", "ordinal").withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
     sizes = {r[0]: r[1] for r in ordered.groupBy(part.alias("p")).count().collect()}
     before, total = {}, first_id

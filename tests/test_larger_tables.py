@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pytest
+from pyspark.sql import functions as F
+
 from quillsift.plans.queries import ORACLES, QUERIES
 from tests.oracle import same
 
@@ -11,3 +14,17 @@ def test_colours_of_large_keys(spark, tmp_path):
     keys = [0, 1, 271_176, 271_177, 542_352, 1_199_999, 600_000_000]
     spark.createDataFrame([(k,) for k in keys], "p_partkey bigint").write.parquet(str(tmp_path / "part.parquet"))
     same(spark, str(tmp_path), QUERIES["color_luminance"], ORACLES["color_luminance"])
+
+
+@pytest.fixture
+def uncoalesced(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_task_numbers_of_many_rows(spark, tmp_path, uncoalesced):
+    """More rows than range bounds are drawn from: numbers come from the same ranges that are counted."""
+    rows = spark.range(60_000).select(F.col("id").alias("event_id"), (F.col("id") * 7919 % 501).alias("user_id"), F.concat(F.lit("e"), F.col("id") % 5).alias("event_type"))
+    rows.repartition(6).write.parquet(str(tmp_path / "events.parquet"))
+    same(spark, str(tmp_path), QUERIES["task_enqueue"], ORACLES["task_enqueue"])
