@@ -3,8 +3,8 @@
 Fingerprints are leaves of a binary trie over their bits.  Pairs of trie nodes
 are traversed together, adding up the bits in which their paths differ, and a
 pair is dropped as soon as that exceeds the error budget.  The upper levels of
-the trie deal out the work: a task holds one subtree and the subtrees whose
-paths are within the budget of its own.
+the trie deal out the work: a task holds one subtree and some of the subtrees whose
+paths are within the budget of its own, NEIGHBOURS of them at most.
 """
 
 from __future__ import annotations
@@ -27,10 +27,13 @@ SEED = 42
 #: Distinct fingerprints that a subtree should hold, and the multiple of it from which a subtree is split.
 SUBTREE = 1 << 18
 LARGE = 2
+#: Neighbouring subtrees that a task gets beside its own, on average, at most.
+NEIGHBOURS = 32
 #: Fingerprints that are broadcast to meet their rows (24 bytes each); of more, only hot ones are.
 FEW = 200_000
-#: Node pairs that a traversal expands at once.
-FRONTIER = 1 << 18
+#: Node pairs that a traversal expands at once, and pairs of leaves below two nodes up to which it compares them all.
+FRONTIER = 1 << 16
+OUTRIGHT = 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -73,71 +76,67 @@ def with_fingerprint(docs: DataFrame, size: int, text_col: str, name: str) -> Da
 
 
 class Trie:
-    """Levels of the binary trie over sorted distinct fingerprints."""
+    """The binary trie over sorted distinct fingerprints; its nodes are the ranges of their leaves, so no level is ever stored."""
 
     def __init__(self, prints: np.ndarray):
         self.prints = prints
-        self.starts = {0: np.zeros(1, np.int64)}
 
-    def level(self, depth: int) -> np.ndarray:
-        """First leaf of each node at a depth; the nodes are in order of their leaves."""
-        if depth not in self.starts:
-            path = self.prints >> np.uint64(64 - depth)
-            self.starts[depth] = np.concatenate(([0], np.flatnonzero(path[1:] != path[:-1]) + 1))
-        return self.starts[depth]
-
-    def children(self, depth: int) -> np.ndarray:
-        """(nodes, 2): the nodes at ``depth + 1`` under each node at ``depth`` by their bit, -1 where there is none."""
-        above, below = self.level(depth), self.level(depth + 1)
-        parent = np.searchsorted(above, below, side="right") - 1
-        bit = ((self.prints[below] >> np.uint64(63 - depth)) & np.uint64(1)).astype(np.int64)
-        found = np.full((len(above), 2), -1, np.int64)
-        found[parent, bit] = np.arange(len(below))
-        return found
-
-    def ends(self, depth: int) -> np.ndarray:
-        return np.concatenate((self.level(depth)[1:], [len(self.prints)]))
+    def middle(self, begin: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
+        """Where the second child's leaves begin, for each node (a range of leaves) at a depth."""
+        bit = np.uint64(1 << (63 - depth))
+        first = self.prints[begin]
+        out = np.where(first & bit, begin, end)
+        both = np.flatnonzero((first & bit) != (self.prints[end - 1] & bit))
+        # Leaves below a node are sorted, so the second child begins at the first leaf that has the bit.
+        out[both] = np.searchsorted(self.prints, (first[both] >> np.uint64(63 - depth) | np.uint64(1)) << np.uint64(63 - depth))
+        return out
 
 
 def join_tries(a: Trie, b: Trie, budget: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of (leaf of a, leaf of b) differing in at most ``budget`` bits; with ``same``, each unordered pair of distinct leaves once."""
+    """Blocks of (leaf of a, leaf of b) differing in at most ``budget`` bits; with ``same``, each unordered pair of distinct leaves once.
+
+    Only pairs of nodes that are still to be expanded are held: FRONTIER of
+    them a level at most, times a small number, whatever the tries' sizes.
+    """
     if not len(a.prints) or not len(b.prints):
         return
-    kids: dict[int, tuple] = {}
-    zero = np.zeros(1, np.int64)
-    todo = [(0, zero, zero, zero)]
+    zero = np.zeros(1, np.int32)
+    todo = [(0, zero, zero + np.int32(len(a.prints)), zero, zero + np.int32(len(b.prints)), zero.astype(np.int8))]
     while todo:
-        depth, u, v, differ = todo.pop()
-        if len(u) > FRONTIER:
-            half = len(u) // 2
-            todo += [(depth, u[:half], v[:half], differ[:half]), (depth, u[half:], v[half:], differ[half:])]
+        depth, *pairs = todo.pop()
+        if len(pairs[0]) > FRONTIER:
+            half = len(pairs[0]) // 2
+            todo += [(depth, *(x[:half] for x in pairs)), (depth, *(x[half:] for x in pairs))]
             continue
-        # Pairs of nodes with one leaf each are compared outright.
-        u0, v0 = a.level(depth)[u], b.level(depth)[v]
-        single = (a.ends(depth)[u] - u0 == 1) & (b.ends(depth)[v] - v0 == 1)
-        if single.any() or depth == 64:
-            i, j = u0[single], v0[single]
+        u0, u1, v0, v1, differ = pairs
+        # Leaves of small nodes are compared outright.
+        size = (u1 - u0).astype(np.int64) * (v1 - v0)
+        small = size <= OUTRIGHT
+        if small.any():
+            n, width = size[small], (v1 - v0)[small]
+            at = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            row = place // width[at]
+            i, j = u0[small][at] + row, v0[small][at] + place - row * width[at]
             near = np.bitwise_count(a.prints[i] ^ b.prints[j]) <= budget
             if same:
-                near &= i != j
+                near &= (i < j) | (u0 != v0)[small][at]
             if near.any():
                 yield i[near], j[near]
-            u, v, differ = u[~single], v[~single], differ[~single]
-        if not len(u):
+            u0, u1, v0, v1, differ = (x[~small] for x in pairs)
+        if not len(u0):
             continue
-        if depth not in kids:
-            kids[depth] = a.children(depth), b.children(depth)
-        of_a, of_b = kids[depth]
-        nu, nv, nd = [], [], []
+        um, vm = a.middle(u0, u1, depth), b.middle(v0, v1, depth)
+        below = []
         for x, y in ((0, 0), (1, 1), (0, 1), (1, 0)):
-            cu, cv, cd = of_a[u, x], of_b[v, y], differ + (x != y)
-            keep = (cu >= 0) & (cv >= 0) & (cd <= budget)
+            c0, c1 = (um, u1) if x else (u0, um)
+            d0, d1 = (vm, v1) if y else (v0, vm)
+            cost = differ + np.int8(x != y)
+            keep = (c0 < c1) & (d0 < d1) & (cost <= budget)
             if same and (x, y) == (1, 0):
-                keep &= u != v  # under one node, (0, 1) has these pairs already
-            nu.append(cu[keep])
-            nv.append(cv[keep])
-            nd.append(cd[keep])
-        todo.append((depth + 1, np.concatenate(nu), np.concatenate(nv), np.concatenate(nd)))
+                keep &= u0 != v0  # under one node, (0, 1) has these pairs already
+            below.append([z[keep] for z in (c0, c1, d0, d1, cost)])
+        todo.append((depth + 1, *map(np.concatenate, zip(*below, strict=True))))
 
 
 def forest(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]], near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
@@ -210,7 +209,8 @@ def links(prints: DataFrame, budget: int) -> DataFrame:
     """Links (high, low) that connect all fingerprints within ``budget`` bits; ``prints`` has distinct longs in ``print``.
 
     A task unites what it finds and returns one link per fingerprint at most,
-    so large groups give no quadratic output.
+    so large groups give no quadratic output.  Subtrees with more neighbours
+    than a task may hold meet them in several tasks.
     """
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
@@ -220,7 +220,8 @@ def links(prints: DataFrame, budget: int) -> DataFrame:
         n = len(a.prints)
 
         def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            yield from join_tries(a, a, budget, True)
+            if group["unit"].iloc[0] == 0:
+                yield from join_tries(a, a, budget, True)
             for i, j in join_tries(a, b, budget, False):
                 yield i, j + n
 
@@ -229,7 +230,11 @@ def links(prints: DataFrame, budget: int) -> DataFrame:
         other = np.flatnonzero(label != np.arange(len(label)))
         return pd.DataFrame({"u": leaves[other], "v": leaves[label[other]]})
 
-    return dealt(prints, budget).groupBy("depth", "task").applyInPandas(join, "u bigint, v bigint")
+    units = F.get(F.array(*[F.lit(math.ceil(sum(math.comb(k, n) for n in range(budget + 1)) / 2 / NEIGHBOURS)) for k in range(65)]), F.col("depth"))
+    # A neighbour's fingerprints go to one unit together; the own ones are in all.
+    unit = F.pmod(F.xxhash64(F.expr("shiftrightunsigned(print, 64 - depth)")), units).cast("int")
+    met = dealt(prints, budget).withColumn("unit", F.explode(F.when(F.col("own"), F.sequence(F.lit(0), units - 1)).otherwise(F.array(unit))))
+    return met.groupBy("depth", "task", "unit").applyInPandas(join, "u bigint, v bigint")
 
 
 def group_near(docs: DataFrame, words: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -113,6 +114,37 @@ def test_heavy_subtrees_are_split(spark, monkeypatch):
     assert groups(got) == groups(wanted)
 
 
+def test_neighbours_meet_in_several_tasks(spark, monkeypatch):
+    """All pairs within the budget, though a task gets two neighbouring subtrees only."""
+    monkeypatch.setattr(simhash_trie, "NEIGHBOURS", 2)
+    rng = np.random.default_rng(6)
+    base = rng.integers(-(2**63), 2**63 - 1, 40).tolist()
+    prints = sorted({x ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 4), replace=False)) for x in base for _ in range(5)})
+    found = {(r.u, r.v) for r in simhash_trie.links(spark.createDataFrame([(x,) for x in prints], "print bigint"), 3).collect()}
+    near = lambda x, y: ((x ^ y) & (2**64 - 1)).bit_count() <= 3
+    joined = brute_components(prints, lambda x, y: (x, y) in found or (y, x) in found)
+    assert joined == brute_components(prints, near) and len(set(joined.values())) < len(prints)
+
+
+def test_trie_join_holds_no_levels(monkeypatch):
+    """What a traversal holds doesn't grow with the tries: a subtree with twenty neighbours of its size."""
+    monkeypatch.setattr(simhash_trie, "FRONTIER", 1 << 12)
+    rng, peaks = np.random.default_rng(3), []
+    flips = np.array(simhash_trie.near_paths(6, 3)[1:21], np.uint64)
+    for n in (2000, 8000):
+        own = np.unique(rng.integers(0, 2**58, n, dtype=np.uint64))
+        # Near copies keep some nodes from ending high up.
+        near = own[: n // 4] ^ (np.uint64(1) << rng.integers(0, 58, n // 4).astype(np.uint64))
+        a = simhash_trie.Trie(np.unique(np.concatenate((own, near))))
+        b = simhash_trie.Trie(np.unique(np.concatenate([rng.integers(0, 2**58, n, dtype=np.uint64) | (f << np.uint64(58)) for f in flips])))
+        tracemalloc.start()
+        found = sum(len(i) for i, _ in simhash_trie.join_tries(a, a, 3, True)) + sum(len(i) for i, _ in simhash_trie.join_tries(a, b, 3, False))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert found >= len(near)
+    assert max(peaks) < 12e6 and peaks[1] < 2 * peaks[0]
+
+
 def test_near_groups_keep_ids_of_any_type(spark):
     docs = spark.createDataFrame([("b", "some words here"), ("a", "some  words here"), (None, "")], "name string, body string")
     got = {r.doc_id: r.component_id for r in simhash_trie.group_near(docs, 3, 3, "name", "body").collect()}
