@@ -10,7 +10,7 @@ from __future__ import annotations
 import itertools
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +22,8 @@ from quillsift.schemas import MAX_CHILDREN
 CHILD_WORDS = 180
 PARENT_WORDS = 700
 TOKENS_PER_WORD = 1.33
+#: Documents whose chunks a task holds at once.
+HELD = 128
 CHUNK = "struct<chunk_index:int,parent_index:int,section:string,content:string,page_from:int,page_to:int,start_char:int,end_char:int,token_count:int,is_parent:boolean>"
 
 _PATTERNS = [(label, re.compile(pattern, re.IGNORECASE)) for label, pattern in HEADINGS]
@@ -120,6 +122,13 @@ def chunk_text(text: str | None, pages: list | None, child_words: int = CHILD_WO
     return out
 
 
+def chunk_batches(batches: Iterable[tuple[pd.Series, pd.Series]], child_words: int = CHILD_WORDS, parent_words: int = PARENT_WORDS) -> Iterator[pd.Series]:
+    """Chunks of the texts of each batch (texts, pages), HELD documents at a time."""
+    for texts, pages in batches:
+        for at in range(0, len(texts), HELD):
+            yield pd.Series([chunk_text(t, p, child_words, parent_words) for t, p in zip(texts[at : at + HELD], pages[at : at + HELD], strict=True)], dtype=object)
+
+
 def chunk_documents(versions: DataFrame, child_words: int = CHILD_WORDS, parent_words: int = PARENT_WORDS) -> DataFrame:
     """Chunks of ``versions`` (id, tenant_id, document_id, extracted_text, page_offsets), a row each.
 
@@ -129,8 +138,7 @@ def chunk_documents(versions: DataFrame, child_words: int = CHILD_WORDS, parent_
 
     @F.pandas_udf(f"array<{CHUNK}>")
     def chunked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, pages in batches:
-            yield pd.Series([chunk_text(t, p, child_words, parent_words) for t, p in zip(texts, pages, strict=True)], dtype=object)
+        yield from chunk_batches(batches, child_words, parent_words)
 
     offsets = F.col("page_offsets") if "page_offsets" in versions.columns else F.lit(None).cast("array<struct<page:int,start_char:int,end_char:int>>")
     rows = versions.select(F.col("id").alias("resume_version_id"), "tenant_id", "document_id", F.explode(chunked("extracted_text", offsets)).alias("c"))
