@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -25,6 +25,8 @@ SEPARATOR = "\n\n"
 _MAIN = "word/document.xml"
 #: What reading a damaged file raises; other errors are bugs and fail the job.
 UNREADABLE = (zipfile.BadZipFile, ElementTree.ParseError, UnicodeDecodeError, KeyError, ValueError, EOFError, OSError)
+#: Files whose texts a task holds at once beside their contents.
+HELD = 128
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -94,6 +96,32 @@ def assemble(pages: Column) -> Column:
     )
 
 
+def read_pages(kind: str | None, data: bytes, read_pdf: Callable[[bytes], list[str]] | None) -> tuple[list[str] | None, str | None]:
+    """The texts of a file's pages, or an error."""
+    try:
+        if kind == DOCX:
+            pages = [docx_paragraphs(data)]
+        elif kind == PDF and read_pdf is not None:
+            pages = list(read_pdf(data))
+        elif kind == TEXT:
+            pages = [data.decode("utf-8")]
+        else:
+            return None, "unsupported_media_type"
+    except UNREADABLE:
+        return None, "document_parse_error"
+    if len(pages) > MAX_PAGES:
+        return None, "too_many_pages"
+    return (None, "too_many_characters") if sum(map(len, pages)) > MAX_CHARS else (pages, None)
+
+
+def read_batches(batches: Iterable[tuple[pd.Series, pd.Series]], read_pdf: Callable[[bytes], list[str]] | None) -> Iterator[pd.DataFrame]:
+    """``texts, error`` of the files of each batch (media types, contents), HELD files at a time."""
+    for kinds, contents in batches:
+        for at in range(0, len(kinds), HELD):
+            rows = [read_pages(kind, data, read_pdf) for kind, data in zip(kinds[at : at + HELD], contents[at : at + HELD], strict=True)]
+            yield pd.DataFrame(rows, columns=["texts", "error"])
+
+
 def parse(files: DataFrame, read_pdf: Callable[[bytes], list[str]] | None = None) -> DataFrame:
     """``files`` (with ``content``) and ``media_type``, and ``parsed``: text, pages and offsets, or an ``error``.
 
@@ -103,29 +131,8 @@ def parse(files: DataFrame, read_pdf: Callable[[bytes], list[str]] | None = None
     """
 
     @F.pandas_udf("struct<texts:array<string>,error:string>")
-    def pages_of(kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
-        rows = []
-        for kind, data in zip(kinds, contents, strict=True):
-            try:
-                if kind == DOCX:
-                    pages = [docx_paragraphs(data)]
-                elif kind == PDF and read_pdf is not None:
-                    pages = list(read_pdf(data))
-                elif kind == TEXT:
-                    pages = [data.decode("utf-8")]
-                else:
-                    rows.append((None, "unsupported_media_type"))
-                    continue
-            except UNREADABLE:
-                rows.append((None, "document_parse_error"))
-                continue
-            if len(pages) > MAX_PAGES:
-                rows.append((None, "too_many_pages"))
-            elif sum(map(len, pages)) > MAX_CHARS:
-                rows.append((None, "too_many_characters"))
-            else:
-                rows.append((pages, None))
-        return pd.DataFrame(rows, columns=["texts", "error"])
+    def pages_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        yield from read_batches(batches, read_pdf)
 
     typed = files if "media_type" in files.columns else files.withColumn("media_type", media_type(F.col("content")))
     read = typed.withColumn("_read", pages_of("media_type", "content"))

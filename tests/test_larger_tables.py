@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quillsift.operators import chunking
 from quillsift.plans.queries import ORACLES, QUERIES
+from quillsift.sources import documents
 from tests.oracle import same
 
 
@@ -28,3 +31,15 @@ def test_task_numbers_of_many_rows(spark, tmp_path, uncoalesced):
     rows = spark.range(60_000).select(F.col("id").alias("event_id"), (F.col("id") * 7919 % 501).alias("user_id"), F.concat(F.lit("e"), F.col("id") % 5).alias("event_type"))
     rows.repartition(6).write.parquet(str(tmp_path / "events.parquet"))
     same(spark, str(tmp_path), QUERIES["task_enqueue"], ORACLES["task_enqueue"])
+
+
+def test_large_batches_give_few_documents_at_a_time():
+    """A batch of 10,000 rows is answered in pieces, so a task doesn't hold what all its rows give."""
+    texts = pd.Series([f"Text {k}. " * (k % 4) for k in range(1000)])
+    chunks = list(chunking.chunk_batches([(texts, pd.Series([None] * 1000))]))
+    assert max(map(len, chunks)) <= chunking.HELD and [x for part in chunks for x in part] == [chunking.chunk_text(t, None) for t in texts]
+    kinds = pd.Series([documents.TEXT, documents.PDF] * 500)
+    pages = list(documents.read_batches([(kinds, texts.map(str.encode))], None))
+    assert max(map(len, pages)) <= documents.HELD
+    assert pd.concat(pages)["error"].tolist() == [None, "unsupported_media_type"] * 500
+    assert [p[0] for part in pages for p in part["texts"] if p is not None] == texts[::2].tolist()
