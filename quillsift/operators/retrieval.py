@@ -13,9 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from quillsift.functions.text import strip
 from quillsift.session import frozen
@@ -24,9 +26,13 @@ RRF_K = 60
 SPANS = 5
 #: Parts that a term's postings are dealt to when queries meet them.
 PARTS = 16
-#: Vectors of a block of queries and of chunks.
+#: Vectors of a block of queries and of chunks; a large tenant's chunk blocks are larger, so that there are BLOCKS, up to so many values.
 QUERY_ROWS = 256
 CHUNK_ROWS = 4096
+BLOCKS = 64
+CHUNK_VALUES = 1 << 22
+#: Queries that meet a chunk block in one group.
+GROUP_QUERIES = 16_384
 #: Pivots that tasks and the driver hold at most, over all tenants.
 PIVOTS = 4096
 #: Small tables are broadcast up to so many rows.
@@ -96,6 +102,16 @@ def matrix(rows: Iterable) -> np.ndarray:
     return np.stack([np.asarray(r, float) for r in rows])
 
 
+def block_rows(total: Column, rows: int) -> Column:
+    """Vectors of a chunk block of a tenant with ``total`` vectors of the width ``n``."""
+    return F.greatest(F.lit(rows), F.least(F.ceil(total / BLOCKS), F.ceil(F.lit(CHUNK_VALUES) / F.greatest("n", F.lit(1)))))
+
+
+def flat_matrix(lists: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one width as rows."""
+    return lists.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
+
+
 def pivots_of(vectors: DataFrame, rows: int, key: str) -> Pivots:
     """Pivots for tenants with more than ``rows`` vectors of a width, in proportion to their number: those with the smallest hashes.
 
@@ -103,11 +119,11 @@ def pivots_of(vectors: DataFrame, rows: int, key: str) -> Pivots:
     tenants have none, and their vectors are dealt by hash alone.
     """
     sizes = vectors.groupBy("tenant_id", "n").agg(F.count("*").alias("_c")).filter(F.col("_c") > rows).orderBy(F.col("_c").desc(), "tenant_id", "n").limit(PIVOTS)
-    large = [(r["tenant_id"], r["n"], r["_c"]) for r in sizes.collect()]
+    large = [(r["tenant_id"], r["n"], r["_c"], r["_rows"]) for r in sizes.withColumn("_rows", block_rows(F.col("_c"), rows)).collect()]
     if not large:
         return Pivots({})
-    total = sum(c for _, _, c in large)
-    wanted = vectors.sparkSession.createDataFrame([(t, n, c, max(1, min(math.ceil(c / rows), PIVOTS * c // total))) for t, n, c in large], StructType([vectors.schema["tenant_id"], StructField("n", IntegerType()), StructField("_c", LongType()), StructField("_wanted", LongType())]))
+    total = sum(c for _, _, c, _ in large)
+    wanted = vectors.sparkSession.createDataFrame([(t, n, c, max(1, min(math.ceil(c / each), PIVOTS * c // total))) for t, n, c, each in large], StructType([vectors.schema["tenant_id"], StructField("n", IntegerType()), StructField("_c", LongType()), StructField("_wanted", LongType())]))
     # About four times as many as wanted are looked at, whatever the table's size.
     drawn = vectors.join(F.broadcast(wanted), ["tenant_id", "n"]).withColumn("_h", F.xxhash64(key)).filter(F.pmod(F.col("_h"), F.col("_c")) < 4 * F.col("_wanted"))
     order = Window.partitionBy("tenant_id", "n").orderBy("_h")
@@ -138,12 +154,14 @@ def _placed(vectors: DataFrame, pivots: Pivots) -> DataFrame:
 
 
 def _dealt(placed: DataFrame, rows: int, key: str, bounded: bool) -> DataFrame:
-    """``placed`` vectors with their ``_block``: about ``rows`` of a ball in each.
+    """``placed`` vectors with their ``_block``: about ``rows`` of a ball in each, or ``block_rows`` of chunks.
 
-    Only balls over ``rows`` are looked up.  ``bounded``: there are no more of
-    them than pivots and large tenants, so they are broadcast.
+    Only balls over that are looked up.  ``bounded``, of chunks: there are no
+    more of them than pivots and large tenants, so they are broadcast.
     """
-    sizes = placed.groupBy("tenant_id", "n", "_ball").agg(F.ceil(F.count("*") / rows).alias("_blocks")).filter("_blocks > 1")
+    sizes = placed.groupBy("tenant_id", "n", "_ball").agg(F.count("*").alias("_c"))
+    most = block_rows(F.sum("_c").over(Window.partitionBy("tenant_id", "n")), rows) if bounded else F.lit(rows)
+    sizes = sizes.select("tenant_id", "n", "_ball", F.ceil(F.col("_c") / most).alias("_blocks")).filter("_blocks > 1")
     few = F.broadcast(sizes) if bounded or sizes.count() <= FEW else sizes
     part = F.pmod(F.xxhash64(key), F.coalesce("_blocks", F.lit(1)))
     return placed.join(few, ["tenant_id", "n", "_ball"], "left").withColumn("_block", F.shiftleft((F.col("_ball") + 1).cast("long"), 40) + part).drop("_blocks")
@@ -169,12 +187,12 @@ def dense_search(queries: DataFrame, chunks: DataFrame, k: int, documents: DataF
     """What ``dense_top`` returns, and ``query_id, blocks, read``: the chunk blocks of a query's tenant and those it was compared with.
 
     Chunks of a tenant with more than CHUNK_ROWS are dealt to balls around
-    pivots, balls to blocks of about CHUNK_ROWS vectors; a block knows its
+    pivots, balls to blocks of about ``block_rows`` vectors; a block knows its
     radius.  Queries are dealt alike in blocks of QUERY_ROWS.  A query meets
     the blocks with the best bounds first, as many as have k vectors; then
     only blocks whose bound by the triangle inequality reaches its k-th score.
-    A pair of blocks is one product of matrices, and only the k best of a
-    block per query go on.  Vectors have unit length; scores are rounded to
+    A block meets all its queries in one group (GROUP_QUERIES at most), and
+    only the k best of it per query go on (see ``nearest``).  Vectors have unit length; scores are rounded to
     twelve places, so that equal vectors tie; vectors of other widths than the
     query's score 0.  Jobs run here: pivots are chosen, and where there are
     any, the placed vectors and the first hits are frozen.
@@ -186,8 +204,7 @@ def dense_search(queries: DataFrame, chunks: DataFrame, k: int, documents: DataF
     pivots = pivots_of(held_rows, CHUNK_ROWS, "chunk_id")
     dealt = _placed(held_rows, pivots)
     dealt = _dealt(dealt, CHUNK_ROWS, "chunk_id", True) if pivots.of else dealt.withColumn("_block", (F.col("_ball") + 1).cast("long"))
-    held = _packed(dealt, ["chunk_id", "document_id"])
-    held = held.select("tenant_id", F.col("n").alias("cn"), F.col("_block").alias("_at"), F.col("ids").alias("c_ids"), F.col("v").alias("c_v"))
+    held = dealt.select("tenant_id", F.col("n").alias("cn"), F.col("_block").alias("_at"), "chunk_id", "document_id", "_v")
     blocks = dealt.groupBy("tenant_id", "n", "_block").agg(F.first("_ball").alias("ball"), F.max("_far").alias("radius"), F.count("*").alias("rows"))
     about = blocks.groupBy("tenant_id").agg(F.sort_array(F.collect_list(F.struct(F.col("n").alias("cn"), F.col("_block").alias("_at"), "ball", "radius", "rows"))).alias("blocks"))
     asked = _packed(_dealt(_placed(given(queries, "query_id"), pivots), QUERY_ROWS, "query_id", False), ["query_id"])
@@ -196,7 +213,8 @@ def dense_search(queries: DataFrame, chunks: DataFrame, k: int, documents: DataF
         # From files, so that a tenant that is one constant is still a key of the join.
         asked, about = frozen(asked), frozen(about)
     asked = asked.join(about, "tenant_id")
-    first = _meet(_planned(asked, pivots, k, None), held, k)
+    parts = -(-asked.agg(F.sum(F.size("q_ids"))).first()[0] // GROUP_QUERIES) if pivots.of and not asked.isEmpty() else 1
+    first = _meet(_planned(asked, pivots, k, None), held, k, parts)
     total = asked.select(F.explode("q_ids").alias("q"), F.size("blocks").alias("blocks")).select("q.query_id", "blocks")
     if not pivots.of:
         return ranked(first.select("query_id", "chunk_id", "document_id", "score"), k), total.withColumn("read", F.col("blocks"))
@@ -206,13 +224,13 @@ def dense_search(queries: DataFrame, chunks: DataFrame, k: int, documents: DataF
     each = asked.withColumn("_b", F.monotonically_increasing_id()).select("_b", F.posexplode("q_ids").alias("_i", "q")).select("_b", "_i", "q.query_id").join(reached, "query_id", "left")
     scores = each.groupBy("_b").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", F.coalesce("score", F.lit(-2.0)).alias("s")))), lambda x: x["s"]).alias("reached"))
     again = _planned(asked.withColumn("_b", F.monotonically_increasing_id()).join(scores, "_b").drop("_b"), pivots, k, "reached")
-    hits = best.drop("rank").unionByName(_meet(again, held, k))
+    hits = best.drop("rank").unionByName(_meet(again, held, k, parts))
     read = _planned(asked, pivots, k, None).unionByName(again).select(F.explode("q").alias("_i"), "q_ids").groupBy(F.get("q_ids", F.col("_i"))["query_id"].alias("query_id")).agg(F.count("*").alias("read"))
     return ranked(hits.select("query_id", "chunk_id", "document_id", "score"), k), total.join(read, "query_id")
 
 
 def _planned(asked: DataFrame, pivots: Pivots, k: int, reached: str | None) -> DataFrame:
-    """``tenant_id, cn, _at, qn, q_ids, q_v, q``: the blocks that query blocks meet, and the places of the queries that do.
+    """``tenant_id, cn, _at, qn, q_ids, q_v, s, q``: the blocks that query blocks meet, and the places of the queries that do.
 
     Without ``reached``: for each query the blocks with the best bounds that
     have k vectors together.  With it (the k-th score of each query): the
@@ -238,32 +256,69 @@ def _planned(asked: DataFrame, pivots: Pivots, k: int, reached: str | None) -> D
 
     scores = F.col(reached) if reached else F.array().cast("array<double>")
     each = asked.withColumn("_p", F.explode(plan("tenant_id", "q_v", "blocks", scores)))
-    return each.select("tenant_id", F.get("blocks", F.col("_p.b")).alias("_to"), "qn", "q_ids", "q_v", F.col("_p.q").alias("q")).select("tenant_id", "_to.cn", "_to._at", "qn", "q_ids", "q_v", "q")
-
+    return each.select("tenant_id", F.get("blocks", F.col("_p.b")).alias("_to"), "qn", "q_ids", "q_v", scores.alias("s"), F.col("_p.q").alias("q")).select("tenant_id", "_to.cn", "_to._at", "qn", "q_ids", "q_v", "s", "q")
 
-def _meet(planned: DataFrame, held: DataFrame, k: int) -> DataFrame:
-    """``query_id, chunk_id, document_id, score``: the k best of each block for each of its queries."""
-    some = lambda c: F.transform("q", lambda i: F.get(c, i)).alias(c)
-    pairs = held.join(planned.select("tenant_id", "cn", "_at", "qn", some("q_ids"), some("q_v")), ["tenant_id", "cn", "_at"])
 
-    @F.pandas_udf("array<struct<q:int,c:int,score:double>>")
-    def best(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        def of(c_v: np.ndarray, q_v: np.ndarray, same: bool) -> list[dict]:
-            scores = np.round(unit_rows(matrix(q_v)) @ unit_rows(matrix(c_v)).T, 12) if same else np.zeros((len(q_v), len(c_v)))
-            out = []
-            # Chunks are in order of their ids, so a stable sort has ties by id.
-            for i, row in enumerate(scores):
-                some = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
-                top = some[np.argsort(-row[some], kind="stable")][:k]
-                out += [{"q": i, "c": int(j), "score": float(row[j]) + 0.0} for j in top]
-            return out
-
-        for c_v, q_v, cn, qn in batches:
-            yield pd.Series([of(x, y, n == m) for x, y, n, m in zip(c_v, q_v, cn, qn, strict=True)], dtype=object)
+def nearest(queries: np.ndarray, chunks: np.ndarray, reached: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query (rows of length 1) the places and scores of the k best chunks, in order, ties by place; none below ``reached``.
 
-    hits = pairs.select("c_ids", "q_ids", F.explode(best("c_v", "q_v", "cn", "qn")).alias("b"))
-    found = hits.select(F.get("q_ids", F.col("b.q"))["query_id"].alias("query_id"), F.get("c_ids", F.col("b.c")).alias("c"), F.col("b.score").alias("score"))
-    return found.select("query_id", "c.chunk_id", "c.document_id", "score")
+    Products in single precision choose: a block's columns are cut into at
+    least 4 k runs, and the k-th of their highest products is no more than the
+    k-th score.  What is that high, less twice what roundings may take, is
+    computed in double precision.
+    """
+    runs = max(4 * k, 256)
+    size, slack = len(chunks) // runs, 4 * (chunks.shape[1] + 2) * 2.0**-24
+    q32, c32 = queries.astype(np.float32), np.ascontiguousarray(chunks.astype(np.float32).T)
+    for begin in range(0, len(queries), QUERY_ROWS):
+        product, floor = q32[begin : begin + QUERY_ROWS] @ c32, reached[begin : begin + QUERY_ROWS]
+        if size > 1:
+            highest = np.nan_to_num(product[:, : runs * size].reshape(len(product), runs, size).max(axis=2), nan=-np.inf)
+            floor = np.maximum(floor, np.partition(highest, runs - k, axis=1)[:, runs - k])
+        for i, row in enumerate(product):
+            some = np.flatnonzero(row >= np.float32(floor[i] - slack))
+            scores = np.round((chunks[some] * queries[begin + i]).sum(axis=1), 12) + 0.0
+            order = np.argsort(-scores, kind="stable")[:k]
+            yield some[order], scores[order]
+
+
+def _meet(planned: DataFrame, held: DataFrame, k: int, parts: int) -> DataFrame:
+    """``query_id, chunk_id, document_id, score``: the k best of each block for each of its queries.
+
+    A task holds a block and the queries of one of ``parts``, never several blocks.
+    """
+    keys = ["tenant_id", "cn", "_at", "_part"]
+    query = F.transform("q", lambda i: F.struct(F.get("q_ids", i)["query_id"].alias("query_id"), F.get("q_v", i).alias("q_v"), F.coalesce(F.get("s", i), F.lit(-2.0)).alias("s")))
+    asks = planned.select("tenant_id", "cn", "_at", "qn", F.explode(query).alias("q")).select(*[F.col(c).alias(f"q{c}") for c in keys[:3]], F.pmod(F.xxhash64("q.query_id"), F.lit(parts)).cast("int").alias("q_part"), "qn", "q.*")
+    blocks = held.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    schema = StructType([asks.schema["query_id"], held.schema["chunk_id"], held.schema["document_id"], StructField("score", DoubleType())])
+
+    def best(chunks: pa.Table, asks: pa.Table) -> pa.Table:
+        form = pa.schema([asks.schema.field("query_id"), chunks.schema.field("chunk_id"), chunks.schema.field("document_id"), ("score", pa.float64())])
+        if not chunks.num_rows or not asks.num_rows:
+            return form.empty_table()
+        chunks = chunks.take(pc.sort_indices(chunks["chunk_id"]))
+        rows, who, found, scores = unit_rows(flat_matrix(chunks["_v"])), [], [], []
+        same = pc.equal(asks["qn"], chunks["cn"][0])
+        asks, others = asks.filter(same), asks.filter(pc.invert(same))
+        reached = lambda t: t["s"].to_numpy()
+        if asks.num_rows:
+            for i, (at, score) in enumerate(nearest(unit_rows(flat_matrix(asks["q_v"])), rows, reached(asks), k)):
+                who.append(np.full(len(at), i))
+                found.append(at)
+                scores.append(score)
+        first = np.arange(min(k, len(rows)))
+        for i in np.flatnonzero(reached(others) <= 0):
+            who.append(np.full(len(first), asks.num_rows + i))
+            found.append(first)
+            scores.append(np.zeros(len(first)))
+        if not who:
+            return form.empty_table()
+        at = pa.array(np.concatenate(found))
+        ids = pa.concat_tables([asks, others])["query_id"].take(pa.array(np.concatenate(who)))
+        return pa.table([ids, chunks["chunk_id"].take(at), chunks["document_id"].take(at), pa.array(np.concatenate(scores))], schema=form)
+
+    return blocks.groupBy(*keys).cogroup(asks.groupBy(*[f"q{c}" for c in keys])).applyInArrow(best, schema)
 
 
 def terms(text: Column) -> Column:

@@ -11,6 +11,7 @@ from quillsift.functions.numbers import mock_embedding
 from quillsift.operators import chunking, lexical, retrieval
 from quillsift.operators.ingest import dedup
 from quillsift.operators.sanitize import sanitize
+from quillsift.session import frozen
 
 
 @dataclass(frozen=True)
@@ -69,7 +70,9 @@ def similar(sources: DataFrame, chunks: DataFrame, embed=mock_embedding, config:
     """
     text = retrieval.representative_text(chunks.join(sources, ["tenant_id", "document_id"], "left_semi"))
     queries = text.select(F.col("document_id").alias("query_id"), "tenant_id", embed(F.col("query")).alias("embedding"))
-    hits = retrieval.dense_top(queries, retrieval.searchable(chunks), 2 * config.recall)
+    # The search reads vectors several times, texts are chunked for them once.
+    held = frozen(retrieval.searchable(chunks).select("tenant_id", "chunk_id", "document_id", "embedding"))
+    hits = retrieval.dense_top(frozen(queries), held, 2 * config.recall)
     hits = without_source(hits)
     return retrieval.group_by_document(hits, most=config.top_k)
 

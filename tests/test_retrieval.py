@@ -182,3 +182,37 @@ def test_balls_skip_blocks_and_lose_nothing(spark, monkeypatch):
     assert set(counts) == set(asked) and all(0 < r.read <= r.blocks for r in counts.values())
     ordinary = [r for k, r in counts.items() if k < 2000 and asked[k][0] == "t"]
     assert sum(r.read for r in ordinary) < 0.4 * sum(r.blocks for r in ordinary)
+
+
+def test_nearest_equals_all_products_in_double_precision():
+    """Many chunks, copies among them, differences below single precision, and scores to reach."""
+    rng = np.random.default_rng(9)
+    chunks = retrieval.unit_rows(rng.normal(size=(3000, 8)))
+    chunks[1000:1200] = chunks[5]
+    chunks[2000:2100] = retrieval.unit_rows(chunks[7] + rng.normal(size=(100, 8)) * 1e-9)
+    queries = np.concatenate([chunks[[5, 7]], retrieval.unit_rows(rng.normal(size=(20, 8)))])
+    reached = np.where(np.arange(22) % 4 == 3, 0.9, -2.0)
+    for k in (3, 40):
+        for query, least, (at, scores) in zip(queries, reached, retrieval.nearest(queries, chunks, reached, k), strict=True):
+            every = np.round((chunks * query).sum(axis=1), 12)
+            best = [j for j in np.argsort(-every, kind="stable")[:k] if every[j] >= least]
+            assert at[: len(best)].tolist() == best and scores[: len(best)].tolist() == every[best].tolist()
+
+
+def test_a_block_meets_queries_in_groups(spark, monkeypatch):
+    """A task's Python gets one block and a group of its queries, so what it holds doesn't grow with the pairs of blocks."""
+    rng = np.random.default_rng(2)
+    chunks = spark.createDataFrame([(k, "t", k % 9, rng.normal(size=4).tolist()) for k in range(300)], "chunk_id int, tenant_id string, document_id int, embedding array<double>")
+    q = chunks.filter("chunk_id % 3 = 0").select(F.col("chunk_id").alias("query_id"), "tenant_id", "embedding")
+    expected = sorted(retrieval.dense_top(q, chunks, 5).collect())
+    monkeypatch.setattr(retrieval, "CHUNK_ROWS", 40)
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 16)
+    monkeypatch.setattr(retrieval, "GROUP_QUERIES", 30)
+    own = retrieval.nearest
+
+    def counted(queries, rows, reached, k):
+        assert len(queries) <= 60 and len(rows) <= 120
+        return own(queries, rows, reached, k)
+
+    monkeypatch.setattr(retrieval, "nearest", counted)
+    assert sorted(retrieval.dense_top(q, chunks, 5).collect()) == expected
