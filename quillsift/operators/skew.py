@@ -1,4 +1,4 @@
-"""Joins with keys that may hold a large share of the rows."""
+"""Joins with keys that may hold a large share of the rows, and tasks in proportion to the rows."""
 
 from __future__ import annotations
 
@@ -7,6 +7,18 @@ from pyspark.sql import functions as F
 
 #: A key of more than so small a part of all rows is hot; there can't be more than SHARE of them, so they are broadcast.
 SHARE = 1000
+#: Rows of a task where groups are sorted.
+TASK_ROWS = 500_000
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt by their keys to as many tasks as hold TASK_ROWS each, where that is more than the session's partitions.
+
+    What is grouped or windowed by the keys then isn't shuffled again, and no
+    task's sorts grow with the table.  The rows are counted here.
+    """
+    tasks = -(-rows.count() // TASK_ROWS)
+    return rows.repartition(tasks, *keys) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
 
 
 def meet(rows: DataFrame, entries: DataFrame, on: list[str], count: str) -> DataFrame:

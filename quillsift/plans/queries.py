@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillsift.functions import text as tx
 from quillsift.functions.numbers import luminance
-from quillsift.operators import agents, catalog, chunking, ingest, lexical, limits, membership, retrieval, rubric, sanitize, scoring
+from quillsift.operators import agents, catalog, chunking, ingest, lexical, limits, membership, retrieval, rubric, sanitize, scoring, skew
 from quillsift.plans import search
 from quillsift.plans.registry import ORACLES, QUERIES, query
 from quillsift.session import shared_folder
@@ -54,7 +54,7 @@ def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
     n = F.col("l_linenumber") % 4
     verdict = F.when(n == 1, "partial").when(n == 2, "missing").otherwise("met")
-    return load(spark, sf_dir, "lineitem").select(
+    return skew.spread(load(spark, sf_dir, "lineitem"), "l_orderkey").select(
         F.col("l_orderkey").alias("rubric_id"), place.alias("ordinal"), F.col("l_quantity").cast("long").alias("weight"), (F.col("l_returnflag") == "R").alias("is_must_have"), verdict.alias("verdict")
     )
 

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillsift.operators import chunking
+from quillsift.operators import chunking, skew
 from quillsift.plans.queries import ORACLES, QUERIES
 from quillsift.sources import documents
 from tests.oracle import same
@@ -43,3 +43,12 @@ def test_large_batches_give_few_documents_at_a_time():
     assert max(map(len, pages)) <= documents.HELD
     assert pd.concat(pages)["error"].tolist() == [None, "unsupported_media_type"] * 500
     assert [p[0] for part in pages for p in part["texts"] if p is not None] == texts[::2].tolist()
+
+
+@pytest.mark.parametrize("name", ["rubric_content_hash", "score_aggregate", "score_capped_rank", "weight_normalize"])
+def test_rubrics_are_dealt_to_tasks_by_their_rows(spark, data, monkeypatch, name):
+    """Tasks grow in number with the line items, not in size, and the result is the same."""
+    monkeypatch.setattr(skew, "TASK_ROWS", 500)
+    df = QUERIES[name](spark, data)
+    assert "hashpartitioning(l_orderkey" in (plan := df._jdf.queryExecution().executedPlan().toString()) and plan.count("hashpartitioning(") == 1 and ", 12)" in plan
+    same(spark, data, lambda *_: df, ORACLES[name])
