@@ -9,16 +9,19 @@ from pyspark.sql import functions as F
 SHARE = 1000
 #: Rows of a task where groups are sorted.
 TASK_ROWS = 500_000
+#: Rows of a task that parses an answer for each, or for several: a small file would be one task.
+ANSWER_ROWS = 20_000
 
 
-def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """``rows`` dealt by their keys to as many tasks as hold TASK_ROWS each, where that is more than the session's partitions.
+def spread(rows: DataFrame, *keys: str, most: int | None = None) -> DataFrame:
+    """``rows`` dealt (by keys, if there are any) to as many tasks as hold ``most`` (TASK_ROWS) each, where that is more than there would be.
 
     What is grouped or windowed by the keys then isn't shuffled again, and no
     task's sorts grow with the table.  The rows are counted here.
     """
-    tasks = -(-rows.count() // TASK_ROWS)
-    return rows.repartition(tasks, *keys) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+    tasks = -(-rows.count() // (most or TASK_ROWS))
+    given = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) if keys else rows.rdd.getNumPartitions()
+    return rows.repartition(tasks, *keys) if tasks > given else rows
 
 
 def meet(rows: DataFrame, entries: DataFrame, on: list[str], count: str) -> DataFrame:

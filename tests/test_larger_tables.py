@@ -52,3 +52,12 @@ def test_rubrics_are_dealt_to_tasks_by_their_rows(spark, data, monkeypatch, name
     df = QUERIES[name](spark, data)
     assert "hashpartitioning(l_orderkey" in (plan := df._jdf.queryExecution().executedPlan().toString()) and plan.count("hashpartitioning(") == 1 and ", 12)" in plan
     same(spark, data, lambda *_: df, ORACLES[name])
+
+
+@pytest.mark.parametrize(("name", "tasks"), [("job_answers", 8), ("judge_answers", 60)])
+def test_answers_are_dealt_to_tasks_by_their_rows(spark, data, monkeypatch, name, tasks):
+    """A small file's rows are parsed by several tasks."""
+    monkeypatch.setattr(skew, "ANSWER_ROWS", 20)
+    df = QUERIES[name](spark, data)
+    assert f"{tasks}), REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+    same(spark, data, lambda *_: df, ORACLES[name])
