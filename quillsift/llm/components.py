@@ -3,25 +3,45 @@
 Large-star links every larger neighbour of a node to the smallest node around
 it, small-star does the same with the smaller neighbours; the two alternate
 until every component is a star around its smallest node (Kiveris et al.,
-"Connected Components in MapReduce and Beyond", 2014).
+"Connected Components in MapReduce and Beyond", 2014).  Once few links are left,
+one task ends it, so that few links don't cost the stages of all rounds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm.shared import frozen, meet
 
-#: Links up to which each node's smallest neighbour is broadcast (16 bytes each); of more, only those of large stars are.
+#: Distinct links up to which one task finds the components (16 bytes each).
 FEW = 200_000
 
 
+def stars(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links ``u, v`` of all batches, held at once, as links of each node to the smallest one of its component."""
+    links = np.concatenate([np.empty((0, 2), np.int64), *(batch[["u", "v"]].to_numpy(np.int64) for batch in batches)])
+    nodes, at = np.unique(links, return_inverse=True)
+    u, v = at.reshape(-1, 2).T
+    label = np.arange(len(nodes))
+    while len(u):
+        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+        while (label[label] != label).any():
+            label = label[label]
+        u, v = label[u], label[v]
+        apart = u != v
+        u, v = u[apart], v[apart]
+    other = np.flatnonzero(label != np.arange(len(label)))
+    yield pd.DataFrame({"u": nodes[other], "v": nodes[label[other]]})
+
+
 def _to_smallest(around: DataFrame, count: int) -> DataFrame:
     """``around`` (``count`` rows) with ``m``, the smallest ``v`` of each ``u``; the neighbours of a very large star stay where they are."""
     smallest = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
-    if count <= FEW:
-        return around.join(F.broadcast(smallest.drop("degree")), "u")
     return meet(around, frozen(smallest), ["u"], "degree", count, 0)
 
 
@@ -45,10 +65,11 @@ def connected(links: DataFrame) -> DataFrame:
     state = None
     while True:
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(seen) == state or not seen[0]:
+        if tuple(seen) == state:
+            break
+        if seen[0] <= FEW:
+            now = frozen(now.coalesce(1).mapInPandas(stars, "u bigint, v bigint"))
             break
         state = tuple(seen)
-        larger = _star(now, True, seen[0])
-        # Links that aren't few are used twice, so they are kept.
-        now = frozen(_star(larger if seen[0] <= FEW else frozen(larger), False, seen[0]))
+        now = frozen(_star(frozen(_star(now, True, seen[0])), False, seen[0]))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

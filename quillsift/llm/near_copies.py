@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillsift.llm.components import connected
-from quillsift.llm.shared import as_bytes, fresh, frozen, meet
+from quillsift.llm.shared import as_bytes, fresh, frozen, meet, remember_only
 from quillsift.llm.simhash_trie import Trie, fingerprint, forest, join_tries, shingle_hashes
 
 WORDS = 4
@@ -85,6 +85,7 @@ def with_sketch(docs: DataFrame, size: int, text_col: str) -> DataFrame:
 
     @F.pandas_udf("struct<" + ",".join(f"{c}:bigint" for c in (*COLUMNS, "print")) + ">")
     def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        remember_only()
         for texts in batches:
             sets = [np.unique(shingle_hashes(t, size)) for t in texts]
             found = np.array([[*sketch(s), xxhash.xxh64_intdigest(s.tobytes())] for s in sets], np.uint64).reshape(-1, WORDS + 1)
@@ -299,7 +300,7 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
     rows = frozen(with_sketch(source, words, "text").select("doc_id", "hash", "_sketch.*"))
     nodes = frozen(rows.groupBy("print").agg(F.min(F.struct("doc_id", "hash")).alias("first"), F.count("*").alias("copies"), *[F.min(c).alias(c) for c in COLUMNS]))
-    candidates = frozen(connected(frozen(near_links(nodes, similarity))))
+    candidates = frozen(connected(near_links(nodes, similarity)))
     labels = connected(verified(each_once(source, rows), nodes, candidates, words, similarity))
     rooted = frozen(nodes.select("print", "copies").join(labels, F.col("print") == F.col("node"), "left").select("print", "copies", F.coalesce("root", "print").alias("root")))
     # A text that very many rows have (all that are empty, say) meets its root by broadcast.

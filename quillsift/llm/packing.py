@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.shared import as_bytes, frozen
+from quillsift.llm.shared import as_bytes, frozen, remember_only
 
 PIECE = "struct<doc_id:string,piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>"
 BIN = f"part bigint, batch bigint, up boolean, bin bigint, fill int, members array<{PIECE}>"
@@ -92,6 +92,7 @@ def token_ids(path: str) -> Ids:
     """The worker's tokenizer for a vocabulary file, loaded once; added tokens are text like any other to it."""
     if path not in _loaded:
         _loaded[path] = Ids(path)
+    remember_only(_loaded[path])
     return _loaded[path]
 
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.shared import as_bytes
+from quillsift.llm.shared import as_bytes, remember_only
 
 #: Hash buckets of the vocabulary, so that the word table has a fixed size whatever the corpus: WORDS * DIM floats, 4 MB.
 WORDS = 1 << 14
@@ -67,6 +67,11 @@ class Buckets(dict):
 _buckets = Buckets()
 
 
+def remember_words() -> None:
+    """For the beginning of a task: the worker's memory is for words only (a task's own function would bring a copy of ``_buckets``)."""
+    remember_only(_buckets)
+
+
 def word_buckets(text: bytes) -> np.ndarray:
     """Buckets of a text's words; 0 for a word that equals the one before."""
     words = text.split()
@@ -89,6 +94,7 @@ def context_vectors(docs: DataFrame, text_col: str) -> np.ndarray:
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.zeros(WORDS * DIM)
         seen = np.zeros(WORDS, bool)
+        remember_words()
         for batch in batches:
             for text in batch["text"]:
                 b = word_buckets(text)
@@ -211,6 +217,7 @@ def score(docs: DataFrame, labels: DataFrame, training: str, id_col: str = "doc_
 
     @F.pandas_udf("binary")
     def pool(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        remember_words()
         for batch in batches:
             yield pd.Series([pooled(t, table.value).tobytes() for t in batch], dtype=object)
 
@@ -222,6 +229,7 @@ def score(docs: DataFrame, labels: DataFrame, training: str, id_col: str = "doc_
 
     @F.pandas_udf("double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        remember_words()
         for batch in batches:
             yield pd.Series(net.value.score(np.stack([pooled(t, table.value) for t in batch]).astype(float)) if len(batch) else np.empty(0))
 

@@ -62,6 +62,17 @@ def as_bytes(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit("")).cast("binary")
 
 
+_memories: list[dict] = []
+
+
+def remember_only(memory: dict | None = None) -> None:
+    """Empty the memories of other operators, as a task of this one begins: Spark uses a worker for the tasks of many, and it would hold all of theirs."""
+    for other in _memories:
+        if other is not memory:
+            other.clear()
+    _memories[:] = [] if memory is None else [memory]
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
