@@ -11,6 +11,7 @@ Windows of a tier are dealt to step groups of equal tokens and like cost.
 from __future__ import annotations
 
 import itertools
+import re
 import zlib
 from array import array
 from bisect import bisect_left, bisect_right, insort
@@ -21,12 +22,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillsift.llm.packing import byte_alphabet
 from quillsift.llm.shared import as_bytes, frozen
 
 #: Tokens that are packed together in a task: bounds what it holds.
 BATCH_TOKENS = 2_000_000
 #: Distinct stretches between spaces that a worker remembers at most; half of them are those not asked for lately.
 REMEMBERED = 800_000
+#: Text in which normalizing changes nothing but case; no apostrophe (contractions) and no < (added tokens) is in it.
+PLAIN = re.compile("[ \n!-&(-;=-~À-ÖØ-öø-ÿ]*").fullmatch
+#: The pre-tokens of plain text in lower case, and whether something is one of them.
+PRE_TOKENS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[!-/:-@[-`{-~]+").findall
+PLAIN_TOKEN = re.compile("[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@[-`{-~]+").fullmatch
 #: Windows whose step group is found by a node of the tree are broadcast up to so many (two longs each), else joined by a shuffle.
 FEW_STEPS = 1_000_000
 ROW = "kind int, doc_id string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier int, step bigint, cost bigint, ids binary, part bigint"
@@ -36,16 +43,20 @@ PLACED, LOOSE, WINDOW, STEP = range(4)
 
 
 class Stretches(dict):
-    """Token ids, as little-endian bytes, of the stretches between spaces, by the ``tokenizers`` library.
+    """Token ids, as little-endian bytes, of pre-tokens and of stretches between spaces, by the ``tokenizers`` library.
 
     The vocabulary drops white space and its pre-tokens never hold any, so a
-    text's ids are those of its stretches, one after another.
+    text's ids are those of its stretches, one after another; case doesn't
+    count.  Plain stretches are cut into pre-tokens here, of which there are
+    far fewer, and the library's model alone is asked about these.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.alphabet = {byte: char for char, byte in byte_alphabet().items()}
         self.before: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
@@ -56,13 +67,9 @@ class Stretches(dict):
         if known is not None:
             self[part] = known
             return known
-        # Case doesn't count, and marks after an ASCII letter are a pre-token of their own; added tokens are found as written.
-        plain = part.lower() if part.isascii() and "<|" not in part else part
-        bare = plain.rstrip(".,;:!?")
-        if plain != part:
-            found = self[plain]
-        elif bare != part and "a" <= bare[-1:] <= "z":
-            found = self[bare] + self[part[len(bare) :]]
+        if PLAIN_TOKEN(part):
+            written = part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
+            found = array("I", [token.id for token in self.model.tokenize(written)]).tobytes()
         else:
             found = array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
         if len(part) <= 64:
@@ -70,7 +77,13 @@ class Stretches(dict):
         return found
 
     def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.split(" ")))
+        tokens = []
+        for part in [text] if PLAIN(text) else text.replace("\n", " ").split(" "):
+            if PLAIN(part):
+                tokens += PRE_TOKENS(part.lower())
+            else:
+                tokens.append(part)
+        return b"".join(map(self.__getitem__, tokens))
 
 
 _loaded: dict[str, Stretches] = {}

@@ -295,3 +295,16 @@ def test_conversations_without_rows(spark):
     assert repair.repair_damaged(df.limit(0)).collect() == []
     alone = repair.repair_damaged(spark.createDataFrame([(None, None, None, None)], "conv_id string, turn long, role string, text string")).collect()
     assert len(alone) == 1 and (alone[0].gaps, alone[0].blank, alone[0].audit) in ((0, 1, "D"), (0, 0, ""), (0, 2, "DD"))
+
+
+def test_plain_text_is_not_put_to_the_whole_tokenizer(tokenizer):
+    """Only the model is asked, once for each pre-token; normalizing and cutting cost more than it does."""
+
+    class Whole:
+        def encode(self, text, add_special_tokens):
+            raise AssertionError(text)
+
+    ids = multi_length.Stretches(WORD_BPE)
+    ids.tokenizer = Whole()
+    for text in ("", "The.\nthe, THE***%%% x86 2024", "Ésta ñandú\n\n  straße ÞÅ$$$ (a-b_c) [d]", "zqxj" * 16 + "~"):
+        assert ids(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
